@@ -53,7 +53,7 @@ class Grammar:
                 yield at, fields, None, None
             except Fault as fault:
                 yield at, None, fault.reason, fault.at
-                found = anchors.search(text, max(fault.at, at + 1), end)
+                found = anchors.search(text, at + 1, end)  # behind the record's start: an open quote may have run over anchors
                 if not found:
                     return
                 after = found.start()

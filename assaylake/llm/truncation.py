@@ -18,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.plain import once
+from assaylake.session import cut_lineage
+
 #: Share of an arbitrary trigram's occurrences at which texts are cut by chance; a final trigram with no more ends than
 #: that (plus three deviations and one) is no natural end. Occurrences from which a trigram is judged.
 CHANCE_SHARE, LEAST_SEEN = 0.0025, 8
@@ -36,10 +39,10 @@ STOPS = [".", "!", "?", "。", "！", "？"]
 # What systems put after a cut.
 MARKERS = r"(?:\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|\.{3})(?:\s*[\[(](?:more|continued|cont\.|truncated|cut)[\])])?|\s*[\[(](?:more|continued|truncated|cut)[\])])\s*$"
 INSIDE_MARKUP = r"(?:<[/!]?[A-Za-z]*(?:\s[^<>]{0,80})?|&#?[A-Za-z0-9]{0,10}|�)$"
-WORD = r"[\p{L}\p{M}#@&&[^\p{IsHan}]]+(?:[-'’_/][\p{L}\p{M}#@&&[^\p{IsHan}]]+)*(?:[-/](?=$))?|[^\s]"
+WORD = r"[\p{L}\p{M}#@&&[^\p{IsHan}]]+(?:[-'’_/][\p{L}\p{M}#@&&[^\p{IsHan}]]+)*(?:[-/](?=\s|$))?|[^\s]"
 
 
-def words(text: Column) -> Column:
+def words(text: Column, residues: bool = True) -> Column:
     """The words of a text, in classes: ``#`` for numbers, ``@`` for residue strings, lower case.
 
     A word before a line end carries the line mark.
@@ -47,30 +50,29 @@ def words(text: Column) -> Column:
     t = F.regexp_replace(F.replace(text, F.lit(LINE), F.lit("")), r"\s*[\r\n]\s*", LINE + " ")
     t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", "#")
     # In a text all in capitals every word would look like residues.
-    t = F.when(t.rlike(r"\p{Ll}"), F.regexp_replace(t, r"(?<![\p{L}#])[ACDEFGHIKLMNPQRSTVWY]+(?![\p{L}#])", "@")).otherwise(t)
+    if residues:
+        t = F.when(t.rlike(r"\p{Ll}"), F.regexp_replace(t, r"(?<![\p{L}#])[ACDEFGHIKLMNPQRSTVWY]+(?![\p{L}#])", "@")).otherwise(t)
     return F.regexp_extract_all(F.lower(t), F.lit(f"(?:{WORD}){LINE}?"), F.lit(0))
 
 
 def tokenised(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, markup, w): the words of every text that is not blank, without the marker of a cut."""
+    """(key, markup, w, raw): the words of every text that is not blank, without the marker of a cut.
+
+    ``raw`` is the last word outside the residue class, since the start of another word may look like residues.
+    """
     stripped = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+$", ""), MARKERS, "")
     stripped = F.regexp_replace(stripped, r"(?U)\s+$", "")
-    rows = df.where(F.col(text).rlike(r"(?U)\S")).select(key, stripped.alias("t"))
-    return rows.select(key, F.col("t").rlike(INSIDE_MARKUP).alias("markup"), words(F.col("t")).alias("w"))
+    rows = df.where(F.col(text).rlike(r"(?U)\S")).select(key, once(stripped).alias("t"))
+    return rows.select(key, F.col("t").rlike(INSIDE_MARKUP).alias("markup"), once(words(F.col("t"))).alias("w"), F.element_at(words(F.regexp_extract("t", r"\S*$", 0), residues=False), -1).alias("raw"))
 
 
 def ngram_counts(tokens: DataFrame) -> DataFrame:
     """(a, b, c, inside, lines, ends): occurrences of each trigram inside texts, of these at line ends, and at text ends."""
-    n = F.size("w")
-    bare = F.transform("w", lambda x: F.replace(x, F.lit(LINE), F.lit("")))
-    gram = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.struct(
-            F.element_at("v", i).alias("a"), F.element_at("v", i + 1).alias("b"), F.element_at("v", i + 2).alias("c"),
-            F.endswith(F.element_at("w", i + 2), F.lit(LINE)).alias("line"), (i == n - 2).alias("end"),
-        ),
-    )
-    g = tokens.where(n >= 3).select("w", bare.alias("v")).select(F.explode(gram).alias("g")).select("g.*")
+    rows = tokens.where(F.size("w") >= 3).select("w", once(F.transform("w", lambda x: F.replace(x, F.lit(LINE), F.lit("")))).alias("v"))
+    n = F.size("w") - 2
+    gram = F.arrays_zip(F.slice("v", 1, n).alias("a"), F.slice("v", 2, n).alias("b"), F.slice("v", 3, n).alias("c"), F.slice("w", 3, n).alias("raw"))
+    g = rows.select(F.size("w").alias("n"), F.posexplode(gram).alias("i", "g"))
+    g = g.select("g.a", "g.b", "g.c", F.endswith("g.raw", F.lit(LINE)).alias("line"), (F.col("i") == F.col("n") - 3).alias("end"))
 
     def count(c: Column) -> Column:
         return F.sum(c.cast("bigint"))
@@ -79,10 +81,21 @@ def ngram_counts(tokens: DataFrame) -> DataFrame:
     return g.groupBy("a", "b", "c").agg(count(inner).alias("inside"), count(inner & F.col("line")).alias("lines"), count(F.col("end")).alias("ends"))
 
 
-def unnatural_ends(grams: DataFrame) -> DataFrame:
-    """(a, b, c): final trigrams that are frequent inside texts but almost never end one."""
+def last_words(tokens: DataFrame) -> list[Column]:
+    """The last three words, without line marks; null in shorter texts."""
+    n = F.size("w")
+    last = [F.replace(F.element_at("w", F.greatest(n - 2 + i, F.lit(1))), F.lit(LINE), F.lit("")) for i in range(3)]
+    return [F.when(n >= 3, x).alias(c) for x, c in zip(last, "abc", strict=True)]
+
+
+def unnatural_ends(grams: DataFrame, residue_ends: DataFrame) -> DataFrame:
+    """(a, b, c): final trigrams that are frequent inside texts but almost never end one.
+
+    ``residue_ends`` (a, b, c) are ends in the residue class with the word itself as ``c``; they count as
+    fragments where longer words, not residues, follow the same two words inside texts.
+    """
     finals = grams.where("ends > 0")
-    letters = F.col("c").rlike(r"^\p{L}[\p{L}#@\-/'’_]*$")
+    letters = F.col("c").rlike(r"^[\p{L}#@][\p{L}#@\-/'’_]*$")
     pairs = grams.groupBy("b", "c").agg(F.sum("inside").alias("inside2"), F.sum("ends").alias("ends2"))
 
     def continued(left: DataFrame, right: DataFrame, on: list[str], inside: str, name: str) -> DataFrame:
@@ -104,19 +117,22 @@ def unnatural_ends(grams: DataFrame) -> DataFrame:
     pair_judged = (F.col("inside2") >= LEAST_PAIRS) & (F.col("ends2") < LEAST_PAIR_SHARE * F.col("inside2"))
     line = (F.col("lines") > 0) & (F.col("lines") >= LINE_SHARE * inside)
     stop = F.col("c").isin(*STOPS) & (F.col("b") != "#")  # a number before a stop may have been cut itself
-    return f.where(~line & ~stop & (fragment | judged | rare & (pair_fragment | pair_judged))).select("a", "b", "c")
+    found = f.where(~line & ~stop & (fragment | judged | rare & (pair_fragment | pair_judged))).select("a", "b", "c")
+    real = grams.where("c = '@'").select("a", "b", F.col("inside").alias("real"))
+    starts = continued(residue_ends, grams, ["a", "b"], "inside", "more3").join(real, ["a", "b"], "left")
+    return found.unionByName(starts.where((more3 >= 2) & (F.coalesce("real", F.lit(0)) <= FRAGMENT_SHARE * more3)).select("a", "b", "c"))
 
 
 def truncated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key) of the cut texts."""
     tokens = tokenised(df, key, text)
-    bad = unnatural_ends(ngram_counts(tokens)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    n = F.size("w")
-    last = [F.replace(F.element_at("w", F.greatest(n - 2 + i, F.lit(1))), F.lit(LINE), F.lit("")) for i in range(3)]
-    ends = tokens.select(key, "markup", *[F.when(n >= 3, x).alias(c) for x, c in zip(last, "abc", strict=True)])
-    ends = ends.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    grams = cut_lineage(ngram_counts(tokens))  # six readers below; texts are split into words twice in all
+    ends = tokens.select(key, "markup", *last_words(tokens), "raw")
+    residue_ends = ends.where("c = '@'").select("a", "b", F.col("raw").alias("c")).distinct()
+    bad = unnatural_ends(grams, residue_ends).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ends = ends.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).withColumn("c", F.explode(F.array_distinct(F.array("c", F.when(F.col("c") == "@", F.col("raw")).otherwise(F.col("c"))))))
     found = ends.join(bad.withColumn("cut", F.lit(True)), ["a", "b", "c", "salt"], "left")
-    return found.where(F.col("markup") | F.col("cut")).select(key)
+    return found.where(F.col("markup") | F.col("cut")).select(key).distinct()
 
 
 def rates(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

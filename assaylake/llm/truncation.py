@@ -126,8 +126,8 @@ def unnatural_ends(grams: DataFrame, residue_ends: DataFrame) -> DataFrame:
 def truncated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key) of the cut texts."""
     tokens = tokenised(df, key, text)
-    grams = cut_lineage(ngram_counts(tokens))  # six readers below; texts are split into words twice in all
-    ends = tokens.select(key, "markup", *last_words(tokens), "raw")
+    grams = cut_lineage(ngram_counts(tokens))  # several readers below; texts are split into words twice in all
+    ends = cut_lineage(tokens.select(key, "markup", *last_words(tokens), "raw"))
     residue_ends = ends.where("c = '@'").select("a", "b", F.col("raw").alias("c")).distinct()
     bad = unnatural_ends(grams, residue_ends).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     ends = ends.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).withColumn("c", F.explode(F.array_distinct(F.array("c", F.when(F.col("c") == "@", F.col("raw")).otherwise(F.col("c"))))))

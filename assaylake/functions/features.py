@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.plain import once
 from assaylake.functions.text import AMINO_ACIDS
 
 # Residue property scales.
@@ -24,8 +25,9 @@ SCALES = {"hydro": HYDRO, "charge": CHARGE, "polarity": POLARITY, "mw": WEIGHT}
 def composition(seq: Column) -> Column:
     """Twenty fractions in alphabet order, then the length."""
     n = F.length(seq)
-    parts = [F.when(n > 0, (n - F.length(F.replace(seq, F.lit(a), F.lit("")))) / n).otherwise(0.0) for a in AMINO_ACIDS]
-    return F.array(*parts, n.cast("double"))
+    letters = F.array(*[F.lit(a) for a in AMINO_ACIDS])
+    parts = F.transform(letters, lambda a: F.when(n > 0, (n - F.length(F.replace(seq, a, F.lit("")))) / n).otherwise(0.0))
+    return F.concat(parts, F.array(n.cast("double")))
 
 
 def signal(seq: Column, scale: dict[str, float]) -> Column:
@@ -79,9 +81,8 @@ def moments(x: Column) -> Column:
     )
 
 
-def spectrum(x: Column) -> Column:
-    """Spectral energy, centroid, and the dominant bin relative to the last."""
-    mag = magnitudes(x)
+def spectrum(mag: Column) -> Column:
+    """Spectral energy, centroid, and the dominant bin relative to the last, from the magnitudes."""
     total = _sum(mag)
     weighted = _sum(F.transform(mag, lambda v, i: v * i))
     top = F.array_position(mag, F.array_max(mag)) - 1
@@ -91,15 +92,17 @@ def spectrum(x: Column) -> Column:
     )
 
 
-def signal_features(seq: Column) -> Column:
-    """Ten features for each of the four scales, then the length: 41."""
-    parts = []
-    for scale in SCALES.values():
-        x = signal(seq, scale)
-        parts += [moments(x), F.array(autocorrelation(x, 1), autocorrelation(x, 2)), spectrum(x)]
-    return F.concat(*parts, F.array(F.length(seq).cast("double")))
-
+def with_signal_features(df: DataFrame, seq: str, name: str = "features") -> DataFrame:
+    """Composition (21), ten features for each of the four scales, and the length: 62 numbers in ``name``.
 
-def fused(seq: Column) -> Column:
-    """Composition (21) and signal features (41)."""
-    return F.concat(composition(seq), signal_features(seq))
+    Signals and spectra are stages behind generators of one row, so each is computed once.
+    """
+    kept = [*df.columns]
+    s = F.col(seq)
+    rows = df.select(*kept, once(F.struct(*[signal(s, t).alias(k) for k, t in SCALES.items()])).alias("_x"))
+    rows = rows.select(*kept, "_x", once(F.struct(*[magnitudes(F.col(f"_x.{k}")).alias(k) for k in SCALES])).alias("_m"))
+    parts = []
+    for k in SCALES:
+        x = F.col(f"_x.{k}")
+        parts += [moments(x), F.array(autocorrelation(x, 1), autocorrelation(x, 2)), spectrum(F.col(f"_m.{k}"))]
+    return rows.select(*kept, F.concat(composition(s), *parts, F.array(F.length(s).cast("double"))).alias(name))

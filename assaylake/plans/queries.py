@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from assaylake.functions import features, ic50, numeric, rules
 from assaylake.functions import text as tx
 from assaylake.functions.plain import once
-from assaylake.operators import orphans, relational as rel
+from assaylake.operators import classify as svm
+from assaylake.operators import orphans
+from assaylake.operators import relational as rel
 from assaylake.plans import pipelines as pl
 from assaylake.plans.fixtures import assay
 from assaylake.plans.oracles import ORACLES
 from assaylake.session import table
+from assaylake.sources import html as page
 
 QUERIES = {}
 
@@ -558,10 +561,51 @@ def signal_moments(spark, d):
 
 @query
 def fft_features(spark, d):
-    v = _peptides(spark, d).select("seq", features.fused(F.col("seq")).alias("v"))
+    v = features.with_signal_features(_peptides(spark, d), "seq", "v")
     return v.select("seq", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
+# --- pages, classification, ingest (no SQL: compared with brute force in the tests) ------------------------
+
+
+def _pages(spark, d):
+    """Stored pages made of the list rows: one page per list page, with a table and a link per entry."""
+    t = table(spark, d, "fermfoodb_ace_list").select("list_page_url", "row_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("fmdb_id", "peptide_sequence", "ic50_raw", "detail_url")])
+    esc = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    row = F.concat(F.lit("<tr><td><a href='"), esc("detail_url"), F.lit("'>"), esc("fmdb_id"), F.lit("</a></td><td>"), esc("peptide_sequence"), F.lit("</td><td>"), esc("ic50_raw"), F.lit("</td></tr>"))
+    per = t.select("list_page_url", F.struct("row_id", row.alias("r")).alias("x")).groupBy("list_page_url").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    body = F.array_join(F.transform("xs", lambda x: x["r"]), "")
+    return per.select(F.col("list_page_url").alias("url"), F.concat(F.lit("<html><body>Page 1 of 3<table><tr><th>FMDB ID</th><th>Sequence</th><th>IC50</th></tr>"), body, F.lit("</table></body></html>")).alias("html"))
+
+
+@query
+def html_table_extract(spark, d):
+    return page.table_rows(_pages(spark, d), "url", "html", ["FMDB ID", "Sequence", "IC50"])
+
+
+@query
+def html_to_text(spark, d):
+    return _pages(spark, d).select("url", tx.html_to_text(F.col("html")).alias("text"))
+
+
+@query
+def page_links(spark, d):
+    return _pages(spark, d).select("url", F.explode(page.links_of(F.col("html"))).alias("l")).select("url", "l.href", "l.label")
+
+
+@query
+def page_crawl(spark, d):
+    pages = _pages(spark, d)
+    return page.crawl(pages, ["https://fermfood.example/ace?page=1"], 2, "fermfood.example")
+
+
+@query
+def svm_cv(spark, d):
+    """Out-of-fold metrics of the length class (short or longer) from composition features."""
+    s = _peptides(spark, d).select("seq", (F.length("seq") <= 5).cast("int").alias("y"), features.composition(F.col("seq")).alias("v"))
+    return svm.metrics(svm.cross_validated(s, "y", "v", "seq", folds=2))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

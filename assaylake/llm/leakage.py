@@ -32,29 +32,38 @@ def words(text: Column) -> Column:
 def fingerprints(df: DataFrame, key: str, text: str, run: int = RUN, k: int = K) -> DataFrame:
     """(key, h, at, near): the distinct hashes winnowing keeps, and the words in reach of an extension.
 
-    ``near`` holds the words that a run of ``run`` words around the k-gram can use; ``at`` is the place of the
-    k-gram within it, counted from 1.
+    ``key`` keeps its values under that very name, whatever the table calls it. ``near`` holds the words that a
+    run of ``run`` words around the k-gram can use; ``at`` is the place of the k-gram within it, from 1.
     """
     n, window, reach = F.size("w"), run - k + 1, run - k
-    rows = df.select(key, once(words(F.col(text))).alias("w")).where(n >= run)
-    hashes = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(F.xxhash64(F.slice("w", i, k)).alias("h"), i.alias("i")))
-    rows = rows.select(key, "w", once(hashes).alias("hs"))
-    least = F.transform(F.sequence(F.lit(1), F.size("hs") - window + 1), lambda i: F.array_min(F.slice("hs", i, window)))
-    rows = rows.select(key, "w", F.explode(F.array_distinct(least)).alias("p"))
-    first = F.greatest(F.col("p.i") - reach, F.lit(1))
-    return rows.select(key, F.col("p.h").alias("h"), (F.col("p.i") - first + 1).alias("at"), F.slice("w", first, reach + run).alias("near"))
+    rows = df.select(F.col(key).alias("key"), once(words(F.col(text))).alias("w")).where(n >= run)
+    # Single elements instead of slices: a slice copies its whole array, which is quadratic in long texts.
+    hashes = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(F.xxhash64(*[F.get("w", i + j) for j in range(k)]).alias("h"), i.alias("i")))
+    rows = rows.select("key", "w", once(hashes).alias("hs"))
+    least = F.transform(F.sequence(F.lit(0), F.size("hs") - window), lambda i: F.least(*[F.get("hs", i + j) for j in range(window)]))
+    # Places never go back from window to window, so repeats stand side by side.
+    rows = rows.select("key", "w", once(least).alias("ps"))
+    kept = F.filter("ps", lambda p, i: (i == 0) | (p["i"] != F.get("ps", F.greatest(i - 1, F.lit(0)))["i"]))
+    rows = rows.select("key", "w", F.explode(kept).alias("p"))
+    first = F.greatest(F.col("p.i") - reach, F.lit(0))
+    near = F.array_compact(F.array(*[F.get("w", first + j) for j in range(reach + run)]))
+    return rows.select("key", F.col("p.h").alias("h"), (F.col("p.i") - first + 1).alias("at"), near.alias("near"))
 
 
 def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN, k: int = K) -> DataFrame:
-    """(key, item_key) of every text that shares ``run`` consecutive words with an item; distinct."""
-    test = fingerprints(items, item_key, item_text, run, k).select(item_key, "h", F.col("at").alias("iat"), F.col("near").alias("inear"))
+    """(key, item_key) of every text that shares ``run`` consecutive words with an item; distinct.
+
+    Where both tables call their key the same, the item's is prefixed with ``item_``.
+    """
+    test = fingerprints(items, item_key, item_text, run, k).select(F.col("key").alias("ikey"), "h", F.col("at").alias("iat"), F.col("near").alias("inear"))
     mine = fingerprints(corpus, key, text, run, k)
     if test.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS:
         hits = mine.join(F.broadcast(test), "h")
     else:
         test = test.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = mine.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(test, ["h", "salt"])
-    return hits.where(F.exists(F.sequence(F.lit(0), F.lit(run - k)), lambda j: _same(j, run))).select(key, item_key).distinct()
+        hits = mine.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(test, ["h", "salt"])
+    found = hits.where(F.exists(F.sequence(F.lit(0), F.lit(run - k)), lambda j: _same(j, run))).select("key", "ikey").distinct()
+    return found.select(F.col("key").alias(key), F.col("ikey").alias(item_key if item_key != key else f"item_{item_key}"))
 
 
 def _same(j: Column, run: int) -> Column:

@@ -109,6 +109,7 @@ def plain_array(texts: pa.Array) -> pa.Array:
 
 def with_plain(df: DataFrame, columns: list[str]) -> DataFrame:
     """The rows with ``<c>_plain`` for each of the columns; all other columns are kept."""
+    df = df.drop(*[f"{c}_plain" for c in columns])  # a column of that name is replaced
     order = [*df.columns, *[f"{c}_plain" for c in columns]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,4 +128,4 @@ def differing(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         F.when(~F.lower(F.trim(c)).isin(MISSING_TOKENS) & (F.col(c) != F.col(f"{c}_plain")), F.struct(F.lit(c).alias("field_name"), F.col(f"{c}_plain").alias("plain_text")))
         for c in columns
     ]
-    return rows.select(key, F.explode(F.array_compact(F.array(*items))).alias("i")).select(key, "i.field_name", "i.plain_text")
+    return rows.select(key, F.explode(F.array_compact(F.array(*items))).alias("_i")).select(key, "_i.field_name", "_i.plain_text")

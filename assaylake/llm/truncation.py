@@ -62,8 +62,8 @@ def tokenised(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     stripped = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+$", ""), MARKERS, "")
     stripped = F.regexp_replace(stripped, r"(?U)\s+$", "")
-    rows = df.where(F.col(text).rlike(r"(?U)\S")).select(key, once(stripped).alias("t"))
-    return rows.select(key, F.col("t").rlike(INSIDE_MARKUP).alias("markup"), once(words(F.col("t"))).alias("w"), F.element_at(words(F.regexp_extract("t", r"\S*$", 0), residues=False), -1).alias("raw"))
+    rows = df.where(F.col(text).rlike(r"(?U)\S")).select(F.col(key).alias("key"), once(stripped).alias("t"))
+    return rows.select("key", F.col("t").rlike(INSIDE_MARKUP).alias("markup"), once(words(F.col("t"))).alias("w"), F.element_at(words(F.regexp_extract("t", r"\S*$", 0), residues=False), -1).alias("raw"))
 
 
 def ngram_counts(tokens: DataFrame) -> DataFrame:
@@ -127,18 +127,18 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(key) of the cut texts."""
     tokens = tokenised(df, key, text)
     grams = cut_lineage(ngram_counts(tokens))  # several readers below; texts are split into words twice in all
-    ends = cut_lineage(tokens.select(key, "markup", *last_words(tokens), "raw"))
+    ends = cut_lineage(tokens.select("key", "markup", *last_words(tokens), "raw"))
     residue_ends = ends.where("c = '@'").select("a", "b", F.col("raw").alias("c")).distinct()
     bad = unnatural_ends(grams, residue_ends).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ends = ends.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).withColumn("c", F.explode(F.array_distinct(F.array("c", F.when(F.col("c") == "@", F.col("raw")).otherwise(F.col("c"))))))
+    ends = ends.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).withColumn("c", F.explode(F.array_distinct(F.array("c", F.when(F.col("c") == "@", F.col("raw")).otherwise(F.col("c"))))))
     found = ends.join(bad.withColumn("cut", F.lit(True)), ["a", "b", "c", "salt"], "left")
-    return found.where(F.col("markup") | F.col("cut")).select(key).distinct()
+    return found.where(F.col("markup") | F.col("cut")).select(F.col("key").alias(key)).distinct()
 
 
 def rates(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How often each source truncates: texts, cut texts and their share."""
-    cut = truncated(df, key, text).withColumn("cut", F.lit(1))
+    cut = truncated(df, key, text).select(F.col(key).alias("key"), F.lit(1).alias("cut"))
     return (
-        df.where(F.col(text).rlike(r"(?U)\S")).select(key, source).join(cut, key, "left").groupBy(source)
+        df.where(F.col(text).rlike(r"(?U)\S")).select(F.col(key).alias("key"), source).join(cut, "key", "left").groupBy(source)
         .agg(F.count(F.lit(1)).alias("n_texts"), F.count("cut").alias("n_cut")).withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
     )

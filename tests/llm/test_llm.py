@@ -103,6 +103,8 @@ def test_leaks_edges(spark, monkeypatch):
     for bound in (leakage.BROADCAST_FINGERPRINTS, 0):
         monkeypatch.setattr(leakage, "BROADCAST_FINGERPRINTS", bound)
         assert {tuple(r) for r in leakage.leaks(df, "doc_id", "text", it, "item_id", "item_text").collect()} == want
+    same = leakage.leaks(df.toDF("h", "w"), "h", "w", it.toDF("h", "near"), "h", "near")
+    assert same.columns == ["h", "item_h"] and same.count() == 3
     assert leakage.leaks(df.limit(0), "doc_id", "text", it, "item_id", "item_text").count() == 0
 
 
@@ -149,3 +151,5 @@ def test_truncation_on_a_small_corpus(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0] for r in truncation.truncated(df).collect()} == {1000 + i for i in range(len(cut))}
     assert truncation.truncated(df.limit(0)).count() == 0
+    clash = df.withColumnsRenamed({"doc_id": "w", "text": "a"}).withColumn("salt", F.lit("x"))
+    assert {r.w for r in truncation.truncated(clash, "w", "a").collect()} == {1000 + i for i in range(len(cut))}

@@ -111,6 +111,6 @@ def fill_rows(rows: DataFrame, key: str, group: list[str], numeric: dict[str, fl
     fills = fills.where(reduce(lambda a, b: a | b, [F.col(f"{f}_fill").isNotNull() for f in fields]))
     # The two sides come from one table; renamed keys keep the null-safe join unambiguous.
     fills = fills.withColumnsRenamed({c: f"_{c}" for c in (*group, *fields)}).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    on = [rows[g] == fills[f"_{g}"] for g in group] + [rows[f].eqNullSafe(fills[f"_{f}"]) for f in fields] + [rows["salt"] == fills["_salt"]]
-    return rows.join(fills, reduce(lambda a, b: a & b, on), how).drop("salt", "_salt", *[f"_{c}" for c in (*group, *fields)])
+    rows = rows.withColumn("_row_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    on = [rows[g] == fills[f"_{g}"] for g in group] + [rows[f].eqNullSafe(fills[f"_{f}"]) for f in fields] + [rows["_row_salt"] == fills["_salt"]]
+    return rows.join(fills, reduce(lambda a, b: a & b, on), how).drop("_row_salt", "_salt", *[f"_{c}" for c in (*group, *fields)])

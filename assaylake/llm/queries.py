@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.text import MISSING_TOKENS, clean_text
 from assaylake.llm import leakage, plain_text, representative, tokens, truncation
+from assaylake.llm.sql import ORACLES
 from assaylake.session import table
 
 GROUP = ["merge_batch", "peptide"]
@@ -94,3 +95,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p3_found, p3_survivors, p6_found, p7_ids, p8_found, p8_items, p9_found, p9_rates)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

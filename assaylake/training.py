@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.text import MISSING_TOKENS
 from assaylake.operators import impute, orphans, recover, units
+from assaylake.oracles_training import ORACLES
 from assaylake.session import table
 
 UNIT_COLUMNS = ["row_id", "source_name", "ic50_raw", "ic50_unit", "mass_raw", "mass_da"]
@@ -122,3 +123,7 @@ def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_potency, p2_found, p2_loaded, p2_rejected, p4_found, p4_report, p5_found, p5_filled)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

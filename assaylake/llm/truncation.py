@@ -7,8 +7,12 @@ nearly all inside trigrams behind the same two words continue it. Trigrams that
 may end a text. Final trigrams too rare to judge fall back to the last two words. Texts that stop inside markup, an entity or a broken character are cut
 whatever the counts say; what is put after a cut (dots, "more") is taken off first.
 
-All counts cover all texts and are combined map-side; tables of n-grams meet by shuffled joins, the documents
-only through their own final trigram. Built-in expressions only.
+All counts are over distinct texts (case and white space folded), so that a text delivered again is no witness of
+its own end, and the verdict of a text holds for all its deliveries. Only what is too rare among distinct texts
+is judged by how many rows hold it inside; ends are never counted by rows.
+
+Texts are reduced map-side before they move, n-grams likewise; tables of n-grams meet by shuffled joins, the
+texts only through their own final trigram, the rows through the hash of their text. Built-in expressions only.
 
 Defined results: null, empty and blank texts are no cases, nor are texts of fewer than three words.
 """
@@ -55,30 +59,38 @@ def words(text: Column, residues: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(f"(?:{WORD}){LINE}?"), F.lit(0))
 
 
-def tokenised(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, markup, w, raw): the words of every text that is not blank, without the marker of a cut.
-
-    ``raw`` is the last word outside the residue class, since the start of another word may look like residues.
-    """
+def delivered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h, t): every text that is not blank, without the marker of a cut, and the hash of its folded form."""
     stripped = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+$", ""), MARKERS, "")
     stripped = F.regexp_replace(stripped, r"(?U)\s+$", "")
     rows = df.where(F.col(text).rlike(r"(?U)\S")).select(F.col(key).alias("key"), once(stripped).alias("t"))
-    return rows.select("key", F.col("t").rlike(INSIDE_MARKUP).alias("markup"), once(words(F.col("t"))).alias("w"), F.element_at(words(F.regexp_extract("t", r"\S*$", 0), residues=False), -1).alias("raw"))
+    return rows.select("key", F.unhex(F.md5(F.lower(F.trim(F.regexp_replace("t", r"(?U)\s+", " "))))).alias("h"), "t")
+
+
+def tokenised(rows: DataFrame) -> DataFrame:
+    """(h, copies, markup, w, raw): the words of each distinct text, of its form with the most small letters first.
+
+    ``raw`` is the last word outside the residue class, since the start of another word may look like residues.
+    """
+    texts = rows.groupBy("h").agg(F.max("t").alias("t"), F.count(F.lit(1)).alias("copies"))
+    return texts.select("h", "copies", F.col("t").rlike(INSIDE_MARKUP).alias("markup"), once(words(F.col("t"))).alias("w"), F.element_at(words(F.regexp_extract("t", r"\S*$", 0), residues=False), -1).alias("raw"))
 
 
 def ngram_counts(tokens: DataFrame) -> DataFrame:
-    """(a, b, c, inside, lines, ends): occurrences of each trigram inside texts, of these at line ends, and at text ends."""
-    rows = tokens.where(F.size("w") >= 3).select("w", once(F.transform("w", lambda x: F.replace(x, F.lit(LINE), F.lit("")))).alias("v"))
+    """(a, b, c, inside, lines, ends, row_inside): distinct texts' occurrences of each trigram inside, of these at line
+    ends, and at text ends; ``row_inside`` counts those inside once for every delivery."""
+    rows = tokens.where(F.size("w") >= 3).select("w", "copies", once(F.transform("w", lambda x: F.replace(x, F.lit(LINE), F.lit("")))).alias("v"))
     n = F.size("w") - 2
     gram = F.arrays_zip(F.slice("v", 1, n).alias("a"), F.slice("v", 2, n).alias("b"), F.slice("v", 3, n).alias("c"), F.slice("w", 3, n).alias("raw"))
-    g = rows.select(F.size("w").alias("n"), F.posexplode(gram).alias("i", "g"))
-    g = g.select("g.a", "g.b", "g.c", F.endswith("g.raw", F.lit(LINE)).alias("line"), (F.col("i") == F.col("n") - 3).alias("end"))
+    g = rows.select(F.size("w").alias("n"), "copies", F.posexplode(gram).alias("i", "g"))
+    g = g.select("g.a", "g.b", "g.c", "copies", F.endswith("g.raw", F.lit(LINE)).alias("line"), (F.col("i") == F.col("n") - 3).alias("end"))
 
     def count(c: Column) -> Column:
         return F.sum(c.cast("bigint"))
 
     inner = ~F.col("end")
-    return g.groupBy("a", "b", "c").agg(count(inner).alias("inside"), count(inner & F.col("line")).alias("lines"), count(F.col("end")).alias("ends"))
+    row_inside = F.sum(F.when(inner, F.col("copies")).otherwise(0)).alias("row_inside")
+    return g.groupBy("a", "b", "c").agg(count(inner).alias("inside"), count(inner & F.col("line")).alias("lines"), count(F.col("end")).alias("ends"), row_inside)
 
 
 def last_words(tokens: DataFrame) -> list[Column]:
@@ -96,7 +108,7 @@ def unnatural_ends(grams: DataFrame, residue_ends: DataFrame) -> DataFrame:
     """
     finals = grams.where("ends > 0")
     letters = F.col("c").rlike(r"^[\p{L}#@][\p{L}#@\-/'’_]*$")
-    pairs = grams.groupBy("b", "c").agg(F.sum("inside").alias("inside2"), F.sum("ends").alias("ends2"))
+    pairs = grams.groupBy("b", "c").agg(F.sum("inside").alias("inside2"), F.sum("ends").alias("ends2"), F.sum("row_inside").alias("row_inside2"))
 
     def continued(left: DataFrame, right: DataFrame, on: list[str], inside: str, name: str) -> DataFrame:
         """Inside occurrences of longer last words behind the same words."""
@@ -110,11 +122,18 @@ def unnatural_ends(grams: DataFrame, residue_ends: DataFrame) -> DataFrame:
     f = finals.join(more3, ["a", "b", "c"], "left").join(last_pairs.join(more2, ["b", "c"], "left"), ["b", "c"]).fillna(0, ["more3", "more2"])
     inside, ends, more3, more2 = F.col("inside"), F.col("ends"), F.col("more3"), F.col("more2")
     fragment = (more3 >= 2) & (inside <= FRAGMENT_SHARE * more3)
-    by_chance = CHANCE_SHARE * (inside + ends)
-    judged = (inside > 0) & (inside + ends >= LEAST_SEEN) & (ends <= by_chance + 3 * F.sqrt(by_chance) + 1)
-    rare = inside + ends < LEAST_SEEN
+
+    def seldom_ends(held: Column) -> Column:
+        by_chance = CHANCE_SHARE * (held + ends)
+        return (held > 0) & (held + ends >= LEAST_SEEN) & (ends <= by_chance + 3 * F.sqrt(by_chance) + 1)
+
+    def pair_seldom_ends(held: Column) -> Column:
+        return (held >= LEAST_PAIRS) & (F.col("ends2") < LEAST_PAIR_SHARE * held)
+
+    rare, pair_rare = inside + ends < LEAST_SEEN, F.col("inside2") < LEAST_PAIRS
+    judged = F.when(rare, seldom_ends(F.col("row_inside"))).otherwise(seldom_ends(inside))
     pair_fragment = (inside == 0) & (more2 >= LEAST_SEEN) & (F.col("inside2") <= FRAGMENT_SHARE * more2)
-    pair_judged = (F.col("inside2") >= LEAST_PAIRS) & (F.col("ends2") < LEAST_PAIR_SHARE * F.col("inside2"))
+    pair_judged = F.when(pair_rare, pair_seldom_ends(F.col("row_inside2"))).otherwise(pair_seldom_ends(F.col("inside2")))
     line = (F.col("lines") > 0) & (F.col("lines") >= LINE_SHARE * inside)
     stop = F.col("c").isin(*STOPS) & (F.col("b") != "#")  # a number before a stop may have been cut itself
     found = f.where(~line & ~stop & (fragment | judged | rare & (pair_fragment | pair_judged))).select("a", "b", "c")
@@ -123,16 +142,27 @@ def unnatural_ends(grams: DataFrame, residue_ends: DataFrame) -> DataFrame:
     return found.unionByName(starts.where((more3 >= 2) & (F.coalesce("real", F.lit(0)) <= FRAGMENT_SHARE * more3)).select("a", "b", "c"))
 
 
+def salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def salt_of(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+
+
 def truncated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key) of the cut texts."""
-    tokens = tokenised(df, key, text)
+    rows = delivered(df, key, text)
+    tokens = tokenised(rows)
     grams = cut_lineage(ngram_counts(tokens))  # several readers below; texts are split into words twice in all
-    ends = cut_lineage(tokens.select("key", "markup", *last_words(tokens), "raw"))
+    ends = cut_lineage(tokens.select("h", "markup", *last_words(tokens), "raw"))
     residue_ends = ends.where("c = '@'").select("a", "b", F.col("raw").alias("c")).distinct()
-    bad = unnatural_ends(grams, residue_ends).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ends = ends.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).withColumn("c", F.explode(F.array_distinct(F.array("c", F.when(F.col("c") == "@", F.col("raw")).otherwise(F.col("c"))))))
+    bad = salted(unnatural_ends(grams, residue_ends).distinct())
+    ends = ends.withColumn("salt", salt_of("h")).withColumn("c", F.explode(F.array_distinct(F.array("c", F.when(F.col("c") == "@", F.col("raw")).otherwise(F.col("c"))))))
     found = ends.join(bad.withColumn("cut", F.lit(True)), ["a", "b", "c", "salt"], "left")
-    return found.where(F.col("markup") | F.col("cut")).select(F.col("key").alias(key)).distinct()
+    cut = salted(found.where(F.col("markup") | F.col("cut")).select("h").distinct())
+    # One text may hold a large share of the rows.
+    return rows.select("key", "h", salt_of("key").alias("salt")).join(cut, ["h", "salt"], "left_semi").select(F.col("key").alias(key)).distinct()
 
 
 def rates(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

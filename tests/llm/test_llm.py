@@ -153,3 +153,14 @@ def test_truncation_on_a_small_corpus(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
     clash = df.withColumnsRenamed({"doc_id": "w", "text": "a"}).withColumn("salt", F.lit("x"))
     assert {r.w for r in truncation.truncated(clash, "w", "a").collect()} == {1000 + i for i in range(len(cut))}
+
+
+def test_copies_of_a_cut_text_do_not_make_its_end_natural(spark):
+    whole = [f"Batch {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} was stored cold. The visiting group {'left' if i % 2 else 'stayed'} here." for i in range(100)]
+    cut = "Batch zz was stored cold. The visiting"
+    rows = [(i, t) for i, t in enumerate(whole)] + [(1000 + i, cut) for i in range(48)] + [(2000, cut.upper()), (2001, cut.replace(". ", ".\n") + " [...]")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in truncation.truncated(df).collect()} == {r[0] for r in rows if r[0] >= 1000}
+    # Nor are whole texts cut that end alike in different words.
+    alike = spark.createDataFrame([(i, t + " Kept by the visiting") for i, t in enumerate(whole)] + [(100 + i, t) for i, t in enumerate(whole)], "doc_id long, text string")
+    assert truncation.truncated(alike).count() == 0

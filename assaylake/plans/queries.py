@@ -72,10 +72,24 @@ def ic50_mbpdb(spark, d):
     return a.select("ic50_raw", *_parsed(), _r6("p.low"), _r6("p.high"))
 
 
+def _english(spark, d):
+    """The subset the SQL states; the queries named ``_all`` read every document, whatever its ``lang`` says."""
+    return table(spark, d, "documents").where("lang = 'en'")
+
+
+def _ic50_from_text(docs):
+    t = docs.select("doc_id", once(ic50.parse_detail_text(F.coalesce("text", F.lit("")))).alias("p"))
+    return t.select("doc_id", *_parsed())
+
+
 @query
 def ic50_from_text(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", once(ic50.parse_detail_text(F.coalesce("text", F.lit("")))).alias("p"))
-    return t.select("doc_id", *_parsed())
+    return _ic50_from_text(_english(spark, d))
+
+
+@query
+def ic50_from_text_all(spark, d):
+    return _ic50_from_text(table(spark, d, "documents"))
 
 
 @query
@@ -114,10 +128,19 @@ def clean_text_tokens(spark, d):
     return t.select("row_id", *[tx.clean_text(F.col(c)).alias(c) for c in ("ph", "temperature", "incubation_time", "culture")])
 
 
+def _year_extract(docs):
+    t = docs.select("doc_id", tx.year_latest(F.col("text")).alias("latest"), tx.year_earliest(F.col("text"), F.col("pubmed_id")).alias("earliest"), tx.year_from_digits(F.col("pubmed_id")).alias("digits"))
+    return t.where("latest is not null or earliest is not null or digits is not null")
+
+
 @query
 def year_extract(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", tx.year_latest(F.col("text")).alias("latest"), tx.year_earliest(F.col("text"), F.col("pubmed_id")).alias("earliest"), tx.year_from_digits(F.col("pubmed_id")).alias("digits"))
-    return t.where("latest is not null or earliest is not null or digits is not null")
+    return _year_extract(_english(spark, d))
+
+
+@query
+def year_extract_all(spark, d):
+    return _year_extract(table(spark, d, "documents"))
 
 
 @query
@@ -174,26 +197,52 @@ def url_canonical(spark, d):
 PAGE_WORDS = ["ace inhibitor", "sequence", "molar", "hydrolysate", "detail page"]
 
 
+def _page_keyword_hits(docs):
+    return docs.select("doc_id", F.array_join(tx.keyword_hits(F.coalesce("text", F.lit("")), PAGE_WORDS), " | ").alias("hits"))
+
+
 @query
 def page_keyword_hits(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'")
-    return t.select("doc_id", F.array_join(tx.keyword_hits(F.coalesce("text", F.lit("")), PAGE_WORDS), " | ").alias("hits"))
+    return _page_keyword_hits(_english(spark, d))
 
 
 @query
-def page_class(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+def page_keyword_hits_all(spark, d):
+    return _page_keyword_hits(table(spark, d, "documents"))
+
+
+def _page_class(docs):
+    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     card, prose = F.size(tx.keyword_hits(F.col("t"), ["entry:", "sequence:", "activity:", "assay:"])), F.size(tx.keyword_hits(F.col("t"), ["was", "the", "of"]))
     return t.select("doc_id", F.when(card > prose, "detail").when(prose > card, "list").otherwise("other").alias("page_class"))
 
 
+@query
+def page_class(spark, d):
+    return _page_class(_english(spark, d))
+
+
+@query
+def page_class_all(spark, d):
+    return _page_class(table(spark, d, "documents"))
+
+
 LABELS = ["Entry:", "Name:", "Sequence:", "Number of residues:", "Monoisotopic mass:", "IC50 :", "Activity:", "Source:", "Assay:", "Additional information:"]
 
 
+def _section_extract(docs):
+    t = docs.where("doc_kind = 'card'")
+    return t.select("doc_id", *[tx.section(F.col("text"), s, LABELS).alias(n) for n, s in (("activity", "Activity:"), ("assay", "Assay:"), ("information", "Additional information:"))])
+
+
 @query
 def section_extract(spark, d):
-    t = table(spark, d, "documents").where("doc_kind = 'card' and lang = 'en'")
-    return t.select("doc_id", *[tx.section(F.col("text"), s, LABELS).alias(n) for n, s in (("activity", "Activity:"), ("assay", "Assay:"), ("information", "Additional information:"))])
+    return _section_extract(_english(spark, d))
+
+
+@query
+def section_extract_all(spark, d):
+    return _section_extract(table(spark, d, "documents"))
 
 
 @query

@@ -183,3 +183,33 @@ def test_query_equals_sql(spark, name):
 def test_every_branch_of_stability_occurs(spark):
     flags = {r.stability_flag for r in queries.stability_flag(spark, SMALLEST).collect()}
     assert flags == {"singleton", "unknown", "cross_source_consistent", "within_range_consistent", "conflicting"} and not math.isnan(1.0)
+
+
+def test_document_queries_read_every_language(spark):
+    import re
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    got = {n: {r.doc_id: r for r in queries.queries()[f"{n}_all"](spark, SMALL).collect()} for n in ("ic50_from_text", "year_extract", "page_keyword_hits", "page_class", "section_extract")}
+    ids, cards = {r.doc_id for r in docs}, {r.doc_id for r in docs if r.doc_kind == "card"}
+    assert all(set(got[n]) == ids for n in ("ic50_from_text", "page_keyword_hits", "page_class")) and set(got["section_extract"]) == cards
+    number, unit = r"([0-9]+(?:\.[0-9]+)?)", r"(µM|μM|uM|nM|mM|M|micromole|micromolar)\b"
+    patterns = [re.compile(p, re.I | re.A) for p in (rf"\bIC50\s*:?\s*([<>≤≥]?)\s*{number}\s*{unit}", rf"\bIC50\b.*?\b(?:was|is|of)\s*([<>≤≥]?)\s*{number}\s*{unit}", rf"\bIC50\s*:?\s*([<>≤≥]?)\s*{number}\b")]
+    labels = "|".join(map(re.escape, queries.LABELS))
+    foreign_values = 0
+    for r in docs:
+        text, g = r.text or "", got["ic50_from_text"][r.doc_id]
+        hit = next((m for m in (p.search(text) for p in patterns) if m), None)
+        assert (g.value, g.status == "missing") == (hit and round(float(hit[2]), 6), not hit), text
+        foreign_values += bool(hit) and r.lang != "en"
+        low = text.lower()
+        assert got["page_keyword_hits"][r.doc_id].hits == " | ".join(w for w in queries.PAGE_WORDS if w in low)
+        card, prose = (sum(w in low for w in ws) for ws in (["entry:", "sequence:", "activity:", "assay:"], ["was", "the", "of"]))
+        assert got["page_class"][r.doc_id].page_class == ("detail" if card > prose else "list" if prose > card else "other")
+        years = [int(y) for y in re.findall(r"\b((?:19|20)\d{2})\b", text, re.A)]
+        if years:
+            assert (got["year_extract"][r.doc_id].latest, got["year_extract"][r.doc_id].earliest) == (max(years), min(years))
+        if r.doc_id in cards:
+            found = re.search(rf"Activity:(.*?)(?:{labels}|$)", text, re.I | re.S)
+            want = " ".join(found[1].split()) if found else ""
+            assert (got["section_extract"][r.doc_id].activity or "") == ("" if want.lower() in tx.MISSING_TOKENS else want)
+    assert foreign_values > 10

@@ -4,7 +4,7 @@ Word trigrams are counted inside texts and at their ends. The final trigram of e
 counts: one that is frequent inside but almost never ends a text marks a cut. Numbers, ids and residue strings
 count as one word class each, CJK characters are words. A final word may itself be cut: it is a fragment where
 nearly all inside trigrams behind the same two words continue it. Trigrams that often end a line inside texts
-may end a text. Final trigrams too rare to judge fall back to the last two words. Texts that stop inside markup, an entity or a broken character are cut
+may end a text. Final trigrams too rare to judge fall back to the last two words, and these to the last one. Texts that stop inside markup, an entity or a broken character are cut
 whatever the counts say; what is put after a cut (dots, "more") is taken off first.
 
 All counts are over distinct texts (case and white space folded), so that a text delivered again is no witness of
@@ -28,7 +28,7 @@ from assaylake.session import cut_lineage
 #: Share of an arbitrary trigram's occurrences at which texts are cut by chance; a final trigram with no more ends than
 #: that (plus three deviations and one) is no natural end. Occurrences from which a trigram is judged.
 CHANCE_SHARE, LEAST_SEEN = 0.0025, 8
-#: The same for the last two words, used where the trigram is too rare.
+#: The same for the last two words, used where the trigram is too rare, and for the last one where both are.
 LEAST_PAIR_SHARE, LEAST_PAIRS = 0.002, 100
 #: A last word is a fragment if its whole forms hold at least all but this share of the inside occurrences.
 FRAGMENT_SHARE = 0.02
@@ -45,6 +45,9 @@ MARKERS = r"(?:\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|\.{3})(
 INSIDE_MARKUP = r"(?:<[/!]?[A-Za-z]*(?:\s[^<>]{0,80})?|&#?[A-Za-z0-9]{0,10}|�)$"
 WORD = r"[\p{L}\p{M}#@&&[^\p{IsHan}]]+(?:[-'’_/][\p{L}\p{M}#@&&[^\p{IsHan}]]+)*(?:[-/](?=\s|$))?|[^\s]"
 
+# What a residue string cannot touch: letters of the scripts that write words apart, and numbers.
+JOINED = r"[\p{L}#&&[^\p{IsHan}]]"
+
 
 def words(text: Column, residues: bool = True) -> Column:
     """The words of a text, in classes: ``#`` for numbers, ``@`` for residue strings, lower case.
@@ -53,9 +56,9 @@ def words(text: Column, residues: bool = True) -> Column:
     """
     t = F.regexp_replace(F.replace(text, F.lit(LINE), F.lit("")), r"\s*[\r\n]\s*", LINE + " ")
     t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", "#")
-    # In a text all in capitals every word would look like residues.
+    # In a text all in capitals every word would look like residues, unless its words are in Han characters.
     if residues:
-        t = F.when(t.rlike(r"\p{Ll}"), F.regexp_replace(t, r"(?<![\p{L}#])[ACDEFGHIKLMNPQRSTVWY]+(?![\p{L}#])", "@")).otherwise(t)
+        t = F.when(t.rlike(r"[\p{Ll}\p{IsHan}]"), F.regexp_replace(t, rf"(?<!{JOINED})[ACDEFGHIKLMNPQRSTVWY]+(?!{JOINED})", "@")).otherwise(t)
     return F.regexp_extract_all(F.lower(t), F.lit(f"(?:{WORD}){LINE}?"), F.lit(0))
 
 
@@ -116,10 +119,11 @@ def unnatural_ends(grams: DataFrame, residue_ends: DataFrame) -> DataFrame:
         hit = left.where(letters).join(long, on).where(F.startswith("longer", F.col("c")) & (F.col("longer") != F.col("c")))
         return hit.groupBy(*left.columns).agg(F.sum("n").alias(name))
 
+    last = pairs.groupBy("c").agg(F.sum("inside2").alias("inside1"), F.sum("ends2").alias("ends1"))
     more3 = continued(finals.select("a", "b", "c"), grams, ["a", "b"], "inside", "more3")
     last_pairs = finals.select("b", "c").distinct().join(pairs, ["b", "c"])
     more2 = continued(last_pairs.select("b", "c"), pairs, ["b"], "inside2", "more2")
-    f = finals.join(more3, ["a", "b", "c"], "left").join(last_pairs.join(more2, ["b", "c"], "left"), ["b", "c"]).fillna(0, ["more3", "more2"])
+    f = finals.join(more3, ["a", "b", "c"], "left").join(last_pairs.join(more2, ["b", "c"], "left").join(last, "c"), ["b", "c"]).fillna(0, ["more3", "more2"])
     inside, ends, more3, more2 = F.col("inside"), F.col("ends"), F.col("more3"), F.col("more2")
     fragment = (more3 >= 2) & (inside <= FRAGMENT_SHARE * more3)
 
@@ -127,16 +131,19 @@ def unnatural_ends(grams: DataFrame, residue_ends: DataFrame) -> DataFrame:
         by_chance = CHANCE_SHARE * (held + ends)
         return (held > 0) & (held + ends >= LEAST_SEEN) & (ends <= by_chance + 3 * F.sqrt(by_chance) + 1)
 
-    def pair_seldom_ends(held: Column) -> Column:
-        return (held >= LEAST_PAIRS) & (F.col("ends2") < LEAST_PAIR_SHARE * held)
+    def others_seldom_end(held: Column, n: str) -> Column:
+        """Of the shorter last words; the text that is judged does not count itself."""
+        return (held >= LEAST_PAIRS) & (F.col(n) - 1 < LEAST_PAIR_SHARE * held)
 
     rare, pair_rare = inside + ends < LEAST_SEEN, F.col("inside2") < LEAST_PAIRS
     judged = F.when(rare, seldom_ends(F.col("row_inside"))).otherwise(seldom_ends(inside))
     pair_fragment = (inside == 0) & (more2 >= LEAST_SEEN) & (F.col("inside2") <= FRAGMENT_SHARE * more2)
-    pair_judged = F.when(pair_rare, pair_seldom_ends(F.col("row_inside2"))).otherwise(pair_seldom_ends(F.col("inside2")))
+    pair_held = F.when(pair_rare, F.col("row_inside2")).otherwise(F.col("inside2"))
+    pair_judged = others_seldom_end(pair_held, "ends2")
+    word_judged = (pair_held < LEAST_PAIRS) & others_seldom_end(F.col("inside1"), "ends1")
     line = (F.col("lines") > 0) & (F.col("lines") >= LINE_SHARE * inside)
     stop = F.col("c").isin(*STOPS) & (F.col("b") != "#")  # a number before a stop may have been cut itself
-    found = f.where(~line & ~stop & (fragment | judged | rare & (pair_fragment | pair_judged))).select("a", "b", "c")
+    found = f.where(~line & ~stop & (fragment | judged | rare & (pair_fragment | pair_judged | word_judged))).select("a", "b", "c")
     real = grams.where("c = '@'").select("a", "b", F.col("inside").alias("real"))
     starts = continued(residue_ends, grams, ["a", "b"], "inside", "more3").join(real, ["a", "b"], "left")
     return found.unionByName(starts.where((more3 >= 2) & (F.coalesce("real", F.lit(0)) <= FRAGMENT_SHARE * more3)).select("a", "b", "c"))

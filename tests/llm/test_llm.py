@@ -164,3 +164,13 @@ def test_copies_of_a_cut_text_do_not_make_its_end_natural(spark):
     # Nor are whole texts cut that end alike in different words.
     alike = spark.createDataFrame([(i, t + " Kept by the visiting") for i, t in enumerate(whole)] + [(100 + i, t) for i, t in enumerate(whole)], "doc_id long, text string")
     assert truncation.truncated(alike).count() == 0
+
+
+def test_residues_beside_han_characters_and_rare_ends(spark):
+    residues = [a + b + c for a in "ACDEF" for b in "GHIK" for c in "LMNPQ"]
+    han = [f"样品{i}。序列{r}与{r[::-1]}只差一个残基。" for i, r in enumerate(residues)]
+    german = [f"Probe {a} mit kappa Casein blieb {b} ohne Wirkung." for a in ("roh", "warm", "kalt", "mild", "herb", "sauer") for b in ("lange", "kurz", "oft", "meist", "sonst", "immer", "weiter", "noch", "hier", "dort", "nun", "bald", "wieder", "selten", "stets", "heute", "kaum", "eben")]
+    cut = ["样品一。序列FEW", "样品二。序列MCW与RVWFW只", "Nichts blieb anders. kappa"]
+    rows = list(enumerate(han + german + ["Nichts blieb anders. unseren"])) + [(1000 + i, t) for i, t in enumerate(cut)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in truncation.truncated(df).collect()} == {1000, 1001, 1002}

@@ -12,21 +12,31 @@ from assaylake.session import table
 
 GROUP = ["merge_batch", "peptide"]
 MERGED = "ace_short_2_3_merged_sequence_level_v0_3"
-#: Fields chosen one by one for the surviving record.
-SURVIVING_TEXTS = ["ic50_status_set", "ic50_relation_set", "species_set", "protein_id_set", "doi_set", "stability_flag", "database_reference_raw_set"]
+#: Fields chosen one by one for the surviving record: texts, numbers that must be above 0, whole numbers.
+SURVIVING_TEXTS = [
+    "sequence", "source_name_set", "merged_record_id_list", "source_record_id_list", "species_set", "protein_id_set", "doi_set", "ic50_relation_set",
+    "ic50_status_set", "stability_flag", "stability_note", "database_reference_raw_set",
+]
+SURVIVING_AMOUNTS = ["ic50_uM_min", "ic50_uM_max", "ic50_uM_mean", "ic50_uM_median", "ic50_spread_ratio_max_min"]
+SURVIVING_COUNTS = [
+    "peptide_length", "source_count", "record_count_total", "record_count_ahtpdb", "record_count_biopep", "record_count_mbpdb", "record_count_fermfooddb",
+    "cross_source_overlap_flag", "bibliographic_year_min", "bibliographic_year_max",
+]
+SURVIVING = [*SURVIVING_TEXTS, *SURVIVING_AMOUNTS, *SURVIVING_COUNTS]
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["row_id", "sequence", "peptide_length", "source_count", "source_name_set", "merge_batch", "merged_at", "ic50_uM_median", *SURVIVING_TEXTS]
-    return representative.grouped(table(spark, sf_dir, MERGED).select(*cols), "merge_batch", "sequence", "peptide_length")
+    return representative.grouped(table(spark, sf_dir, MERGED).select("row_id", *SURVIVING, "merge_batch", "merged_at"), "merge_batch", "sequence", "peptide_length")
 
 
 def _fields(names: list[str]) -> dict:
-    median = F.col("ic50_uM_median")
-    fields = {"ic50_uM_median": F.when(~F.isnan(median) & (median > 0), median)}
+    fields = {}
     for n in names:
-        t = F.lower(F.trim(n))
-        fields[n] = F.when(~t.isin(MISSING_TOKENS), F.col(n))
+        v = F.col(n)
+        if n in SURVIVING_TEXTS:
+            fields[n] = F.when(~F.lower(F.trim(v)).isin(MISSING_TOKENS), v)
+        else:
+            fields[n] = F.when(~F.isnan(v) & (v > 0), v) if n in SURVIVING_AMOUNTS else v
     return fields
 
 
@@ -46,7 +56,7 @@ def _groups(rows: DataFrame) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _merged(spark, sf_dir)
     groups = _groups(rows)
-    support, _ = representative.truth_discovery(_claims(rows, ["ic50_status_set"]), GROUP)
+    support, _ = representative.truth_discovery(_claims(rows, ["ic50_uM_median", "ic50_status_set"]), GROUP)
     best = representative.survivors(support, GROUP, by_precedence=True)
 
     def row_of(field: str):
@@ -59,12 +69,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per peptide and batch, each field by the support that truth discovery finds for its values."""
     rows = _merged(spark, sf_dir)
-    support, _ = representative.truth_discovery(_claims(rows, SURVIVING_TEXTS), GROUP)
+    support, _ = representative.truth_discovery(_claims(rows, SURVIVING), GROUP)
     best = representative.survivors(support, GROUP, by_precedence=False)
-    fields = ["ic50_uM_median", *SURVIVING_TEXTS]
-    record = best.groupBy(*GROUP).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
-    sizes = rows.groupBy(*GROUP).agg(F.min("row_id").alias("group_row_id"), F.count(F.lit(1)).alias("n_rows"))
-    return sizes.join(record, GROUP, "left").select("group_row_id", *GROUP, "n_rows", F.col("ic50_uM_median").cast("double").alias("ic50_uM_median"), *SURVIVING_TEXTS)
+    kinds = dict(rows.dtypes)
+    record = best.groupBy(*GROUP).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).cast(kinds[f]).alias(f) for f in SURVIVING])
+    sizes = rows.groupBy(*GROUP).agg(F.min("row_id").alias("group_row_id"), F.count(F.lit(1)).alias("n_rows"), F.max("merged_at").alias("merged_at"))
+    return sizes.join(record, GROUP, "left").select("group_row_id", *GROUP, "n_rows", *SURVIVING, "merged_at")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

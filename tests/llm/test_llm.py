@@ -174,3 +174,42 @@ def test_residues_beside_han_characters_and_rare_ends(spark):
     rows = list(enumerate(han + german + ["Nichts blieb anders. unseren"])) + [(1000 + i, t) for i, t in enumerate(cut)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0] for r in truncation.truncated(df).collect()} == {1000, 1001, 1002}
+
+
+def test_survivors_have_all_fields(spark):
+    merged = spark.read.parquet(f"{SMALL}/{queries.MERGED}.parquet")
+    got = queries.p3_survivors(spark, SMALL)
+    kinds = dict(merged.dtypes)
+    assert set(merged.columns) - {"row_id"} <= set(got.columns) and all(kinds[c] == k for c, k in got.dtypes if c in kinds)
+    rows, groups = queries._merged(spark, SMALL).collect(), {}
+    for r in rows:
+        groups.setdefault((r.merge_batch, r.peptide), []).append(r)
+    survivors = got.collect()
+    assert len(survivors) == len(groups)
+    for r in survivors:
+        members = groups[(r.merge_batch, r.peptide)]
+        for f in queries.SURVIVING:
+            present = {m[f] for m in members if m[f] is not None and (f not in queries.SURVIVING_AMOUNTS or m[f] > 0) and (f not in queries.SURVIVING_TEXTS or m[f].strip().lower() not in queries.MISSING_TOKENS)}
+            assert r[f] in present if present else r[f] is None, (f, r[f], present)
+
+
+def test_truth_discovery_settles_or_fails(spark):
+    rows = [(g, "f", "right", s, g) for g in range(9) for s in ("a", "b")] + [(g, "f", "wrong", s, g) for g in range(9) for s in "cd"[: 1 + g % 2]]
+    rows += [(20, "f", x, s, 20) for x, s in (("u", "a"), ("v", "b"), ("w", "c"))] + [(21, "f", x, s, 21) for x, s in (("u", "c"), ("u", "d"), ("v", "a"))]
+    c = spark.createDataFrame(rows, "g int, field string, value string, source string, best int").withColumn("n", F.lit(1))
+    trust, moved, cells = dict.fromkeys("abcd", 0.8), 1, {}
+    for g, _, v, s, _ in rows:
+        cells.setdefault(g, {}).setdefault(v, []).append(s)
+    while moved >= representative.TOLERANCE:
+        shares = {s: [] for s in trust}
+        for cell in cells.values():
+            total = sum(trust[s] for side in cell.values() for s in side)
+            for side in cell.values():
+                for s in side:
+                    shares[s].append(sum(trust[x] for x in side) / total)
+        new = {s: max(sum(x) / len(x), 0.01) for s, x in shares.items()}
+        moved, trust = max(abs(new[s] - trust[s]) for s in trust), new
+    got = {r.source: r.trust for r in representative.truth_discovery(c, ["g"])[1].collect()}
+    assert got == pytest.approx(trust, abs=1e-9)
+    with pytest.raises(representative.NotConverged):
+        representative.truth_discovery(c, ["g"], rounds=2)

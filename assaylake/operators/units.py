@@ -19,10 +19,9 @@ NUMBER = r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+,\d{1,2}|\d+(?:\.\d+)?|\.\d+)"
 EXPONENT = r"(?:[eE]([+-]?\d+)|\s*[x×*]\s*10\s*\^?\s*([+-]?\d+))?"
 ERROR = r"(?:\s*(?:±|\+/-|\+-)\s*" + NUMBER + r"(?:[eE][+-]?\d+)?)?"
 SINGLE = rf"^({NUMBER}){EXPONENT}{ERROR}\s*(.*)$"
-EXP_OR_NONE = EXPONENT.replace("([+-]", "(?:[+-]")
 RANGE = (
-    rf"^({NUMBER}){EXP_OR_NONE}{ERROR}\s*(?:([A-Za-zμ%][A-Za-zμ%/]*)(?:\s*~\s*|\s+(?:-|to)\s+)|-\s*|~\s*|to\s+)"
-    rf"({NUMBER}){EXP_OR_NONE}{ERROR}\s*(.*)$"
+    rf"^({NUMBER}){EXPONENT}{ERROR}\s*(?:([A-Za-zμ%][A-Za-zμ%/]*)(?:\s*~\s*|\s+(?:-|to)\s+)|-\s*|~\s*|to\s+)"
+    rf"({NUMBER}){EXPONENT}{ERROR}\s*(.*)$"
 )
 LEAD = r"(?i)^\s*(?:ic\s?50\s*(?:value)?\s*[:=]?\s*)?(?:(?:<=|>=|=<|=>|[<>≤≥~≈=]|ca\.?|circa|about|approx\.?)\s*)*"
 
@@ -69,10 +68,11 @@ def unit_key(unit: Column) -> Column:
 
 
 def quantity(text: Column) -> Column:
-    """Struct (kind, value, upper, unit_text) of a potency text in plain form.
+    """Struct (kind, value, upper, unit_text, unit_low, unit_high) of a potency text in plain form.
 
     kind: missing, bare, single, percent, range or bad. Labels, relation signs, errors and bracketed remarks
     are ignored. ``unit_text`` still has to be looked up; ``value`` is null where no number is read.
+    In a range each end has its own unit, or the one that is written.
     """
     t = F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)|\[[^\]]*\]", ""), LEAD, ""))
 
@@ -83,32 +83,36 @@ def quantity(text: Column) -> Column:
     def part(pattern: str, g: int) -> Column:
         return F.regexp_extract(t, pattern, g)
 
-    exp = F.coalesce(F.concat(part(SINGLE, 2), part(SINGLE, 3)).try_cast("int"), F.lit(0))
+    def scaled(pattern: str, g: int) -> Column:
+        """The number may carry powers of ten; they are applied as a text exponent, so that 1.5e-5 stays exact."""
+        exp = F.coalesce(F.concat(part(pattern, g + 1), part(pattern, g + 2)).try_cast("int"), F.lit(0))
+        n = number(part(pattern, g))
+        return F.when(exp == 0, n).otherwise(F.concat(n.cast("string"), F.lit("E"), exp.cast("string")).try_cast("double"))
+
     single, ranged = t.rlike(SINGLE), t.rlike(RANGE)
     unit = F.trim(part(SINGLE, 4))
-    # The number may carry powers of ten; they are applied as a text exponent, so that 1.5e-5 stays exact.
-    scaled = F.when(exp == 0, number(part(SINGLE, 1))).otherwise(
-        F.concat(number(part(SINGLE, 1)).cast("string"), F.lit("E"), exp.cast("string")).try_cast("double")
-    )
+    tail, middle = F.nullif(F.trim(part(RANGE, 8)), F.lit("")), F.nullif(part(RANGE, 4), F.lit(""))
     return F.when(text.isNull() | F.lower(F.trim(text)).isin(MISSING_TOKENS), _quantity("missing")).when(
-        ranged, _quantity("range", number(part(RANGE, 1)), number(part(RANGE, 3)), F.trim(F.concat_ws(" ", F.nullif(part(RANGE, 4), F.lit("")), F.nullif(part(RANGE, 2), F.lit("")))))
+        ranged, _quantity("range", scaled(RANGE, 1), scaled(RANGE, 5), F.concat_ws(" ", tail, middle), F.coalesce(middle, tail), F.coalesce(tail, middle))
     ).when(
-        single, _quantity(F.when(unit == "", "bare").when(unit.rlike("^%"), "percent").otherwise("single"), scaled, None, unit)
+        single, _quantity(F.when(unit == "", "bare").when(unit.rlike("^%"), "percent").otherwise("single"), scaled(SINGLE, 1), None, unit)
     ).otherwise(_quantity("bad"))
 
 
 def parse_potency(df: DataFrame, raw: str) -> DataFrame:
     """Adds ``q``, the :func:`quantity` of the plain form of ``raw``, evaluated once a row."""
-    kept = [c for c in df.columns if c not in ("q", "q_text")]
+    kept = [c for c in df.columns if c not in ("q", "q_text", "q_field")]
     return df.select(*kept, once(plain(F.col(raw))).alias("q_text")).select(*kept, once(quantity(F.col("q_text"))).alias("q"))
 
 
-def _quantity(kind: Column | str, value: Column | None = None, upper: Column | None = None, unit: Column | None = None) -> Column:
+def _quantity(kind: Column | str, value: Column | None = None, upper: Column | None = None, unit: Column | None = None, low: Column | None = None, high: Column | None = None) -> Column:
     return F.struct(
         (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
         (F.lit(None).cast("double") if value is None else value).alias("value"),
         (F.lit(None).cast("double") if upper is None else upper).alias("upper"),
         (F.lit("") if unit is None else unit).alias("unit_text"),
+        (F.lit(None).cast("string") if low is None else low).alias("unit_low"),
+        (F.lit(None).cast("string") if high is None else high).alias("unit_high"),
     )
 
 
@@ -124,35 +128,45 @@ def convert_potency(
     df: DataFrame, raw: str = "ic50_raw", unit: str = "ic50_unit", mass: str = "mass_da", mass_raw: str = "mass_raw",
     source: str = "source_name", source_defaults: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Adds ``q_kind, q_value, q_unit, q_dimension, q_unit_from, q_mass_da, q_nm`` and keeps all columns and rows.
+    """Adds ``q_kind, q_value, q_unit, q_dimension, q_unit_from, q_mass_da, q_nm, q_low_nm, q_high_nm`` and keeps all columns and rows.
 
     ``q_nm`` (nanomolar) is null, the row left open, when the text is no single positive number, no unit is
-    known, or a mass concentration lacks a positive mass. Null, empty and very long texts are open rows too.
-    Added names that clash with input columns replace them.
+    known, or a mass concentration lacks a positive mass. ``q_low_nm`` and ``q_high_nm`` are the ends of a range,
+    the smaller first, both or neither; ``q_unit`` and ``q_dimension`` of a range are those of its last end. Null, empty and very long texts are open rows too.
+    ``q_low_dimension`` is that of the first end. Added names that clash with input columns replace them.
     """
     spark = df.sparkSession
     default = F.lit(None).cast("string")
     for name, u in (source_defaults or {}).items():
         default = F.when(F.col(source) == name, F.lit(u)).otherwise(default)
-    unit_plain = F.trim(plain(F.col(unit)))
-    unit_field = F.when(~F.lower(unit_plain).isin(MISSING_TOKENS), unit_plain)
     parsed = parse_potency(df, raw)
-    own = F.when(F.col("q.kind") == "single", F.col("q.unit_text"))
-    bare = F.col("q.kind") == "bare"
+    parsed = parsed.select("*", once(F.trim(plain(F.col(unit)))).alias("q_field"))
+    unit_field = F.when(~F.lower("q_field").isin(MISSING_TOKENS), F.col("q_field"))
+    ranged = F.col("q.kind") == "range"
+    own = F.when(F.col("q.kind") == "single", F.col("q.unit_text")).when(ranged, F.col("q.unit_high"))
+    bare = (F.col("q.kind") == "bare") | (ranged & own.isNull())
     parsed = parsed.withColumns(
         {
             "q_unit": F.coalesce(own, F.when(bare, F.coalesce(unit_field, default))),
             "q_unit_from": F.when(own.isNotNull(), "text").when(bare & unit_field.isNotNull(), "field").when(bare & default.isNotNull(), "source"),
             "q_mass_da": mass_in_dalton(F.col(mass), F.col(mass_raw)),
         }
-    ).withColumn("q_alias", unit_key(F.col("q_unit")))
+    ).withColumns({"q_alias": unit_key(F.col("q_unit")), "q_low_alias": unit_key(F.coalesce(F.when(ranged, F.col("q.unit_low")), F.col("q_unit")))})
     units = F.broadcast(unit_table(spark).select(F.col("alias").alias("q_alias"), F.col("dimension").alias("q_dimension"), F.col("factor").alias("q_factor"), F.col("offset").alias("q_offset")))
-    joined = parsed.join(units, "q_alias", "left")
-    common = F.col("q.value") * F.col("q_factor") + F.col("q_offset")
-    nm = F.when(F.col("q_dimension") == "molar", common).when(F.col("q_dimension") == "mass", common * 1e9 / F.col("q_mass_da"))
+    low_units = units.toDF("q_low_alias", "q_low_dimension", "q_low_factor", "q_low_offset")
+    joined = parsed.join(units, "q_alias", "left").join(F.broadcast(low_units), "q_low_alias", "left")
+
+    def in_nm(value: Column, at: str) -> Column:
+        common = value * F.col(f"{at}_factor") + F.col(f"{at}_offset")
+        dimension = F.col(f"{at}_dimension")
+        return F.when(value > 0, F.when(dimension == "molar", common).when(dimension == "mass", common * 1e9 / F.col("q_mass_da")))
+
+    first, last = in_nm(F.col("q.value"), "q_low"), in_nm(F.col("q.upper"), "q")
+    both = ranged & first.isNotNull() & last.isNotNull()
     return joined.withColumns(
-        {"q_kind": F.col("q.kind"), "q_value": F.col("q.value"), "q_nm": F.when(F.col("q.kind").isin("single", "bare") & (F.col("q.value") > 0), nm)}
-    ).drop("q", "q_alias", "q_offset")
+        {"q_kind": F.col("q.kind"), "q_value": F.col("q.value"), "q_nm": F.when(F.col("q.kind").isin("single", "bare"), in_nm(F.col("q.value"), "q")),
+         "q_low_nm": F.when(both, F.least(first, last)), "q_high_nm": F.when(both, F.greatest(first, last))}
+    ).drop("q", "q_field", "q_alias", "q_offset", "q_low_alias", "q_low_factor", "q_low_offset")
 
 
 def half_up(x: Column) -> Column:

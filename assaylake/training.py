@@ -20,16 +20,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_potency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row with its potency in micromolar, or open with the reason."""
+    """Every row with its potency in micromolar (both ends of a range) and mass in dalton, or open with the reason."""
     q = units.convert_potency(table(spark, sf_dir, "fermfoodb_ace_master_clean").select(*UNIT_COLUMNS))
+    ranged = F.col("q_kind") == "range"
+    number = F.col("q_kind").isin("single", "bare") | ranged
+    by_mass = (F.col("q_dimension") == "mass") | (ranged & (F.col("q_low_dimension") == "mass"))
     status = (
         F.when(F.col("q_nm").isNotNull(), "converted")
-        .when(F.col("q_kind").isin("single", "bare") & F.col("q_unit").isNull(), "no_unit")
-        .when(F.col("q_kind").isin("single", "bare") & F.col("q_dimension").isNull(), "unknown_unit")
-        .when((F.col("q_dimension") == "mass") & F.col("q_mass_da").isNull(), "no_mass")
-        .when(F.col("q_kind").isin("single", "bare"), "not_positive").otherwise(F.col("q_kind"))
+        .when(F.col("q_low_nm").isNotNull(), "converted_range")
+        .when(ranged & F.startswith("q_unit", F.lit("%")), "percent")
+        .when(number & F.col("q_unit").isNull(), "no_unit")
+        .when(number & (F.col("q_dimension").isNull() | (ranged & F.col("q_low_dimension").isNull())), "unknown_unit")
+        .when(by_mass & F.col("q_mass_da").isNull(), "no_mass")
+        .when(number, "not_positive").otherwise(F.col("q_kind"))
     )
-    return q.select("row_id", F.round(F.col("q_nm") / 1000, 6).alias("potency_um"), "q_unit_from", status.alias("potency_status"))
+
+    def um(nm: str, name: str):
+        return F.round(F.col(nm) / 1000, 6).alias(name)
+
+    return q.select("row_id", um("q_nm", "potency_um"), um("q_low_nm", "potency_um_low"), um("q_high_nm", "potency_um_high"), F.col("q_mass_da").alias("mass_da"), "q_unit_from", status.alias("potency_status"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,28 @@ def test_units_of_potency(spark):
             assert nm == want, (key, kind, nm)
 
 
+def test_ranges_come_out_in_micromolar(spark, tmp_path):
+    cases = [
+        ("1.2-3.4 mg/ml", None, "500 Da", 500.0, (2400.0, 6800.0, 500.0, "converted_range")),
+        ("10 to 20 uM", "nM", None, None, (10.0, 20.0, None, "converted_range")),
+        ("500 nM to 1.5 μM", None, None, None, (0.5, 1.5, None, "converted_range")),
+        ("5 mM - 10 mM", None, None, None, (5000.0, 10000.0, None, "converted_range")),
+        ("1.5e-6-2.5e-6 M", None, None, None, (1.5, 2.5, None, "converted_range")),
+        ("5-10", "mM", None, None, (5000.0, 10000.0, None, "converted_range")),
+        ("1-2 mg/ml", None, None, None, (None, None, None, "no_mass")),
+        ("5-10", None, "0.7 kDa", 0.7, (None, None, 700.0, "no_unit")),
+        ("0-10 nM", None, None, None, (None, None, None, "not_positive")),
+        ("10-20 %", "nM", None, None, (None, None, None, "percent")),
+        ("5-10 min", None, None, None, (None, None, None, "unknown_unit")),
+        ("7 uM", None, None, None, (None, None, None, "converted")),
+    ]
+    schema = "row_id long, source_name string, ic50_raw string, ic50_unit string, mass_raw string, mass_da double"
+    spark.createDataFrame([(i, "FermFooDb", *c[:4]) for i, c in enumerate(cases)], schema).write.parquet(f"{tmp_path}/fermfoodb_ace_master_clean.parquet")
+    got = [(r.potency_um_low, r.potency_um_high, r.mass_da, r.potency_status) for r in sorted(training.p1_potency(spark, str(tmp_path)).collect())]
+    assert got == [c[4] for c in cases]
+    assert not any(r.potency_um for r in training.p1_potency(spark, str(tmp_path)).where("row_id < 11").collect())
+
+
 def test_units_empty_and_repeated(spark):
     schema = "row_id long, source_name string, ic50_raw string, ic50_unit string, mass_raw string, mass_da double"
     assert units.convert_potency(spark.createDataFrame([], schema)).count() == 0

@@ -6,6 +6,7 @@ row position where a duplicate policy needs file order.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import time
 import urllib.error
@@ -23,7 +24,7 @@ from assaylake.functions.text import clean_text, strip_bom
 # Columns of the raw tab-separated activity tables.
 RAW_COLUMNS = ["id", "seq", "len", "molwt", "ic50", "source", "mice", "method", "assay", "bitter", "pi", "bp"]
 ENCODINGS = ["utf-8-sig", "utf-8", "gb18030", "latin1"]
-SNIFF_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 20
 
 
 class SchemaError(ValueError):
@@ -70,18 +71,26 @@ def read_tsv(spark: SparkSession, path: str, required: list[str] = (), banner: s
     return df.where(~empty & ~F.coalesce(first.startswith(banner), F.lit(False)))
 
 
+def decodes(path: str, encoding: str) -> bool:
+    """Whether the whole file, read in blocks, is valid in the encoding."""
+    decoder = codecs.getincrementaldecoder(encoding)()
+    with Path(path).open("rb") as f:
+        try:
+            while block := f.read(BLOCK_BYTES):
+                decoder.decode(block)
+            decoder.decode(b"", final=True)
+        except UnicodeDecodeError:
+            return False
+    return True
+
+
 def sniff(path: str) -> tuple[str, str]:
-    """(encoding, separator) of a local file, from its first megabyte."""
-    head = Path(path).open("rb").read(SNIFF_BYTES)
+    """(encoding, separator) of a local file: the first encoding in which all of it is valid, and the separator of its first line."""
     for enc in ENCODINGS:
-        try:
-            text = head.decode(enc)
-        except UnicodeDecodeError as bad:
-            if bad.start < len(head) - 4 or len(head) < SNIFF_BYTES:
-                continue
-            text = head[: bad.start].decode(enc)
-        line = text.splitlines()[0] if text else ""
-        return enc, max(",\t;", key=line.count)
+        if decodes(path, enc):
+            with Path(path).open(encoding=enc) as f:
+                line = f.readline(BLOCK_BYTES)
+            return enc, max(",\t;", key=line.count)
     raise SchemaError(f"{path}: no known encoding")
 
 

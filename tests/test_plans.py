@@ -213,3 +213,15 @@ def test_document_queries_read_every_language(spark):
             want = " ".join(found[1].split()) if found else ""
             assert (got["section_extract"][r.doc_id].activity or "") == ("" if want.lower() in tx.MISSING_TOKENS else want)
     assert foreign_values > 10
+
+
+def test_encoding_is_decided_by_the_whole_file(spark, tmp_path):
+    filler = "plain,1\n" * 200_000  # more than a megabyte of ASCII before the first other byte
+    for enc, word in (("utf-8", "值é"), ("gb18030", "值很高"), ("latin1", "Käse à")):
+        (tmp_path / "c.csv").write_bytes(f"name,b\n{filler}{word},2\n".encode(enc))
+        assert readers.sniff(str(tmp_path / "c.csv"))[0].replace("-sig", "") == enc
+        assert readers.read_any_csv(spark, str(tmp_path / "c.csv"), ["name"]).where("b = '2'").collect()[0]["name"] == word
+    (tmp_path / "split.csv").write_bytes(b"a;b\n" + b"x" * ((1 << 20) - 5) + "值;2\n".encode())  # a character across two blocks
+    assert readers.sniff(str(tmp_path / "split.csv")) == ("utf-8-sig", ";")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert readers.sniff(str(tmp_path / "empty.csv")) == ("utf-8-sig", ",")

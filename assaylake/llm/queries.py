@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.text import MISSING_TOKENS, clean_text
 from assaylake.llm import leakage, plain_text, representative, tokens, truncation
-from assaylake.llm.sql import ORACLES
-from assaylake.session import table
+from assaylake.llm.sql import ORACLES, survivors
+from assaylake.session import cut_lineage, table
 
 GROUP = ["merge_batch", "peptide"]
 MERGED = "ace_short_2_3_merged_sequence_level_v0_3"
@@ -54,10 +54,11 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose values survive a vote that the stated precedence leads; see representative.truth_discovery."""
     rows = _merged(spark, sf_dir)
     groups = _groups(rows)
-    support, _ = representative.truth_discovery(_claims(rows, ["ic50_uM_median", "ic50_status_set"]), GROUP)
-    best = representative.survivors(support, GROUP, by_precedence=True)
+    c = cut_lineage(_claims(rows, ["ic50_uM_median", "ic50_status_set"]))
+    best, _ = representative.truth_discovery(c, GROUP, lead=representative.outweighing(c))
 
     def row_of(field: str):
         return F.coalesce(F.max(F.when(F.col("field") == field, -F.col("best.neg_row"))), F.lit(0))
@@ -67,10 +68,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per peptide and batch, each field by the support that truth discovery finds for its values."""
+    """One record per peptide and batch, each field by the support that truth discovery alone finds for its values."""
     rows = _merged(spark, sf_dir)
-    support, _ = representative.truth_discovery(_claims(rows, SURVIVING), GROUP)
-    best = representative.survivors(support, GROUP, by_precedence=False)
+    best, _ = representative.truth_discovery(cut_lineage(_claims(rows, SURVIVING)), GROUP)
     kinds = dict(rows.dtypes)
     record = best.groupBy(*GROUP).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).cast(kinds[f]).alias(f) for f in SURVIVING])
     sizes = rows.groupBy(*GROUP).agg(F.min("row_id").alias("group_row_id"), F.count(F.lit(1)).alias("n_rows"), F.max("merged_at").alias("merged_at"))
@@ -108,4 +108,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"p3_survivors": survivors(SURVIVING_TEXTS, SURVIVING_AMOUNTS, SURVIVING_COUNTS)}

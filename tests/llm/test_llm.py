@@ -134,16 +134,56 @@ def test_survivors_against_brute_force(spark):
     assert len(got) == len(want) and set(got) == want and len(want) > 50
 
 
-def test_truth_discovery_trusts_the_agreeing_source(spark):
+def claim_table(spark, rows):
+    """(g, field, value, source, best) rows as the claims that truth discovery reads."""
+    c = spark.createDataFrame(rows, "g int, field string, value string, source string, best int")
+    return c.groupBy("g", "field", "value").agg(F.array_sort(F.collect_set("source")).alias("side"), F.max("best").alias("best"))
+
+
+@pytest.fixture(params=[representative.MAP_SOURCES, 0])
+def map_sources(request, monkeypatch):
+    """Both ways to keep reliabilities: a map, and a joined table."""
+    monkeypatch.setattr(representative, "MAP_SOURCES", request.param)
+
+
+def test_truth_discovery_trusts_the_agreeing_source(spark, map_sources):
     rows = [(g, "f", "right", s, g) for g in range(6) for s in ("a", "b")] + [(g, "f", "wrong", "c", g) for g in range(6)] + [(9, "f", "lone", "a", 9), (9, "f", "other", "c", 9)]
-    c = spark.createDataFrame(rows, "g int, field string, value string, source string, best int").withColumn("n", F.lit(1))
-    support, trust = representative.truth_discovery(c, ["g"])
+    c = claim_table(spark, rows)
+    best, trust = representative.truth_discovery(c, ["g"])
     t = {r.source: r.trust for r in trust.collect()}
     assert t["a"] > t["c"]
-    assert {r.value for r in representative.survivors(support, ["g"], by_precedence=False).collect()} == {"right", "lone"}
+    assert {r.value for r in best.collect()} == {"right", "lone"}
     assert representative.truth_discovery(c.limit(0), ["g"])[0].count() == 0
 
 
+def test_precedence_enters_the_vote_and_support_decides(spark, map_sources):
+    rows = [(g, "f", "many", s, 1) for g in range(4) for s in ("a", "b")] + [(g, "f", "first", "c", 2) for g in range(4)]
+    c = claim_table(spark, rows)
+    alone, led = (representative.truth_discovery(c, ["g"], lead=x)[0].collect() for x in (1.0, representative.outweighing(c)))
+    assert {r.value for r in alone} == {"many"} and {r.value for r in led} == {"first"}
+    assert all(r.best == 2 for r in led) and all(r.support > 1 for r in led)
+    # A lead that the reliabilities can make up for leaves the choice to them.
+    assert {r.value for r in representative.truth_discovery(c, ["g"], lead=1.5)[0].collect()} == {"many"}
+
+
+def test_survivors_of_support_alone_differ(spark, monkeypatch):
+    found = {tuple(r) for r in queries.p3_found(spark, SMALL).collect()}
+    monkeypatch.setattr(representative, "outweighing", lambda c: 1.0)
+    assert {tuple(r) for r in queries.p3_found(spark, SMALL).collect()} != found
+
+
+def test_survivors_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view {queries.MERGED} as select * from read_parquet('{SMALL}/{queries.MERGED}.parquet')")
+    want = con.execute(queries.oracle_sql()["p3_survivors"])
+    columns = [d[0] for d in want.description]
+    want = want.fetchall()
+    got = [tuple(r) for r in queries.p3_survivors(spark, SMALL).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 100
+
+
 def test_truncation_on_a_small_corpus(spark):
     whole = ["The culture was grown at 37 °C for 40 h. The rest stayed unassigned.", "The rest stayed unassigned. The culture was grown at 12 °C for 10 h.", "Name: peptide AG\nMass: 12 Da"]
     cut = ["The rest stayed unassigned. The culture was gro", "The rest stayed unassigned. The culture was grown at 5", "The culture was grown at 37 °C for 40 h. The rest [...]", "The rest stayed unassigned. The culture &am", "The culture was grown at 37 °C<br"]
@@ -193,23 +233,25 @@ def test_survivors_have_all_fields(spark):
             assert r[f] in present if present else r[f] is None, (f, r[f], present)
 
 
-def test_truth_discovery_settles_or_fails(spark):
-    rows = [(g, "f", "right", s, g) for g in range(9) for s in ("a", "b")] + [(g, "f", "wrong", s, g) for g in range(9) for s in "cd"[: 1 + g % 2]]
-    rows += [(20, "f", x, s, 20) for x, s in (("u", "a"), ("v", "b"), ("w", "c"))] + [(21, "f", x, s, 21) for x, s in (("u", "c"), ("u", "d"), ("v", "a"))]
-    c = spark.createDataFrame(rows, "g int, field string, value string, source string, best int").withColumn("n", F.lit(1))
-    trust, moved, cells = dict.fromkeys("abcd", 0.8), 1, {}
-    for g, _, v, s, _ in rows:
+@pytest.mark.parametrize("lead", [1.0, 3.0])
+def test_truth_discovery_settles_or_fails(spark, map_sources, lead):
+    rows = [(g, "f", "right", s, g) for g in range(9) for s in ("a", "b")] + [(g, "f", "wrong", s, g + 1) for g in range(9) for s in "cd"[: 1 + g % 2]]
+    rows += [(20, "f", x, s, b) for x, s, b in (("u", "a", 3), ("v", "b", 2), ("w", "c", 1))] + [(21, "f", x, s, b) for x, s, b in (("u", "c", 1), ("u", "d", 1), ("v", "a", 2))]
+    c = claim_table(spark, rows)
+    trust, moved, cells, best = dict.fromkeys("abcd", 0.8), 1, {}, {}
+    for g, _, v, s, b in rows:
         cells.setdefault(g, {}).setdefault(v, []).append(s)
+        best[g] = max(best.get(g, (0, "")), (b, v))
     while moved >= representative.TOLERANCE:
         shares = {s: [] for s in trust}
-        for cell in cells.values():
-            total = sum(trust[s] for side in cell.values() for s in side)
-            for side in cell.values():
+        for g, cell in cells.items():
+            votes = {v: sum(trust[s] for s in side) * (lead if v == best[g][1] else 1) for v, side in cell.items()}
+            for v, side in cell.items():
                 for s in side:
-                    shares[s].append(sum(trust[x] for x in side) / total)
+                    shares[s].append(votes[v] / sum(votes.values()))
         new = {s: max(sum(x) / len(x), 0.01) for s, x in shares.items()}
         moved, trust = max(abs(new[s] - trust[s]) for s in trust), new
-    got = {r.source: r.trust for r in representative.truth_discovery(c, ["g"])[1].collect()}
+    got = {r.source: r.trust for r in representative.truth_discovery(c, ["g"], lead)[1].collect()}
     assert got == pytest.approx(trust, abs=1e-9)
     with pytest.raises(representative.NotConverged):
-        representative.truth_discovery(c, ["g"], rounds=2)
+        representative.truth_discovery(c, ["g"], rounds=1)

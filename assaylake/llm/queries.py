@@ -85,6 +85,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text back from its ids; null and empty texts are empty."""
+    return tokens.decode(p7_ids(spark, sf_dir), "ids", "doc_id")
+
+
+def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ids each text has and how many bytes they cover, from the ids' offsets."""
+    t = tokens.encode(table(spark, sf_dir, "documents"), "text", "doc_id", offsets=True)
+    return t.select("doc_id", F.size("ids").alias("n_ids"), F.coalesce(F.try_element_at("offsets", F.lit(-1)), F.lit(0)).alias("last_id_at"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
 
@@ -104,7 +115,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_survivors, p6_found, p7_ids, p8_found, p8_items, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p3_found, p3_survivors, p6_found, p7_ids, p7_decoded, p7_offsets, p8_found, p8_items, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,6 +24,7 @@ SELECT min(row_id) AS group_row_id, coalesce(max(row_id) FILTER (ri = 1), 0) AS
 dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d), eg AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM e)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""".replace("\\\\", "\\"),
 }
+ORACLES["p7_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 ORACLES["p8_items"] = f"SELECT item_id, count(*) AS n_docs FROM ({ORACLES['p8_found']}) GROUP BY item_id"
 
 

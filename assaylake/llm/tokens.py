@@ -1,10 +1,10 @@
 """Byte-level BPE ids of a whole corpus, without a regular expression.
 
-A batch of texts becomes one array of code points (see plain_text). Look-up gathers give each its class; since
-every state of the splitting automaton is fixed by a bounded neighbourhood and the start of its run, token
-starts are found by vector comparisons and one associative scan (a running maximum that carries run starts).
-The slices go through a cache of merged pieces; a piece not yet seen is merged pair by pair by rank. Slice
-offsets are kept, so ids can be decoded and mapped back to characters.
+A batch of texts becomes one array of code points (see plain_text). Look-up gathers give each its symbol; the
+splitting rules are an automaton of eight states over these symbols, and the state before every character comes
+from a prefix scan over the transition functions, whose monoid is built once as a composition table. The slices
+go through a cache of merged pieces; a piece not yet seen is merged pair by pair by rank. Every id keeps the byte
+at which it begins, so ids can be mapped back to the text, and ids are decoded by a gather of vocabulary bytes.
 
 Defined results: a null text and an empty text have the empty list. Strings of special tokens are ordinary
 text. The vocabulary's folder is a parameter; nothing is copied. No shuffle: rows stay where they are.
@@ -47,43 +47,108 @@ def classes() -> np.ndarray:
     return table
 
 
+# Symbols of the splitting automaton: character classes, with the look-ahead that the rules need.
+# SHORT letters end a contraction (``'s``); LONG ones begin one (``r`` before ``e``). White space is MIDDLE unless a
+# word follows: then a last space joins the word (JOIN) and any other last white space is a piece alone (ALONE).
+S_LETTER, S_SHORT, S_LONG, S_NUMBER, S_OTHER, S_QUOTE, S_MIDDLE, S_JOIN, S_ALONE = range(9)
+SYMBOLS = 9
+# States: what the characters read so far leave behind. CLOSED: a piece has ended; QUOTE: an apostrophe began a
+# piece and may open a contraction; PENDING: the first letter of a two-letter contraction was read.
+Q_CLOSED, Q_LETTER, Q_NUMBER, Q_OTHER, Q_WHITE, Q_JOIN, Q_QUOTE, Q_PENDING = range(8)
+STATES = 8
+
+
+def step(state: int, symbol: int) -> tuple[int, bool]:
+    """(next state, whether the character starts a piece)."""
+    if state == Q_PENDING:
+        return Q_CLOSED, False
+    if state == Q_QUOTE and symbol == S_SHORT:
+        return Q_CLOSED, False
+    if state == Q_QUOTE and symbol == S_LONG:
+        return Q_PENDING, False
+    if symbol in (S_LETTER, S_SHORT, S_LONG):
+        return Q_LETTER, state not in (Q_LETTER, Q_JOIN)
+    if symbol == S_NUMBER:
+        return Q_NUMBER, state not in (Q_NUMBER, Q_JOIN)
+    if symbol == S_QUOTE and state not in (Q_OTHER, Q_JOIN, Q_QUOTE):
+        return Q_QUOTE, True
+    if symbol in (S_OTHER, S_QUOTE):
+        return Q_OTHER, state not in (Q_OTHER, Q_JOIN, Q_QUOTE)
+    if symbol == S_MIDDLE:
+        return Q_WHITE, state != Q_WHITE
+    return (Q_JOIN if symbol == S_JOIN else Q_CLOSED), True
+
+
+@lru_cache(maxsize=1)
+def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(compose, after, constant, starts) of the monoid of transition functions.
+
+    Functions are numbered; number ``s`` is the one of symbol ``s``, ``SYMBOLS + s`` the one of the symbol at the
+    beginning of a text, which forgets what was before. ``compose[f, g]`` is f, then g; ``after[f, q]`` the state that
+    f leads to from q; ``constant`` marks functions that lead to one state from everywhere; ``starts[q, s]`` tells
+    whether symbol s starts a piece in state q.
+    """
+    moves = np.array([[step(q, s)[0] for q in range(STATES)] for s in range(SYMBOLS)])
+    functions = [tuple(m) for m in moves] + [(m[Q_CLOSED],) * STATES for m in moves]
+    number = {}
+    for i, f in enumerate(functions):
+        number.setdefault(f, i)
+    for f in functions:  # grows while new products turn up
+        for g in functions[: 2 * SYMBOLS]:
+            product = tuple(g[q] for q in f)
+            if product not in number:
+                number[product] = len(functions)
+                functions.append(product)
+    after = np.array(functions, np.uint8)
+    compose = np.array([[number[tuple(g[q] for q in f)] for g in functions] for f in functions], np.uint8)
+    starts = np.array([[step(q, s)[1] for s in range(SYMBOLS)] for q in range(STATES)])
+    return compose, after, (after == after[:, :1]).all(axis=1), starts
+
+
+def symbols(cps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The symbol of every character; ``first`` marks the beginnings of texts."""
+    kind = classes()[cps]
+    table = np.array([S_OTHER, S_LETTER, S_NUMBER, S_MIDDLE, S_MIDDLE], np.uint8)
+    out = table[kind]
+    out[cps == ord("'")] = S_QUOTE
+    following = np.zeros(len(cps), np.uint32)  # 0 where the text ends
+    following[:-1] = cps[1:]
+    following[:-1][first[1:]] = 0
+    word_next = np.zeros(len(cps), bool)
+    word_next[:-1] = (kind[1:] < SPACE) & ~first[1:]
+    for c in SHORT_FORMS:
+        out[cps == ord(c)] = S_SHORT
+    for c, d in LONG_FORMS:
+        out[(cps == ord(c)) & (following == ord(d))] = S_LONG
+    out[(kind == SPACE) & word_next] = S_JOIN
+    out[(kind == WHITE) & word_next] = S_ALONE
+    return out
+
+
 def piece_starts(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Start of every piece over all rows; rows always start a piece."""
+    """Start of every piece over all rows; rows always start a piece.
+
+    A prefix scan over transition functions: composition is associative, so every character composes the span
+    behind it with the span before that, spans doubling. A span that has become constant needs nothing before it,
+    which two or three doublings reach everywhere, since a text's beginning and most characters forget the past.
+    """
     n = len(cps)
     if not n:
         return np.array([], np.int64)
-    kind = classes()[cps]
     first = np.zeros(n, bool)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
-    before = np.concatenate([[255], kind[:-1]])
-    before[first] = 255
-    after = np.concatenate([kind[1:], [255]])
-    after[np.flatnonzero(first)[1:] - 1] = 255
-    white = kind >= SPACE
-    same = (kind == before) | (white & (before >= SPACE) & (before != 255))
-    starts = first | ~same
-    # White space before a word: all but its last character are one piece; a last space joins the word.
-    last = white & (after < SPACE)
-    starts |= last
-    starts[1:] &= ~(last[:-1] & (kind[:-1] == SPACE) & ~first[1:])
-    # Contractions start at an apostrophe behind neither sign nor space, and end a piece of their own.
-    quote = np.flatnonzero((cps == ord("'")) & (before != OTHER) & (before != SPACE))
-    if len(quote):
-        row_end = np.repeat(offsets[1:], np.diff(offsets))[quote]
-        at = lambda k: np.where(quote + k < row_end, cps[np.minimum(quote + k, n - 1)], 0)
-        c1, c2 = at(1), at(2)
-        size = np.where(np.isin(c1, [ord(c) for c in SHORT_FORMS]), 2, 0)
-        for a, b in LONG_FORMS:
-            size = np.where((c1 == ord(a)) & (c2 == ord(b)), 3, size)
-        hit = size > 0
-        for k in (1, 2):
-            inside = hit & (size > k)
-            starts[quote[inside] + k] = False
-        ends = quote[hit] + size[hit]
-        ends = ends[ends < row_end[hit]]
-        # What follows the contraction starts anew, but a last space before a word has done so already.
-        starts[ends] = True
-    return np.flatnonzero(starts)
+    compose, after, constant, starts = automaton()
+    symbol = symbols(cps, first)
+    f = symbol + first.astype(np.uint8) * np.uint8(SYMBOLS)
+    span, open_at = 1, np.flatnonzero(~constant[f])
+    while len(open_at):
+        f[open_at] = compose[f[open_at - span], f[open_at]]  # the right side is gathered before it is written
+        open_at = open_at[~constant[f[open_at]]]
+        span *= 2
+    before = np.zeros(n, np.uint8)
+    before[1:] = after[f[:-1], 0]
+    before[first] = Q_CLOSED
+    return np.flatnonzero(starts[before, symbol])
 
 
 @lru_cache(maxsize=4)
@@ -136,7 +201,7 @@ class Encoder:
     """Encodes Arrow string arrays with one vocabulary and a bounded cache of merged pieces."""
 
     def __init__(self, vocabulary: str):
-        self.rank = ranks(vocabulary)
+        self.path, self.rank = vocabulary, ranks(vocabulary)
         self.cache: dict[str, list[int]] = {}
 
     def pieces(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -149,6 +214,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """A list of int64 ids per text; null and empty texts have the empty list."""
+        return self.encode_with_offsets(texts)[0]
+
+    def encode_with_offsets(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(ids, offsets): the ids of each text, and the byte of its UTF-8 form at which each id begins."""
         pieces, _, row = self.pieces(texts)
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
@@ -158,7 +227,44 @@ class Encoder:
         ids = [cache[p] for p in pieces]
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), dtype=np.int64)])
         flat = np.fromiter((i for x in ids for i in x), np.int64, int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends[row], pa.int32()), pa.array(flat))
+        bounds = pa.array(ends[row], pa.int32())
+        _, widths, _ = id_bytes(self.path)
+        behind = np.concatenate([[0], np.cumsum(widths[flat], dtype=np.int64)])
+        at = behind[:-1] - np.repeat(behind[ends[row[:-1]]], np.diff(ends[row]))
+        return pa.ListArray.from_arrays(bounds, pa.array(flat)), pa.ListArray.from_arrays(bounds, pa.array(at))
+
+
+@lru_cache(maxsize=4)
+def id_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pool, width, place): all bytes of the vocabulary, and where the bytes of each id lie."""
+    back = {i: token for token, i in ranks(path).items()}
+    tokens = [back.get(i, b"") for i in range(max(back) + 1)]
+    width = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), width, np.cumsum(width) - width
+
+
+def decode_array(ids: pa.Array, path: str) -> pa.Array:
+    """The text of every list of ids, by one gather of vocabulary bytes; a null list is null."""
+    pool, width, place = id_bytes(path)
+    ids = ids.cast(pa.large_list(pa.int64()))
+    bounds = ids.offsets.to_numpy().astype(np.int64)
+    flat = ids.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].astype(np.int64)
+    w = width[flat]
+    ends = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+    data = pool[np.repeat(place[flat] - ends[:-1], w) + np.arange(ends[-1])].tobytes()
+    cuts = ends[bounds - bounds[0]]
+    valid = np.asarray(ids.is_valid())
+    # Ids cut inside a character leave broken bytes; such texts alone are read one by one.
+    try:
+        data.decode("utf-8")
+        leads = np.frombuffer(data + b"a", np.uint8)[cuts]
+        whole = not ((leads & 0xC0) == 0x80).any()
+    except UnicodeDecodeError:
+        whole = False
+    if not whole:
+        return pa.array([data[a:b].decode("utf-8", errors="replace") if v else None for a, b, v in zip(cuts, cuts[1:], valid)], pa.string())
+    bits = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.large_string(), len(valid), [bits, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data)]).cast(pa.string())
 
 
 @lru_cache(maxsize=4)
@@ -166,20 +272,26 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def encode(df: DataFrame, text: str, key: str, directory: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> DataFrame:
-    """(key, ids) of every row."""
+def encode(df: DataFrame, text: str, key: str, directory: str = TOKENIZER_DIR, name: str = "byte_bpe_50k", offsets: bool = False) -> DataFrame:
+    """(key, ids) of every row; with ``offsets`` also the byte at which each id begins."""
     path = os.path.join(directory, f"{name}.tiktoken")
+    names = [key, "ids", "offsets"] if offsets else [key, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), enc.encode(b.column(1))], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *enc.encode_with_offsets(b.column(1))][: len(names)], names=names)
 
-    schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.LongType()))])
+    schema = T.StructType([df.schema[key], *[T.StructField(n, T.ArrayType(T.LongType())) for n in names[1:]]])
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def decode(ids: list[int], vocabulary: str) -> str:
-    """The text of a list of ids."""
-    back = {v: k for k, v in ranks(vocabulary).items()}
-    return b"".join(back[i] for i in ids).decode("utf-8", errors="replace")
+def decode(df: DataFrame, ids: str, key: str, directory: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> DataFrame:
+    """(key, text) of every row: the empty list is the empty text, a null list a null."""
+    path = os.path.join(directory, f"{name}.tiktoken")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), decode_array(b.column(1), path)], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, T.StructType([df.schema[key], T.StructField("text", T.StringType())]))

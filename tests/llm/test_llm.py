@@ -66,7 +66,14 @@ def test_tokens_against_library():
     vocabulary = f"{tokens.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
     got = tokens.encoder(vocabulary).encode(pa.array(texts)).to_pylist()
     assert got == [e.ids for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert all(tokens.decode(i, vocabulary) == (t or "") for i, t in zip(got[:200], texts[:200]))
+    ids, at = tokens.encoder(vocabulary).encode_with_offsets(pa.array(texts))
+    assert tokens.decode_array(ids, vocabulary).to_pylist() == [t or "" for t in texts]
+    widths = {i: len(b) for b, i in tokens.ranks(vocabulary).items()}
+    assert all(a == [sum(widths[x] for x in i[:k]) for k in range(len(i))] for i, a in zip(ids.to_pylist(), at.to_pylist()) if len(i) < 50)
+    part = ids.slice(3, 2)
+    assert tokens.decode_array(part, vocabulary).to_pylist() == texts[3:5] and tokens.decode_array(pa.array([None, [220]], pa.list_(pa.int64())), vocabulary).to_pylist() == [None, " "]
+    cut = pa.array([lib.encode("龘").ids[:1], lib.encode("a").ids])
+    assert tokens.decode_array(cut, vocabulary).to_pylist() == ["�", "a"]
     assert tokens.encoder(vocabulary).encode(pa.array([], pa.string())).to_pylist() == []
 
 
@@ -77,9 +84,29 @@ def test_token_offsets_give_the_text_back():
     assert list(np.cumsum([0, *map(len, pieces)])[:-1]) == list(starts)
 
 
+def test_transition_functions_compose_associatively():
+    compose, after, constant, _ = tokens.automaton()
+    n = len(compose)
+    rng = np.random.default_rng(1)
+    for f, g, h in rng.integers(0, n, (500, 3)):
+        assert compose[compose[f, g], h] == compose[f, compose[g, h]] and (after[compose[f, g]] == after[g][after[f]]).all()
+    text = "".join(rng.choice(list("'srevldt x\n1.")) for _ in range(5000))
+    cps = np.array([ord(c) for c in text], np.uint32)
+    first = np.zeros(len(cps), bool)
+    first[0] = True
+    state, starts = tokens.Q_CLOSED, []
+    for i, s in enumerate(tokens.symbols(cps, first)):
+        state, begins = tokens.step(state, int(s))
+        starts += [i] if begins else []
+    assert tokens.piece_starts(cps, np.array([0, len(cps)])).tolist() == starts and constant[tokens.SYMBOLS :][: tokens.SYMBOLS].all()
+
+
 def test_ids_of_whole_table(spark):
     got = queries.p7_ids(spark, SMALL)
     assert got.count() == 1000 and got.where("ids is null").count() == 0
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in queries.p7_decoded(spark, SMALL).collect()} == texts
+    assert all(r.last_id_at <= len(texts[r.doc_id].encode()) and (r.n_ids > 0) == (texts[r.doc_id] != "") for r in queries.p7_offsets(spark, SMALL).collect())
 
 
 def test_leaks_against_brute_force(spark):

@@ -222,6 +222,23 @@ def test_truncation_on_a_small_corpus(spark):
     assert {r.w for r in truncation.truncated(clash, "w", "a").collect()} == {1000 + i for i in range(len(cut))}
 
 
+def test_texts_cut_inside_long_markup_and_after_a_word_or_two(spark):
+    whole = [f"The culture {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} grew well. Probes (p < 0.05, n = {i}) stayed cold." for i in range(100)]
+    link = "https://example.org/" + "a" * 300
+    cut = [f'See <a href="{link}', f"See <a href='{link}' title=\"some words more", "Kept <!-- a remark " + "x " * 200, "37 &" + "a" * 30, "37 &#1234567890123", "The cultu", "Pro"]
+    fine = [f'See <a href="{link}">this</a>.', "Seen (p < 0.05) here.", "Kept at 4 < 5 in all cases", "Solved.", "Zebra", "a b"]
+    rows = list(enumerate(whole + ["Probes were kept. " + w for w in whole] + fine)) + [(1000 + i, t) for i, t in enumerate(cut)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in truncation.truncated(df).collect()} == {1000 + i for i in range(len(cut))}
+
+
+def test_words_of_latin_texts_are_those_of_any_text(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null").select("text")
+    odd = spark.createDataFrame([("ÉTÉ 2,5²µg/ml AGK-ß co-op' x_1\x85\xa0y\r\nZ QK",), ("A",), ("ﬁ Ω",), ("\ue000a\ue001 b",)], "text string")
+    both = docs.unionByName(odd).select("text", truncation.words(F.col("text")).alias("w"), truncation._classed(truncation._lined(F.col("text")), F.lit(False)).alias("any"))
+    assert both.count() > 900 and both.where("w <> any").count() == 0
+
+
 def test_copies_of_a_cut_text_do_not_make_its_end_natural(spark):
     whole = [f"Batch {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} was stored cold. The visiting group {'left' if i % 2 else 'stayed'} here." for i in range(100)]
     cut = "Batch zz was stored cold. The visiting"

@@ -113,9 +113,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = impute.fill_rows(_rescued(spark, sf_dir), "row_id", RESCUED_GROUP, RESCUED_NUMERIC, RESCUED_TEXTS, how="inner")
 
     def item(field: str, fill):
-        # The exact check: a case only where the group's present values are all the same.
+        # A case where the posterior is a single value: the group's present values are all the same.
         name = "mass_da" if field == "mass_mda" else field
-        return F.when(F.col(f"{field}_fill").isNotNull() & F.col(f"{field}_agreed"), F.struct(F.lit(name).alias("field_name"), fill.alias("fill_text")))
+        return F.when(F.col(f"{field}_fill").isNotNull() & F.col(f"{field}_certain"), F.struct(F.lit(name).alias("field_name"), fill.alias("fill_text")))
 
     items = [item("mass_mda", F.col("mass_mda_fill").cast("bigint").cast("string")), *[item(c, F.col(f"{c}_fill")) for c in RESCUED_TEXTS]]
     return filled.select("row_id", F.explode(F.array_compact(F.array(*items))).alias("i")).select("row_id", "i.field_name", "i.fill_text")

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from assaylake import training
@@ -178,11 +179,57 @@ def test_fills_against_brute_force(spark):
     assert filled.count() == len(t) and filled.where("mass_da_filled = 1 and mass_da is null").count() == 0
 
 
-def test_em_follows_the_likelier_component(spark):
+@pytest.fixture(params=[impute.GROUP_PATTERNS, 0])
+def group_patterns(request, monkeypatch):
+    """Both ways through the rounds: groups as arrays, and distributed sums."""
+    monkeypatch.setattr(impute, "GROUP_PATTERNS", request.param)
+
+
+def test_em_follows_the_likelier_component(spark, group_patterns):
     rows = [(1, 100.0, "a")] * 5 + [(1, 900.0, "b")] * 5 + [(1, None, "b"), (1, 900.0, None), (1, None, None), (2, None, None), (None, 5.0, None)]
     df = spark.createDataFrame(rows, "g long, m double, c string")
-    got = {(r.g, r.m, r.c): (r.m_fill, r.c_fill) for r in impute.em_fill(df, ["g"], {"m": 1.0}, ["c"]).collect()}
-    assert got[(1, None, "b")][0] > 800 and got[(1, 900.0, None)][1] == "b"
-    assert 100 <= got[(1, None, None)][0] <= 900 and got[(2, None, None)] == (None, None)
-    assert not any(k[0] is None for k in got)
+    got = {(r.g, r.m, r.c): r for r in impute.em_fill(df, ["g"], {"m": 1.0}, ["c"]).collect()}
+    assert got[(1, None, "b")].m_fill > 800 and got[(1, 900.0, None)].c_fill == "b"
+    assert 100 <= got[(1, None, None)].m_fill <= 900 and (got[(2, None, None)].m_fill, got[(2, None, None)].c_fill) == (None, None)
+    assert not any(k[0] is None for k in got) and all(r.em_settled for r in got.values())
+    assert not got[(1, None, "b")].m_certain and not got[(1, None, "b")].c_certain
     assert impute.em_fill(df.limit(0), ["g"], {"m": 1.0}, ["c"]).count() == 0
+
+
+def test_em_posterior_of_one_value_is_certain(spark, group_patterns):
+    rows = [(1, 250.0, "a", "x")] * 3 + [(1, 250.0, "b", "x"), (1, None, None, None), (1, None, "a", "x"), (2, 7.0, "q", None), (2, None, None, "y"), (2, 7.0, None, "y"), (2, 9.0, "q", "y")]
+    df = spark.createDataFrame(rows, "g long, m double, c string, d string")
+    got = {tuple(r)[:4]: r for r in impute.em_fill(df, ["g"], {"m": 1.0}, ["c", "d"]).collect()}
+    r = got[(1, None, None, None)]
+    assert (r.m_fill, r.m_certain, r.d_fill, r.d_certain, r.c_certain) == (250.0, True, "x", True, False) and r.c_fill in ("a", "b")
+    r = got[(2, None, None, "y")]
+    assert (r.c_fill, r.c_certain, r.m_certain) == ("q", True, False) and 7 <= r.m_fill <= 9
+    assert got[(2, 7.0, "q", None)].d_fill == "y" and got[(2, 7.0, "q", None)].d_certain
+
+
+def test_em_ways_agree_and_report_what_moves(spark, monkeypatch):
+    import random
+
+    random.seed(3)
+    rows = [(g, random.choice([100.0, 100.0, 104.0, 300.0, None]), random.choice(["a", "b", None]), random.choice(["x", "y", "z", None])) for g in range(12) for _ in range(25)]
+    df = spark.createDataFrame(rows, "g long, m double, c string, d string")
+
+    def fills(bound, rounds=impute.MAX_ROUNDS):
+        monkeypatch.setattr(impute, "GROUP_PATTERNS", bound)
+        return {tuple(r)[:4]: tuple(r)[4:] for r in impute.em_fill(df, ["g"], {"m": 1.0}, ["c", "d"], rounds).collect()}
+
+    assert fills(1000, 3) == fills(0, 3)
+    assert all(v[-1] for v in fills(1000).values()) and not all(v[-1] for v in fills(1000, 3).values())
+
+
+def test_em_fills_masked_values_better_than_the_group(spark):
+    """Held-out values of groups of two kinds: the posterior uses the other fields, the group's own mode cannot."""
+    import random
+
+    random.seed(5)
+    truth = [(i, i // 10 % 40, *((100.0 + i // 10 % 40, "low") if random.random() < 0.5 else (900.0 + i // 10 % 40, "high"))) for i in range(4000)]
+    masked = [(i, g, None if i % 10 == 0 else m, None if i % 10 == 5 else c) for i, g, m, c in truth]
+    df = spark.createDataFrame(masked, "i long, g long, m double, c string")
+    got = {r.i: r for r in impute.fill_rows(df, "i", ["g"], {"m": 1.0}, ["c"]).collect()}
+    assert all(abs(got[i].m_fill - m) <= 1 for i, g, m, c in truth if i % 10 == 0)
+    assert all(got[i].c_fill == c for i, g, m, c in truth if i % 10 == 5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.functions.text import MISSING_TOKENS
+from assaylake.functions.text import MISSING_TOKENS, clean_text
 from assaylake.operators import impute, orphans, recover, units
 from assaylake.oracles_training import ORACLES
 from assaylake.session import table
@@ -61,6 +61,25 @@ def p2_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("reason").isNotNull()).select(F.col("key").alias("line_id"), "start", "reason", "at", "column")
 
 
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every potency text of the master as loaded, or with reason and place, and whether the stored status says the same."""
+    t = table(spark, sf_dir, "fermfoodb_ace_master_clean").select("row_id", "ic50_raw", F.struct("row_id", "ic50_parse_status").alias("k"))
+    return _against(recover.potency_readings(t, key="k"), "row_id", "ic50_parse_status")
+
+
+def p2_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the parse log, against its notes."""
+    t = table(spark, sf_dir, "fermfoodb_ace_parse_log").select("log_id", "ic50_raw", F.struct("log_id", "ic50_parse_note").alias("k"))
+    return _against(recover.potency_readings(t, key="k"), "log_id", "ic50_parse_note")
+
+
+def _against(q: DataFrame, key: str, stored: str) -> DataFrame:
+    """``stored_agrees``: a stored verdict and the reading both accept or both reject the value; null without a stored one."""
+    said = F.lower(clean_text(F.col(f"key.{stored}")))
+    rejects = said.contains("unparsed") | said.contains("no_numeric") | said.contains("not_parsed") | said.contains("invalid")
+    return q.select(F.col(f"key.{key}").alias(key), "kind", "value", "upper", "unit_text", "reason", "at", F.col(f"key.{stored}").alias(stored), (rejects == F.col("reason").isNotNull()).cast("int").alias("stored_agrees"))
+
+
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     lst = table(spark, sf_dir, "fermfoodb_ace_list").select("row_id", "fmdb_id", "crawled_at", "withdrawn_at")
     det = table(spark, sf_dir, "fermfoodb_ace_detail").select("row_id", "fmdb_id", "fetched_at", "withdrawn_at")
@@ -131,7 +150,7 @@ def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_potency, p2_found, p2_loaded, p2_rejected, p4_found, p4_report, p5_found, p5_filled)}
+    return {f.__name__: f for f in (p1_found, p1_potency, p2_found, p2_loaded, p2_rejected, p2_values, p2_log, p4_found, p4_report, p5_found, p5_filled)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -118,6 +118,23 @@ def test_grammar_resumes_after_a_broken_quote():
     assert read[0][3] == text.index("e\"x")
 
 
+def test_grammar_resumes_only_where_a_record_stands():
+    good = "FMDB2,AGK,3,milk,casein,,,,5 uM,2024-01-31"
+    text = f'FMDB1,AGK,3,"milk\nFMDB99,see note",casein,,,,5 uM ba"d,2024-01-31\n{good}'
+    read = list(recover.Grammar(recover.EXPORT_ANCHOR, width=10).blob(text))
+    assert [(s, r) for s, _, r, _ in read] == [(0, "quoting"), (text.index(good), None)] and read[0][3] == text.index('"d,')
+    # Line starts without ten fields behind them are no records; without any record the fault keeps the rest.
+    assert [r for _, _, r, _ in recover.Grammar(recover.EXPORT_ANCHOR, width=10).blob('FMDB1,"a\nFMDB2,b,c\nFMDB3,d')] == ["quoting"]
+    assert len(list(recover.Grammar(recover.EXPORT_ANCHOR, width=10).blob('FMDB1,"x\n' + 'FMDB2,"y" z\n' * 20000 + good))) == 2
+
+
+def test_readings_have_a_place_and_meet_the_stored_status(spark, tmp_path):
+    rows = [(1, "5 uM", "exact_molar"), (2, "9 min", "unparsed_text"), (3, "high", "exact_molar"), (4, None, None), (5, "IC50: 0 uM", "unparsed_text"), (6, "1.2-3 mM", None)]
+    spark.createDataFrame(rows, "row_id long, ic50_raw string, ic50_parse_status string").write.parquet(f"{tmp_path}/fermfoodb_ace_master_clean.parquet")
+    got = {r.row_id: (r.value, r.upper, r.reason, r["at"], r.stored_agrees) for r in training.p2_values(spark, str(tmp_path)).collect()}
+    assert got == {1: (5.0, None, None, None, 1), 2: (9.0, None, "invalid_value", 2, 1), 3: (None, None, "invalid_value", 0, 0), 4: (None, None, None, None, None), 5: (0.0, None, "invalid_value", 2, 1), 6: (1.2, 3.0, None, None, None)}
+
+
 def test_potency_verdicts(spark):
     fine = ["5 uM", "7", "1.2-3 mM", "3 to 4 umol L-1", "45 % inhibition", "n.d.", None, "1,930 nM", "2.6e-6 molar", "3+/-1 mg/ml", "5 μM (fig. 2)"]
     wrong = ["high", "0 uM", "-3 uM", "5..2 uM", "9 min", "3O.5 uM", "5e uM", "uM", "1.2.3", "n = 4", "12-", "5x10^ uM", "a" * 20000]

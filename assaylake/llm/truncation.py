@@ -49,8 +49,11 @@ MARKER_ENDS = ["]", ")", "…"]
 # A tag with attributes or a comment that is not closed, of any length; an entity without its semicolon; half a character.
 INSIDE_MARKUP = r"(?:<[/!]?(?:[A-Za-z][A-Za-z0-9]*(?:\s+(?:[^\s<>]*|[^<>]*=[^<>]*))?)?|<!--[^>]*|&#?[A-Za-z0-9]*|�)$"
 # White space of all scripts, written out: a property look-up for every character is slow.
-WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-SPACES, SHOWN = f"[{WHITE}]", f"[^{WHITE}]"
+NOT_SPACE_WHITE = r"\x09-\x0D\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACES, SHOWN = f"[ {NOT_SPACE_WHITE}]", f"[^ {NOT_SPACE_WHITE}]"
+WHITE_CHARACTERS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+# White space that is not a single space between words already.
+UNFOLDED = f"(?:[{NOT_SPACE_WHITE}]{SPACES}*| {SPACES}+)"
 
 
 def _patterns(letters: str, written: str, numbers: str, small: str) -> dict[str, str]:
@@ -91,11 +94,12 @@ def words(text: Column) -> Column:
 
 def delivered(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, h, t): every text that is not blank, without the marker of a cut, and the hash of its folded form."""
-    rows = df.where(F.col(text).rlike(SHOWN)).select(F.col(key).alias("key"), once(F.regexp_replace(text, f"{SPACES}+$", "")).alias("t"))
+    white = F.lit(WHITE_CHARACTERS)
+    rows = df.select(F.col(key).alias("key"), once(F.rtrim(text, white)).alias("t")).where("t <> ''")
     marked = F.right("t", F.lit(1)).isin(MARKER_ENDS) | F.endswith("t", F.lit("..."))
-    bare = F.when(marked, F.regexp_replace(F.regexp_replace("t", MARKERS, ""), f"{SPACES}+$", "")).otherwise(F.col("t"))
+    bare = F.when(marked, F.rtrim(F.regexp_replace("t", MARKERS, ""), white)).otherwise(F.col("t"))
     rows = rows.select("key", once(bare).alias("t"))
-    return rows.select("key", F.unhex(F.md5(F.lower(F.trim(F.regexp_replace("t", f"{SPACES}+", " "))))).alias("h"), "t")
+    return rows.select("key", F.unhex(F.md5(F.lower(F.trim(F.regexp_replace("t", UNFOLDED, " "))))).alias("h"), "t")
 
 
 def tokenised(rows: DataFrame) -> DataFrame:

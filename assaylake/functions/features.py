@@ -16,7 +16,7 @@ from assaylake.functions.text import AMINO_ACIDS
 
 # Residue property scales.
 HYDRO = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "S": -0.8, "T": -0.7, "V": 4.2, "W": -0.9, "Y": -1.3}
-CHARGE = {aa: {"D": -1.0, "E": -1.0, "H": 0.1, "K": 1.0, "R": 1.0}.get(aa, 0.0) for aa in AMINO_ACIDS}
+CHARGE = {"A": 0.0, "C": 0.0, "D": -1.0, "E": -1.0, "F": 0.0, "G": 0.0, "H": 0.1, "I": 0.0, "K": 1.0, "L": 0.0, "M": 0.0, "N": 0.0, "P": 0.0, "Q": 0.0, "R": 1.0, "S": 0.0, "T": 0.0, "V": 0.0, "W": 0.0, "Y": 0.0}
 POLARITY = {"A": 8.1, "C": 5.5, "D": 13.0, "E": 12.3, "F": 5.2, "G": 9.0, "H": 10.4, "I": 5.2, "K": 11.3, "L": 4.9, "M": 5.7, "N": 11.6, "P": 8.0, "Q": 10.5, "R": 10.5, "S": 9.2, "T": 8.6, "V": 5.9, "W": 5.4, "Y": 6.2}
 WEIGHT = {"A": 89.09, "C": 121.15, "D": 133.10, "E": 147.13, "F": 165.19, "G": 75.07, "H": 155.16, "I": 131.17, "K": 146.19, "L": 131.17, "M": 149.21, "N": 132.12, "P": 115.13, "Q": 146.15, "R": 174.20, "S": 105.09, "T": 119.12, "V": 117.15, "W": 204.23, "Y": 181.19}
 SCALES = {"hydro": HYDRO, "charge": CHARGE, "polarity": POLARITY, "mw": WEIGHT}

@@ -15,9 +15,14 @@ from assaylake.functions.numeric import MASS_TO_UM, MOLAR_TO_UM, median_of, numb
 from assaylake.functions.plain import once
 from assaylake.functions.text import clean_text, normalize_spaces
 
+# Numbers and units of the grammars, and the spellings of units that are the same, in order.
 NUM = r"([0-9]+(?:\.[0-9]+)?)"
 MOLAR = r"(nM|uM|mM|M)"
 MASS = r"(ng/mL|ug/mL|mg/mL)"
+UNIT_CASES = [
+    ("μ", "u"), ("µ", "u"), ("UM", "uM"), ("NM", "nM"), ("MM", "mM"), ("ug/ml", "ug/mL"), ("mg/ml", "mg/mL"), ("ng/ml", "ng/mL"),
+    ("UG/ML", "ug/mL"), ("MG/ML", "mg/mL"), ("NG/ML", "ng/mL"),
+]
 FIELDS = "status string, relation string, value double, low double, high double, unit string, um double, exact int, note string"
 
 
@@ -32,8 +37,7 @@ def _struct(**given) -> Column:
 
 def unit_case_preserving(c: Column) -> Column:
     """Micro signs to ``u``; upper-case molar units and lower-case per-mL units to their usual case."""
-    steps = [("μ", "u"), ("µ", "u"), ("UM", "uM"), ("NM", "nM"), ("MM", "mM")] + [(f"{p}g/ml", f"{p}g/mL") for p in "umn"] + [(f"{p}G/ML", f"{p.lower()}g/mL") for p in "UMN"]
-    return reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), steps, F.trim(c))
+    return reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), UNIT_CASES, F.trim(c))
 
 
 def unit_lower(c: Column) -> Column:
@@ -237,11 +241,57 @@ def with_reading(df: DataFrame, grammar: str | dict[str, Column], raw: str = "ic
 
 def mass_to_um(status: Column, relation: Column, value: Column, unit: Column, mass: Column) -> Column:
     """Micromolar of an eligible mass concentration: plain relation, positive value and mass, mg or ug per mL."""
-    ok = (status == "mass_unit") & (relation == "=") & (value > 0) & (mass > 0)
+    ok = F.coalesce(status == "mass_unit", F.lit(False)) & (relation == "=") & (value > 0) & (mass > 0)
     return F.when(ok & (F.lower(unit) == "mg/ml"), value * 1e6 / mass).when(ok & (F.lower(unit) == "ug/ml"), value * 1e3 / mass)
 
 
+# Statuses of a stored reading that any resolved one replaces.
+WEAK = ["", "missing", "numeric_no_unit", "ambiguous_text", "unparsed_text", "percent_like", "range", "mass_unit"]
+RESOLVED = ["exact_molar", "molar_threshold"]
+
+
 def stronger(new_status: Column, old_status: Column, old_um: Column, old_unit: Column, new_unit: Column) -> Column:
-    """A resolved reading replaces a weak one, one without a value, or one without unit."""
-    weak = F.coalesce(old_status, F.lit("")).isin("", "missing", "numeric_no_unit", "ambiguous_text", "unparsed_text")
-    return new_status.isin("exact_molar", "molar_threshold") & (weak | old_um.isNull() | (old_unit.isNull() & new_unit.isNotNull()))
+    """A resolved reading of a detail text replaces a weak one, one without a value, or one without unit."""
+    weak = F.coalesce(old_status, F.lit("")).isin(*WEAK)
+    return F.coalesce(new_status.isin(*RESOLVED), F.lit(False)) & (weak | old_um.isNull() | (old_unit.isNull() & new_unit.isNotNull()))
+
+
+def better(new_status: Column, new_um: Column, old_status: Column, old_um: Column) -> Column:
+    """A resolved reading by the improved rules replaces one that is not resolved, or one of another value."""
+    old = F.coalesce(old_status.isin(*RESOLVED), F.lit(False)) & old_um.isNotNull()
+    new = F.coalesce(new_status.isin(*RESOLVED), F.lit(False)) & new_um.isNotNull()
+    return new & (~old | (new_um != old_um))
+
+
+# What a conversion writes beside the value.
+CONVERSIONS = {
+    "mg/ml": ("uM = (mg/mL * 1000000) / molwt_value", "mass_unit_mg_per_mL_converted_to_uM"),
+    "ug/ml": ("uM = (ug/mL * 1000) / molwt_value", "mass_unit_ug_per_mL_converted_to_uM"),
+}
+
+
+def convert_mass_units(df: DataFrame) -> DataFrame:
+    """The master with eligible mass concentrations turned into exact micromolar values, and what was done.
+
+    Adds unit_conversion_applied, _from_unit, _to_unit, _formula and _note (empty where nothing was done); the raw
+    fields stay. :func:`conversion_log` lists the converted rows.
+    """
+    unit = F.replace(F.lower(F.replace(F.replace(F.col("ic50_unit_raw"), F.lit("μ"), F.lit("u")), F.lit("µ"), F.lit("u"))), F.lit(" "), F.lit(""))
+    um = mass_to_um(F.lower("ic50_type"), F.col("ic50_relation"), F.col("ic50_value"), unit, F.col("molwt_value"))
+    rows = df.withColumn("_um", once(um))
+    done = F.col("_um").isNotNull()
+    said = {c: F.coalesce(*[F.when(done & (unit == u), F.lit(v[i])) for u, v in CONVERSIONS.items()], F.lit("")) for i, c in enumerate(("formula", "note"))}
+    return rows.withColumns({
+        "unit_conversion_applied": done.cast("int"), "unit_conversion_from_unit": F.when(done, F.col("ic50_unit_raw")).otherwise(""), "unit_conversion_to_unit": F.when(done, "uM").otherwise(""),
+        "unit_conversion_formula": said["formula"], "unit_conversion_note": said["note"], "ic50_type_before": F.col("ic50_type"),
+    }).withColumns({
+        "ic50_type": F.when(done, "exact").otherwise(F.col("ic50_type")), "ic50_uM": F.coalesce("_um", "ic50_uM"), "ic50_exact_flag": F.when(done, 1).otherwise(F.col("ic50_exact_flag")),
+    }).drop("_um")
+
+
+def conversion_log(converted: DataFrame) -> DataFrame:
+    """One row per converted record: what it was, what it became, and by which formula."""
+    return converted.where("unit_conversion_applied = 1").select(
+        "id", "sequence_clean", "table_from", "ic50_raw", "ic50_type_before", F.col("unit_conversion_from_unit").alias("from_unit"), "ic50_value", "molwt_value", "ic50_uM",
+        "unit_conversion_formula", "unit_conversion_note",
+    )

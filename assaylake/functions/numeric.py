@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +66,75 @@ def mass_of_sequence(seq: Column) -> Column:
     return F.when(seq.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), total)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; repeated expressions would be compiled over and over."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _whole(x: Column, scale: Column) -> Column:
+    """The whole number nearest to ``x * scale``, of the exact product: halves of it go to the even one.
+
+    A product is rounded to a double itself; its error, got without loss from the halves of both factors, tells on
+    which side of a half the exact product lies. ``scale`` must be a whole number of at most 53 bits, exactly.
+    """
+    def high(v: Column) -> Column:
+        return _let(v * F.lit(134217729.0), lambda c: c - (c - v))
+
+    def nearest(p: Column, xh: Column, sh: Column) -> Column:
+        error = ((xh * sh - p) + xh * (scale - sh) + (x - xh) * sh) + (x - xh) * (scale - sh)
+
+        def up(low: Column, e: Column) -> Column:
+            return low + F.when((p - low > 0.5) | ((p - low == 0.5) & ((e > 0) | ((e == 0) & (low % 2 != 0)))), 1.0).otherwise(0.0)
+
+        return _let(F.floor(p).cast("double"), lambda low: _let(error, lambda e: up(low, e)))
+
+    return _let(x * scale, lambda p: _let(high(x), lambda xh: _let(high(scale), lambda sh: nearest(p, xh, sh))))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """To so many decimals, by the exact binary value; what ``%.<digits>f`` shows."""
+    scale = F.lit(10.0**digits)
+    return _let(c.cast("double"), lambda x: F.when(F.abs(x) < 1e9, F.signum(x) * _let(F.abs(x), lambda v: _whole(v, scale)) / scale).otherwise(x))
+
+
+def significant(c: Column, digits: int = 6) -> Column:
+    """So many significant digits, by the exact binary value; the number that ``%.<digits>g`` shows."""
+    def large(x: Column, down: Column) -> Column:
+        # Whole multiples of the power and their halves are exact for numbers of up to 53 bits.
+        return _let(F.floor(x / down).cast("double"), lambda q: (q + F.when((x > (q + 0.5) * down) | ((x == (q + 0.5) * down) & (q % 2 != 0)), 1.0).otherwise(0.0)) * down)
+
+    def shown(x: Column, k: Column) -> Column:
+        small = _let(F.pow(F.lit(10.0), F.greatest(k, F.lit(0))), lambda up: _whole(x, up) / up)
+        return F.when(k > 0, small).otherwise(_let(F.pow(F.lit(10.0), F.greatest(-k, F.lit(0))), lambda down: large(x, down)))
+
+    def sized(v: Column) -> Column:
+        return F.signum(v) * _let(F.abs(v), lambda x: _let((digits - 1) - F.floor(F.log10(x)), lambda k: shown(x, k)))
+
+    return _let(c.cast("double"), lambda v: F.when(v == 0, 0.0).otherwise(sized(v)))
+
+
 def sig6(c: Column) -> Column:
     """Six significant digits, as a number."""
-    k = 5 - F.floor(F.log10(F.abs(c)))
-    scale = F.pow(F.lit(10.0), k)
-    return F.when(c == 0, 0.0).otherwise(F.round(c * scale) / scale)
+    return significant(c, 6)
+
+
+def g_text(c: Column, digits: int = 6) -> Column:
+    """``%.<digits>g``: that many significant digits, no trailing zeros, an exponent below 1e-4 or from 10^digits on."""
+    def bare(t: Column) -> Column:
+        return F.regexp_replace(t, r"\.?0+$", "")
+
+    def written(shown: Column) -> Column:
+        exponent = F.regexp_extract(shown, r"e([+-][0-9]+)$", 1).cast("int")
+        mantissa = F.regexp_extract(shown, "^(.*)e", 1)
+        power = F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        return F.when((exponent < -4) | (exponent >= digits), F.concat(bare(mantissa), power)).otherwise(bare(F.format_string(f"%.{digits + 4}f", shown.cast("double"))))
+
+    return F.when(c == 0, "0").otherwise(_let(F.format_string(f"%.{digits - 1}e", significant(c, digits)), written))
+
+
+def percent_text(part: Column, whole: Column) -> Column:
+    """``12.34%``; of nothing it is ``0.00%``."""
+    return F.when(whole == 0, "0.00%").otherwise(F.format_string("%.2f%%", rounded(F.coalesce(F.try_divide(part, whole), F.lit(0.0)) * 100, 2)))
 
 
 def spread(low: Column, high: Column) -> Column:

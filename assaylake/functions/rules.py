@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assaylake.functions.numeric import rounded
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -102,15 +104,60 @@ def benchmark_bucket(tier: Column) -> Column:
     )
 
 
+# Upper bounds of the spread buckets and of the fold bins, with their names.
+SPREAD_BUCKETS = [(2.0, "le_2"), (5.0, "gt_2_le_5"), (10.0, "gt_5_le_10"), (100.0, "gt_10_le_100"), (None, "gt_100")]
+FOLD_BINS = [(1.0, "1"), (1.5, "(1,1.5]"), (2.0, "(1.5,2]"), (3.0, "(2,3]"), (5.0, "(3,5]"), (10.0, "(5,10]"), (None, ">10")]
+
+
+def _binned(ratio: Column, bins: list[tuple[float | None, str]]) -> Column:
+    out = F.when(ratio.isNull(), "missing")
+    for high, name in bins:
+        out = out.otherwise(name) if high is None else out.when(ratio <= high, name)
+    return out
+
+
 def spread_bucket(ratio: Column) -> Column:
-    return F.when(ratio.isNull(), "missing").when(ratio <= 1, "1").when(ratio <= 3, "1-3").when(ratio <= 10, "3-10").when(ratio <= 100, "10-100").otherwise(">100")
+    return _binned(ratio, SPREAD_BUCKETS)
 
 
 def fold_bin(ratio: Column) -> Column:
-    edges = [1, 2, 3, 5, 10, 30, 100]
-    out, low = None, None
-    for e in edges:
-        name = "=1" if low is None else f"{low}-{e}"
-        out = F.when(ratio <= e, name) if out is None else out.when(ratio <= e, name)
-        low = e
-    return F.when(ratio.isNotNull(), out.otherwise(f">{low}"))
+    return _binned(ratio, FOLD_BINS)
+
+
+def length_consistency(length: Column, declared: Column) -> Column:
+    """Five states; a missing length has taken the declared one before, so ``detail_only`` stands for callers that do not."""
+    return (
+        F.when(length.isNull() & declared.isNull(), "missing_both").when(declared.isNull(), "sequence_only").when(length.isNull(), "detail_only")
+        .when(length == declared, "consistent").otherwise("conflict")
+    )
+
+
+# How the notes of the flag tiers and of the benchmark buckets begin.
+FLAG_NOTES = {"Tier_A": "跨来源一致", "Tier_B": "单源或局部多源范围内一致", "Tier_C": "单条证据"}
+OPEN_NOTE = "存在冲突或状态未明；stability_flag="
+BENCHMARK_NOTES = {
+    "Tier A": "high-consensus short peptide candidate", "Tier B": "high-consensus short peptide candidate", "Tier C": "single-source usable IC50 candidate",
+    "Tier D": "multi-source conflicting short peptide; requires review", "Tier E": "insufficient or unclear evidence pattern",
+}
+
+
+def flag_note(tier: Column, flag: Column, sources: Column, records: Column, ratio: Column) -> Column:
+    """What a flag tier rests on, in words; single records have no spread."""
+    counts = F.format_string("source_count=%d; record_count=%d", sources, records)
+    spread = F.when(ratio.isNotNull() & (tier != "Tier_C"), F.format_string("; spread_ratio=%.4f", rounded(ratio, 4))).otherwise("")
+    head = F.coalesce(*[F.when(tier == t, F.lit(f"{n}；")) for t, n in FLAG_NOTES.items()], F.concat(F.lit(OPEN_NOTE), F.coalesce(flag, F.lit("")), F.lit("; ")))
+    return F.concat(head, counts, spread)
+
+
+def benchmark_note(tier: Column, ratio: Column, sources: Column, score: Column) -> Column:
+    head = F.coalesce(*[F.when(tier == t, F.lit(n)) for t, n in BENCHMARK_NOTES.items()], F.lit("fallback bucket for unknown tier"))
+    spread = F.when(ratio.isNotNull(), F.format_string("%.4f", rounded(ratio, 4))).otherwise("NA")
+    return F.concat(head, F.lit("; spread_ratio="), spread, F.format_string("; source_count=%d; score=%d", F.coalesce(sources, F.lit(0)), F.coalesce(score, F.lit(0))))
+
+
+def stability_note(flag: Column, sources: Column, ratio: Column) -> Column:
+    """Why a merged sequence has its stability flag."""
+    return (
+        F.when(flag == "singleton", "only_one_record_after_merge").when(flag == "unknown", "spread_ratio_unavailable")
+        .otherwise(F.concat(F.format_string("source_count=%d; spread_ratio=", sources), F.format_string("%.4f", rounded(ratio, 4))))
+    )

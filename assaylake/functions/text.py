@@ -112,15 +112,39 @@ def html_to_text(c: Column) -> Column:
     return normalize_spaces(t)
 
 
-def canonical_url(url: Column) -> Column:
-    """Lower scheme and host, single slashes in the path, sorted query without empty parts, no fragment."""
+# The parts of a reference, as RFC 3986 gives them: scheme, authority, path, query.
+URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
+def url_parts(url: Column) -> tuple[Column, Column, Column, Column]:
+    """(scheme, host, path, query); parts that are not there are empty. Scheme and host in lower case."""
     u = F.trim(url)
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), "/+", "/")
-    query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda x: x != "")), "&")
-    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(path), tail))
+    part = [F.regexp_extract(u, URL, i) for i in (1, 2, 3, 4)]
+    return F.lower(part[0]), F.lower(part[1]), part[2], part[3]
+
+
+def _decoded(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(c), c)
+
+
+def query_pairs(query: Column) -> Column:
+    """The decoded (k, v) pairs of a query, sorted by key and value; bare keys have an empty value."""
+    parts = F.filter(F.split(query, "&"), lambda x: x != "")
+    pairs = F.transform(parts, lambda x: F.struct(_decoded(F.substring_index(x, "=", 1)).alias("k"), _decoded(F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")).alias("v")))
+    return F.array_sort(pairs)
+
+
+def canonical_url(url: Column) -> Column:
+    """Lower scheme and host, single slashes in the path, decoded and sorted query, no fragment; relative ones stay relative."""
+    scheme, host, path, query = url_parts(url)
+    path = F.regexp_replace(F.regexp_replace(path, ";[^/]*$", ""), "/+", "/")
+    path = F.when(path == "", "/").otherwise(path)
+    path = F.when((host != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
+    sorted_query = F.array_join(F.transform(query_pairs(query), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    return F.concat(
+        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""), path,
+        F.when(sorted_query != "", F.concat(F.lit("?"), sorted_query)).otherwise(""),
+    )
 
 
 def slug(c: Column, width: int = 60) -> Column:
@@ -128,11 +152,144 @@ def slug(c: Column, width: int = 60) -> Column:
     return F.substring(s, 1, width)
 
 
-def safe_name(c: Column) -> Column:
-    """Slug of at most sixty characters and twelve digits of the MD5."""
-    return F.concat_ws("_", slug(c), F.substring(F.md5(c), 1, 12))
+def safe_name(url: Column, prefix: str = "page") -> Column:
+    """File name of a page: prefix, at most sixty characters of the path, twelve digits of the URL's MD5."""
+    path = F.replace(F.regexp_replace(url_parts(url)[2], "^/+|/+$", ""), F.lit("/"), F.lit("_"))
+    path = F.left(F.regexp_replace(F.when(path == "", "root").otherwise(path), r"[^A-Za-z0-9._\-]+", "_"), F.lit(60))
+    return F.concat_ws("_", F.when(url.isNotNull(), F.lit(prefix)), path, F.substring(F.md5(url), 1, 12))
+
+
+# Words and query keys that speak for a detail page and for a list page.
+DETAIL_WORDS = ["detail", "peptide", "peptide sequence", "ic50", "assay", "matrix", "culture", "protein", "doi", "entry", "record"]
+LIST_WORDS = ["search", "advance", "browse", "activity", "result", "results", "page=", "list", "table", "hydrolysis", "experiment"]
+DETAIL_KEYS = ["id", "seqid", "pid", "detail"]
+LIST_KEYS = ["page", "search", "act", "activity", "keyword", "type"]
+
+
+def page_class(url: Column, title: Column, text: Column) -> Column:
+    """detail_like, list_like or unknown: words in URL, title and the whole text, and two points for a telling query key."""
+    blob = F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
+    keys = F.transform(query_pairs(url_parts(F.coalesce(url, F.lit("")))[3]), lambda p: p["k"])
+
+    def score(words: list[str], named: list[str]) -> Column:
+        return F.size(keyword_hits(blob, words)) + F.when(F.arrays_overlap(keys, F.array(*map(F.lit, named))), 2).otherwise(0)
+
+    detail, listed = score(DETAIL_WORDS, DETAIL_KEYS), score(LIST_WORDS, LIST_KEYS)
+    return F.when(detail > listed, "detail_like").when(listed > detail, "list_like").otherwise("unknown")
 
 
 def keyword_hits(text: Column, words: list[str]) -> Column:
     low = F.lower(text)
     return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+
+
+def bibliography(c: Column) -> Column:
+    """Struct (authors, title, year, source_type) of a bibliography section; the year behind its label, else the last one."""
+    label = r"(?i)Year\s+Source\s+"
+    found = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    title = normalize_spaces(F.regexp_extract(c, r"(?i)Title\s+(.+?)\s+Year\s+Source\s+[0-9]{4}", 1))
+    title = normalize_spaces(F.regexp_replace(title, r"\s+[A-Z][A-Za-z.\-]+.*?\([0-9]{4}\)\s*$", ""))  # journal, volume and pages
+    years = F.regexp_extract_all(c, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))
+    kind = normalize_spaces(F.regexp_extract(c, label + r"[0-9]{4}\s+([A-Za-z][A-Za-z \-/]+)$", 1))
+    low = F.lower(c)
+    by_word = F.coalesce(*[F.when(low.contains(w.lower()), F.lit(w)) for w in SOURCE_TYPES])
+    return F.struct(
+        normalize_spaces(found(r"(?i)Authors\s+(.+?)\s+Title\s+")).alias("authors"), F.nullif(title, F.lit("")).alias("title"),
+        F.coalesce(found(label + "([0-9]{4})"), F.try_element_at(years, F.lit(-1))).alias("year"), F.coalesce(F.nullif(kind, F.lit("")), by_word).alias("source_type"),
+    )
+
+
+# Source types by word, in order.
+SOURCE_TYPES = ["Journal", "Book", "Patent", "Database"]
+
+
+def activity_cell(c: Column) -> Column:
+    """Struct (value, measure) of a cell like ``29.00 IC50``; another cell is its own value without measure."""
+    t = F.replace(F.replace(normalize_spaces(c), F.lit("IC 50"), F.lit("IC50")), F.lit("EC 50"), F.lit("EC50"))
+    p = r"(?i)(-?[0-9]+(?:\.[0-9]+)?)\s*((?:IC|EC)50)\b"
+    hit = t.rlike(p)
+    return F.struct(F.when(hit, F.regexp_extract(t, p, 1)).otherwise(t).alias("value"), F.when(hit, F.upper(F.regexp_extract(t, p, 2))).otherwise("").alias("measure"))
+
+
+# The fields of a detail report and the patterns that find them; blocks end at three asterisks.
+REPORT_FIELDS = {
+    "name": r"ID\s+[0-9]+\s+Name\s+(.*?)\s+sequence", "sequence": r"sequence\s+(.*?)\s+\*\s*\*\s*\*", "function_text": r"Function:\s*(.*?)\s*Number of residues",
+    "number_of_residues": r"Number of residues\s*(.*?)\s*Activity code", "activity_code": r"Activity code\s*(.*?)\s*Activity\s*:", "activity_name": r"Activity\s*:\s*(.*?)\s*Chemical mass",
+    "chemical_mass": r"Chemical mass\s*([0-9]+(?:\.[0-9]+)?)", "monoisotopic_mass": r"Monoisotopic mass\s*([0-9]+(?:\.[0-9]+)?)",
+    "activity_measure_label": r"\b((?:IC|EC)50)\s*:\s*.*?\s*\*\s*\*\s*\*", "activity_value_text": r"\b(?:IC|EC)50\s*:\s*(.*?)\s*\*\s*\*\s*\*",
+    "bibliographic_raw": r"Bibliographic data:\s*(.*?)\s*\*\s*\*\s*\*", "additional_information_raw": r"Additional information:\s*(.*?)\s*\*\s*\*\s*\*",
+    "database_reference_raw": r"Database reference:\s*(.*)$",
+}
+BIBLIOGRAPHY_FIELDS = {
+    "bibliographic_authors": r"Authors\s*(.*?)\s*Title", "bibliographic_title": r"Title\s*(.*?)\s*Year\s+Source", "bibliographic_year": r"Year\s+Source\s*([0-9]{4})",
+    "bibliographic_source_type": r"Year\s+Source\s*[0-9]{4}\s+(.+)$",
+}
+INFORMATION_FIELDS = {"smiles": r"SMILES:\s*(.*?)\s*InChI=", "inchi": r"(InChI=[^\n]+)", "inchikey": r"InChIKey:\s*(.*?)\s*(?:Information concerning|$)"}
+
+
+def report_fields(text: Column) -> dict[str, Column]:
+    """Every field of a detail report by name; empty where it is not found."""
+    def first(p: str, c: Column) -> Column:
+        return normalize_spaces(F.regexp_extract(c, f"(?is){p}", 1))
+
+    out = {n: first(p, text) for n, p in REPORT_FIELDS.items()}
+    out["activity_measure_label"] = F.upper(out["activity_measure_label"])
+    raw = {n: F.regexp_extract(text, f"(?is){REPORT_FIELDS[n]}", 1) for n in ("bibliographic_raw", "additional_information_raw")}
+    out |= {n: first(p, normalize_spaces(raw["bibliographic_raw"])) for n, p in BIBLIOGRAPHY_FIELDS.items()}
+    return out | {n: first(p, normalize_spaces(raw["additional_information_raw"])) for n, p in INFORMATION_FIELDS.items()}
+
+
+# A row of the list in running text.
+LIST_ROW = (
+    r"(?i)^\s*(?<id>[0-9]+)\s+(?<name>.+?)\s+(?<seq>[A-Za-z0-9~\-*.]+)\s+(?<chemical>[0-9]+(?:\.[0-9]+)?)\s+(?<mono>[0-9]+(?:\.[0-9]+)?)\s+"
+    r"(?<value>[0-9]+(?:\.[0-9]+)?)\s+(?<measure>(?:IC|EC)50)\b"
+)
+LIST_ROW_FIELDS = ["peptide_id", "name", "sequence", "chemical_mass", "monoisotopic_mass", "activity_value_raw", "measure_type_raw"]
+
+
+def list_rows_of_text(text: Column) -> Column:
+    """Array of structs, one per list row of a page in running text; what is no row is left out."""
+    parts = F.split(F.regexp_replace(text, r"(?i)Peptide\s+Data", "Peptide Data"), r"\bPeptide Data\b")
+    parts = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.trim(F.get(F.split(normalize_spaces(x), r"\b(?:First\b|Search:|Page\s+[0-9]+\s*/\s*[0-9]+)\b"), F.lit(0))))
+    rows = F.filter(parts, lambda x: F.rlike(x, F.lit(LIST_ROW)))
+    return F.transform(rows, lambda x: F.struct(*[F.trim(F.regexp_extract(x, LIST_ROW, i)).alias(n) for i, n in enumerate(LIST_ROW_FIELDS, 1)]))
+
+
+def list_rows_of_html(markup: Column) -> Column:
+    """The same from the marked rows of a page, with the link of each; rows of fewer than seven cells or without id are left out."""
+    blocks = F.regexp_extract_all(markup, F.lit(r"(?is)<tr\s+class=['\"]info['\"][^>]*>(.*?)</tr>"), F.lit(1))
+    cells = F.filter(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))), lambda c: F.size(c) >= 7)
+
+    def row(c: Column) -> Column:
+        plain = [html_to_text(F.get(c, F.lit(i))) for i in range(1, 7)]
+        cell = activity_cell(plain[5])
+        values = [plain[0].try_cast("bigint").cast("string"), *plain[1:5], cell["value"], cell["measure"]]
+        link = F.regexp_extract(F.get(c, F.lit(0)), r"(?i)href=['\"]([^'\"]*zm_ID=[0-9]+[^'\"]*)['\"]", 1)
+        return F.struct(*[v.alias(n) for n, v in zip(LIST_ROW_FIELDS, values, strict=True)], link.alias("detail_list_url"))
+
+    return F.filter(F.transform(cells, row), lambda r: r["peptide_id"].isNotNull())
+
+
+def total_pages(text: Column) -> Column:
+    """The total of the last ``Page n / m`` of a text."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(r"Page\s+[0-9]+\s*/\s*([0-9]+)"), F.lit(1)), F.lit(-1)).try_cast("int")
+
+
+# How a page states its number of entries, in order.
+ENTRY_PATTERNS = [r"total number entries retrieved from this search are\s+([0-9]+)", r"total number of entries.*?([0-9]+)", r"entries retrieved.*?([0-9]+)"]
+
+
+def total_entries(text: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.lower(text), p, 1), F.lit("")).try_cast("int") for p in ENTRY_PATTERNS])
+
+
+def page_candidates(url: Column, page: Column) -> Column:
+    """Canonical URLs under which the page behind number ``page`` may stand: page and offset keys, set or replaced; distinct."""
+    scheme, host, path, query = url_parts(url)
+    base = F.concat(scheme, F.lit("://"), host, path)
+
+    def with_key(k: str, v: Column) -> Column:
+        others = F.transform(F.filter(query_pairs(query), lambda p: p["k"] != k), lambda p: F.concat(p["k"], F.lit("="), p["v"]))
+        return canonical_url(F.concat(base, F.lit("?"), F.array_join(F.concat(others, F.array(F.concat(F.lit(f"{k}="), v.cast("string")))), "&")))
+
+    return F.array_distinct(F.array(*[with_key(k, page + 1) for k in ("page", "pageno", "Page", "PageNo")], *[with_key(k, page * 50) for k in ("start", "offset")]))

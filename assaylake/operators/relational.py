@@ -19,14 +19,14 @@ def _row(df: DataFrame, key: str) -> Column:
     return F.struct(*[c for c in df.columns if c != key])
 
 
-def _one_per_key(df: DataFrame, key: str, order: Column, latest: bool) -> DataFrame:
+def _one_per_key(df: DataFrame, key: str, order: Column, latest: bool, keep_null: bool = False) -> DataFrame:
     pick = F.max_by if latest else F.min_by
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(pick(_row(df, key), order).alias("_r"), F.count(F.lit(1)).alias("dup_count")).select(key, "_r.*", "dup_count")
+    return (df if keep_null else df.where(F.col(key).isNotNull())).groupBy(key).agg(pick(_row(df, key), order).alias("_r"), F.count(F.lit(1)).alias("dup_count")).select(key, "_r.*", "dup_count")
 
 
-def keep_first(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """The first row of each key by ``order``, with the number of rows; null keys refer to nothing."""
-    return _one_per_key(df, key, order, latest=False)
+def keep_first(df: DataFrame, key: str, order: Column, keep_null: bool = False) -> DataFrame:
+    """The first row of each key by ``order``, with the number of rows; rows without key go, or one of them stays."""
+    return _one_per_key(df, key, order, latest=False, keep_null=keep_null)
 
 
 def keep_last(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -86,24 +86,34 @@ def residues(df: DataFrame, seq: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(F.split(seq, "")).alias("p", "residue")).where("residue <> ''").withColumn("position", F.col("p") + 1).drop("p")
 
 
-def enrichment(df: DataFrame, seq: str, strong: Column, at: list[str]) -> DataFrame:
-    """Residue counts and shares among strong and all sequences, and log2 fold change with half a pseudocount."""
-    r = residues(df.withColumn("strong", strong.cast("int")), seq, ["strong", *[c for c in at if c != "position"]])
-    n = r.groupBy(*at, "residue").agg(F.count(F.lit(1)).alias("n_all"), F.sum("strong").alias("n_strong"))
-    letters = F.explode(F.array(*[F.lit(a) for a in AMINO_ACIDS])).alias("residue")
-    grid = n.select(*at).distinct().select(*at, letters) if at else df.sparkSession.range(1).select(letters)
-    t = grid.join(n, [*at, "residue"], "left").fillna(0, ["n_all", "n_strong"])
-    w = Window.partitionBy(*at)
+def residue_shares(df: DataFrame, seq: str, groups: dict[str, list]) -> DataFrame:
+    """Counts and shares of all twenty residues within every combination of ``groups`` (column -> fixed values), zeros included.
+
+    ``seq`` holds one residue a row; shares are 0 where a group is empty.
+    """
+    on = list(groups)
+    n = df.groupBy(*on, F.col(seq).alias("residue")).agg(F.count(F.lit(1)).alias("n"))
+    t = zero_filled(n, groups | {"residue": list(AMINO_ACIDS)}, "n")
+    share = F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*on)))
+    return t.withColumn("share", F.round(F.coalesce(share, F.lit(0.0)), 6))
+
+
+def enrichment(df: DataFrame, residue: str, strong: Column, groups: dict[str, list]) -> DataFrame:
+    """Counts and shares of all twenty residues among strong and all rows of every group, and log2 fold change with half a pseudocount."""
+    on = list(groups)
+    n = df.groupBy(*on, F.col(residue).alias("residue")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(strong).alias("n_strong"))
+    t = zero_filled(n, groups | {"residue": list(AMINO_ACIDS)}, "n_all").fillna(0, ["n_strong"])
+    w = Window.partitionBy(*on)
     all_total, strong_total = F.sum("n_all").over(w), F.sum("n_strong").over(w)
-    fa, fs = F.try_divide(F.col("n_all"), all_total), F.try_divide(F.col("n_strong"), strong_total)
+    fa, fs = F.coalesce(F.try_divide(F.col("n_all"), all_total), F.lit(0.0)), F.coalesce(F.try_divide(F.col("n_strong"), strong_total), F.lit(0.0))
     fold = ((F.col("n_strong") + 0.5) / (strong_total + 10.0)) / ((F.col("n_all") + 0.5) / (all_total + 10.0))
     return t.withColumns({"freq_all": F.round(fa, 6), "freq_strong": F.round(fs, 6), "diff": F.round(fs - fa, 6), "log2fc": F.round(F.log2(fold), 6)})
 
 
-def reverse_pairs(df: DataFrame, seq: str, value: str) -> DataFrame:
-    """Unordered pairs of a sequence and its reverse, each once, with both values."""
-    a = df.select(F.col(seq).alias("seq_a"), F.col(value).alias("value_a"), F.reverse(seq).alias("seq_b")).where("seq_a < seq_b")
-    return a.join(df.select(F.col(seq).alias("seq_b"), F.col(value).alias("value_b")), "seq_b").select("seq_a", "seq_b", "value_a", "value_b")
+def reverse_pairs(df: DataFrame, seq: str, values: list[str]) -> DataFrame:
+    """Unordered pairs of a sequence and its reverse, each once, with the values of both (``<v>_a``, ``<v>_b``)."""
+    a = df.select(F.col(seq).alias("seq_a"), *[F.col(v).alias(f"{v}_a") for v in values], F.reverse(seq).alias("seq_b")).where("seq_a < seq_b")
+    return a.join(df.select(F.col(seq).alias("seq_b"), *[F.col(v).alias(f"{v}_b") for v in values]), "seq_b")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:

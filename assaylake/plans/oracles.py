@@ -53,7 +53,7 @@ RANGE, MASS = rf"^{N}\s*[-~]\s*{N}\s*(nM|uM|mM|M)$", rf"^([<>≤≥])?\s*{N}\s*(
 LIMIT, EXACT = rf"^([<>≤≥])\s*{N}\s*(nM|uM|mM|M)$", rf"^{N}\s*(nM|uM|mM|M)$"
 REL = "CASE WHEN regexp_matches(w, '^[<>≤≥]') THEN left(w, 1) ELSE '=' END"
 
-ASSAY_SQL = ASSAY.format(div="//")
+ASSAY_SQL = ASSAY.replace("{div}", "//")
 
 
 def parser(names: dict, extra_first: str, value_first: str, relation_first: str, unit_first: str, last: str, value_last: str, work: str, unit_last: str = "NULL") -> str:
@@ -70,10 +70,14 @@ def parser(names: dict, extra_first: str, value_first: str, relation_first: str,
     FROM (SELECT ic50_raw, {clean("ic50_raw")} AS t, {work} AS w FROM (SELECT DISTINCT ic50_raw FROM assay))"""
 
 
+ODD = "regexp_matches(replace(w, ' ', ''), '(?:nM|uM|mM|M)/L')"
+# RE2 has no backreference: both numbers are taken and compared.
+TWICE = rf"(regexp_matches(w, '^{N}\s+{N}$') AND regexp_extract(w, '^{N}\s+{N}$', 1) = regexp_extract(w, '^{N}\s+{N}$', 2))"
 AHTPDB = parser(
     {"limit": "threshold", "exact": "exact"},
-    f"WHEN contains(w, '%') THEN 'percent' WHEN regexp_matches(replace(w, ' ', ''), '(?:nM|uM|mM|M)/L') THEN 'suspicious_unit'",
-    f"WHEN contains(w, '%') THEN {num('w', N, 1)}", "WHEN contains(w, '%') THEN NULL", "WHEN contains(w, '%') THEN t", "ELSE 'dirty'", "", unit_keep(clean("ic50_raw")), "t",
+    f"WHEN contains(w, '%') THEN 'percent' WHEN {ODD} THEN 'suspicious_unit' WHEN {TWICE} THEN 'dirty'",
+    f"WHEN contains(w, '%') THEN {num('w', N, 1)} WHEN {ODD} THEN {num('w', N, 1)} WHEN {TWICE} THEN {num('w', N, 1)}",
+    f"WHEN contains(w, '%') THEN NULL WHEN {ODD} THEN {REL} WHEN {TWICE} THEN NULL", f"WHEN contains(w, '%') OR {ODD} OR {TWICE} THEN t", "ELSE 'dirty'", "", unit_keep(clean("ic50_raw")), "t",
 )
 BIOPEP = parser(
     {"limit": "molar_threshold", "exact": "exact_molar"},
@@ -107,7 +111,7 @@ def fermfood(source: str, keys: str, mass: str, advanced: bool) -> str:
     end = "([^a-z]|$)" if advanced else r"([^\p{L}\p{N}_]|$)"
     per = "" if advanced else " OR contains(w, '{0}gperml')"
     mass_cases = " ".join(f"WHEN contains(w, '{p}g/ml'){per.format(p)} THEN '{p}g/ml'" for p in "mun")
-    molar = " ".join(f"WHEN contains(w, '{p}mol/l') OR regexp_matches(w, '(^|[^a-z]){p}m{end}'){' OR contains(w, chr(109)||chr(105)||chr(99)||chr(114)||chr(111)||chr(109)||chr(111)||chr(108)||chr(97)||chr(114))' if advanced and p == 'u' else ''} THEN '{p}M'" for p in "munp")
+    molar = " ".join(f"WHEN contains(w, '{p}mol/l') OR regexp_matches(w, '(^|[^a-z]){p}m{end}'){' OR contains(w, \'micromolar\')' if advanced and p == 'u' else ''} THEN '{p}M'" for p in "munp")
     return rf"""SELECT {keys}, CASE WHEN t IS NULL THEN 'missing' WHEN len(v) = 0 THEN 'unparsed_text' WHEN unit IS NULL THEN 'numeric_no_unit'
         WHEN per IS NOT NULL AND NOT coalesce(m > 0, false) THEN 'mass_concentration_needs_mass' WHEN rel = '=' THEN 'exact_molar' ELSE 'molar_threshold' END AS status,
       CASE WHEN t IS NOT NULL THEN rel END AS relation, med AS value, CASE WHEN len(v) > 0 THEN unit END AS unit,
@@ -121,8 +125,8 @@ WITH_ASSAY = f"WITH assay AS ({ASSAY_SQL}), ahtpdb AS ({AHTPDB}), biopep AS ({BI
 RECORDS = WITH_ASSAY + f""", readings AS (
   SELECT 'AHTPDB' AS source_name, ic50_raw, status, relation, um FROM ahtpdb UNION ALL SELECT 'BIOPEP', ic50_raw, status, relation, um FROM biopep
   UNION ALL SELECT 'MBPDB', ic50_raw, status, relation, um FROM mbpdb UNION ALL SELECT 'FermFooDb', ic50_raw, status, relation, um FROM fermfood),
-records AS (SELECT source_name, sequence, length(sequence) AS peptide_length, assay, species, year, relation, status, um FROM assay JOIN readings USING (source_name, ic50_raw)
-  WHERE regexp_matches(sequence, '^[{AA}]+$') AND um IS NOT NULL AND status IN ('exact', 'threshold', 'exact_molar', 'molar_threshold'))"""
+records AS (SELECT record_id, source_name, sequence, length(sequence) AS peptide_length, assay, method, model, species, year, relation, status, um FROM assay LEFT JOIN readings USING (source_name, ic50_raw)
+  WHERE (source_name <> 'AHTPDB' OR regexp_matches(sequence, '^[{AA}]+$')) AND sequence IS NOT NULL AND um IS NOT NULL AND status IN ('exact', 'threshold', 'exact_molar', 'molar_threshold'))"""
 LEVEL = RECORDS + """, level0 AS (SELECT sequence, min(peptide_length) AS peptide_length, count(DISTINCT source_name) AS source_count, string_agg(DISTINCT source_name, ' | ' ORDER BY source_name) AS source_name_set,
   count(*) AS record_count_total, count(*) FILTER (source_name = 'AHTPDB') AS record_count_ahtpdb, count(*) FILTER (source_name = 'BIOPEP') AS record_count_biopep, count(*) FILTER (source_name = 'MBPDB') AS record_count_mbpdb,
   count(*) FILTER (source_name = 'FermFooDb') AS record_count_fermfooddb, string_agg(DISTINCT relation, ' | ' ORDER BY relation) AS ic50_relation_set, string_agg(DISTINCT status, ' | ' ORDER BY status) AS ic50_status_set,
@@ -138,12 +142,26 @@ CONSENSUS_COLS = f"""CASE WHEN source_count >= 3 AND ok THEN 'Tier A' WHEN sourc
 OK = "coalesce(stability_flag IN ('cross_source_consistent', 'within_range_consistent') AND x <= 10 AND med IS NOT NULL, false) AS ok"
 CONSENSUS = LEVEL + f", cons AS (SELECT *, {CONSENSUS_COLS} FROM (SELECT *, {OK} FROM (SELECT *, {RATIO} AS x, ic50_uM_median AS med FROM level)))"
 FLAGGED = LEVEL + f""", flagged AS (SELECT *, {RATIO} AS x, CASE stability_flag WHEN 'cross_source_consistent' THEN 'Tier_A' WHEN 'within_range_consistent' THEN 'Tier_B' WHEN 'singleton' THEN 'Tier_C' ELSE 'Tier_X' END AS consensus_tier FROM level)"""
-HIGHCONF = RECORDS + """, hc0 AS (SELECT sequence, count(*) AS record_count, list_sort(list(DISTINCT um)) AS v, count(DISTINCT source_name) AS source_count, count(DISTINCT assay) AS assay_count, string_agg(DISTINCT assay, ' | ' ORDER BY assay) AS assay_list
-  FROM records WHERE status IN ('exact', 'exact_molar') AND peptide_length IN (2, 3) GROUP BY sequence),
-hc AS (SELECT sequence, record_count, len(v) AS n_unique, v[1] AS um_min, v[-1] AS um_max, round(list_median(v), 6) AS um_median,
-  round(CASE WHEN v[1] > 0 THEN exp(list_avg(list_transform(v, lambda a: ln(a)))) END, 6) AS um_geomean, round(CASE WHEN list_median(v) > 0 THEN log10(list_median(v)) END, 6) AS log10_median, round(CASE WHEN v[1] > 0 THEN v[-1] / v[1] END, 6) AS fold,
-  source_count, assay_count, assay_list, CASE WHEN len(v) = 1 THEN 'stable' WHEN v[1] <= 0 THEN 'undetermined' WHEN v[-1] / v[1] <= 3 THEN 'stable' WHEN v[-1] / v[1] <= 10 THEN 'condition-sensitive' ELSE 'high-conflict' END AS stability_class,
-  CASE WHEN list_median(v) <= 50 THEN 'strong' WHEN list_median(v) <= 200 THEN 'medium' ELSE 'weak' END AS activity_tier FROM hc0)"""
+
+
+def sig6(x: str) -> str:
+    return f"cast(printf('%.6g', {x}) AS double)"
+
+
+def sorted_set(x: str) -> str:
+    return f"coalesce(string_agg(DISTINCT {x}, ' | ' ORDER BY {x}), '')"
+
+
+HIGHCONF = RECORDS + f""", hc0 AS (SELECT sequence, count(*) AS record_count, list_sort(list(DISTINCT um)) AS v, {", ".join(f"count(DISTINCT {c}) AS {n}_count, {sorted_set(c)} AS {n}_list" for n, c in (("source", "source_name"), ("assay", "assay"), ("method", "method"), ("model", "model")))}, {sorted_set("record_id")} AS record_id_list
+  FROM records WHERE status IN ('exact', 'exact_molar') AND peptide_length IN (2, 3) AND regexp_matches(sequence, '^[{AA}]+$') GROUP BY sequence),
+hc1 AS (SELECT *, list_median(v) AS m, v[1] AS low, v[-1] AS high FROM hc0),
+hc AS (SELECT sequence, length(sequence) AS peptide_length, record_count, len(v) AS n_unique, {sig6("low")} AS um_min, {sig6("high")} AS um_max, CASE WHEN low > 0 THEN {sig6("exp(list_avg(list_transform(v, lambda a: ln(a))))")} END AS um_geomean,
+  CASE WHEN len(v) = 1 THEN 'stable' WHEN low <= 0 THEN 'undetermined' WHEN high / low <= 3 THEN 'stable' WHEN high / low <= 10 THEN 'condition-sensitive' ELSE 'high-conflict' END AS stability_class,
+  source_count, assay_count, method_count, model_count, source_list, assay_list, method_list, model_list, record_id_list, {sig6("m")} AS um_median, CASE WHEN m > 0 THEN {sig6("log10(m)")} END AS log10_median,
+  CASE WHEN len(v) = 1 THEN 1.0::double WHEN low > 0 THEN {sig6("high / low")} END AS fold, CASE WHEN {sig6("m")} <= 50 THEN 'strong' WHEN {sig6("m")} <= 200 THEN 'medium' ELSE 'weak' END AS activity_tier FROM hc1),
+st AS (SELECT *, CASE peptide_length WHEN 2 THEN 'di' ELSE 'tri' END AS type FROM hc WHERE stability_class = 'stable')"""
+EXACT_VALUES = WITH_ASSAY + f""", ev AS (SELECT sequence, count(*) AS dup_count, count(DISTINCT v) AS n_values, {sorted_set("v")} AS v_list, count(DISTINCT source_name) AS n_sources, {sorted_set("source_name")} AS sources_list, count(DISTINCT assay) AS n_assays, {sorted_set("assay")} AS assays_list, {sorted_set("record_id")} AS ids_list
+  FROM (SELECT assay.*, CASE WHEN exact = 1 AND um IS NOT NULL THEN printf('%.6g', um) END AS v FROM assay LEFT JOIN ahtpdb USING (ic50_raw)) GROUP BY sequence HAVING count(DISTINCT v) >= 2)"""
 
 
 def fmdb(x: str) -> str:
@@ -178,17 +196,39 @@ def first_number(x: str) -> str:
     return rf"try_cast(nullif(regexp_extract({x}, '[-+]?\d+(?:\.\d+)?', 0), '') AS double)"
 
 
+def url_part(x: str, i: int) -> str:
+    return rf"regexp_extract(trim({x}), '^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?', {i})"
+
+
 def slug(x: str) -> str:
     return f"left(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60)"
 
 
+def safe_name(x: str) -> str:
+    path = rf"replace(regexp_replace({url_part(x, 3)}, '^/+|/+$', '', 'g'), '/', '_')"
+    return rf"'page_' || left(regexp_replace(CASE WHEN {path} = '' THEN 'root' ELSE {path} END, '[^A-Za-z0-9._\-]+', '_', 'g'), 60) || '_' || left(md5({x}), 12)"
+
+
+def url_pairs(x: str) -> str:
+    """Sorted ``key chr(1) value`` texts of a query; chr(1) sorts before every character of a key."""
+    one = "url_decode(replace(regexp_extract(a, '^[^=]*'), '+', ' ')) || chr(1) || url_decode(replace(CASE WHEN contains(a, '=') THEN regexp_replace(a, '^[^=]*=', '') ELSE '' END, '+', ' '))"
+    return f"list_sort(list_transform(list_filter(string_split({url_part(x, 4)}, '&'), lambda a: a <> ''), lambda a: {one}))"
+
+
 def url(x: str) -> str:
-    u = f"trim({x})"
-    head = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
-    scheme, host = f"lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1))", f"lower(regexp_extract({u}, '{head}([^/?#]*)', 1))"
-    path = f"regexp_replace(regexp_extract({u}, '{head}[^/?#]*([^?#]*)', 1), '/+', '/', 'g')"
-    q = rf"array_to_string(list_sort(list_filter(string_split(regexp_extract({u}, '\?([^#]*)', 1), '&'), lambda a: a <> '')), '&')"
-    return f"(CASE WHEN {scheme} <> '' THEN {scheme} || '://' || {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END END)"
+    scheme, host = f"lower({url_part(x, 1)})", f"lower({url_part(x, 2)})"
+    path = f"regexp_replace(regexp_replace({url_part(x, 3)}, ';[^/]*$', ''), '/+', '/', 'g')"
+    query = f"replace(array_to_string({url_pairs(x)}, '&'), chr(1), '=')"
+    return f"(CASE WHEN {scheme} <> '' THEN {scheme} || ':' ELSE '' END || CASE WHEN {host} <> '' THEN '//' || {host} ELSE '' END || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END)"
+
+
+def page_class(u: str, title: str, text: str) -> str:
+    """Scores of a page, with the words and keys of both kinds."""
+    blob = f"lower(coalesce({u}, '') || ' ' || coalesce({title}, '') || ' ' || coalesce({text}, ''))"
+    keys = f"list_transform({url_pairs(f'coalesce({u}, chr(32))')}, lambda a: string_split(a, chr(1))[1])"
+    detail = f"len(list_filter(['detail', 'peptide', 'peptide sequence', 'ic50', 'assay', 'matrix', 'culture', 'protein', 'doi', 'entry', 'record'], lambda w: contains({blob}, w))) + CASE WHEN list_has_any({keys}, ['id', 'seqid', 'pid', 'detail']) THEN 2 ELSE 0 END"
+    listed = f"len(list_filter(['search', 'advance', 'browse', 'activity', 'result', 'results', 'page=', 'list', 'table', 'hydrolysis', 'experiment'], lambda w: contains({blob}, w))) + CASE WHEN list_has_any({keys}, ['page', 'search', 'act', 'activity', 'keyword', 'type']) THEN 2 ELSE 0 END"
+    return f"(CASE WHEN {detail} > {listed} THEN 'detail_like' WHEN {listed} > {detail} THEN 'list_like' ELSE 'unknown' END)"
 
 
 def section(start: str, ends: list[str]) -> str:
@@ -202,27 +242,30 @@ def hits(words: list[str]) -> str:
 LABELS = ["Entry:", "Name:", "Sequence:", "Number of residues:", "Monoisotopic mass:", "IC50 :", "Activity:", "Source:", "Assay:", r"Additional information:"]
 YEARS = r"list_transform(regexp_extract_all(coalesce({0}, ''), '\b((?:19|20)\d{{2}})\b', 1), lambda y: cast(y AS int))"
 PARSED = f"status, relation, {r6('value')} AS value, unit, {r6('um')} AS um"
-FOLD_BINS = "CASE WHEN fold <= 1 THEN '=1' WHEN fold <= 2 THEN '1-2' WHEN fold <= 3 THEN '2-3' WHEN fold <= 5 THEN '3-5' WHEN fold <= 10 THEN '5-10' WHEN fold <= 30 THEN '10-30' WHEN fold <= 100 THEN '30-100' ELSE '>100' END"
-
-
-def enrich(rows: str, at: str) -> str:
-    """Enrichment of ``rows`` (at, residue, strong) over the alphabet."""
-    key, part, join = (f"{at}, ", f"PARTITION BY {at}", f"(SELECT DISTINCT {at} FROM r) CROSS JOIN") if at else ("", "", "")
-    on = f"n.{at} = g.{at} AND " if at else ""
-    return f"""r AS ({rows}), g AS (SELECT {key}residue FROM {join} (VALUES {LETTERS}) AS t(residue)), n AS (SELECT {key}residue, count(*) AS n_all, sum(strong) AS n_strong FROM r GROUP BY {key}residue),
-    f AS (SELECT {"g." + key if at else ""}g.residue, cast(coalesce(n_all, 0) AS bigint) AS n_all, cast(coalesce(n_strong, 0) AS bigint) AS n_strong FROM g LEFT JOIN n ON {on}n.residue = g.residue),
-    t AS (SELECT *, sum(n_all) OVER ({part}) AS ta, sum(n_strong) OVER ({part}) AS ts FROM f),
-    enriched AS (SELECT {key}residue, n_all, n_strong, round(n_all / nullif(ta, 0), 6) AS freq_all, round(n_strong / nullif(ts, 0), 6) AS freq_strong, round(n_strong / nullif(ts, 0) - n_all / nullif(ta, 0), 6) AS diff,
-      round(log2(((n_strong + 0.5) / (ts + 10.0)) / ((n_all + 0.5) / (ta + 10.0))), 6) AS log2fc FROM t)"""
-
-
-POSITIONS = "SELECT cast(i AS int) AS position, substr(sequence, cast(i AS int), 1) AS residue, cast(activity_tier = 'strong' AS int) AS strong FROM hc, unnest(range(1, length(sequence) + 1)) AS u(i)"
-LAST = "SELECT right(sequence, 1) AS residue, cast(activity_tier = 'strong' AS int) AS strong FROM hc"
-REASONS = {
-    "missing_sequence": "s IS NULL", "noncanonical": f"s IS NOT NULL AND NOT regexp_matches(s, '^[{AA}]+$')", "length_conflict": "peptide_length IS NOT NULL AND length(s) <> peptide_length",
-    "status": "NOT coalesce(ic50_parse_status IN ('exact_molar', 'molar_threshold'), false)", "ec50": "coalesce(contains(lower(concat_ws(' ', ic50_raw, assay_raw, title_raw)), 'ec50'), false)",
-    "review": "list_contains(list_transform(string_split(coalesce(notes, ''), ';'), lambda a: trim(a)), 'ic50_needs_manual_review')",
-}
+FOLD_BINS = "CASE WHEN fold IS NULL THEN 'missing' WHEN fold <= 1 THEN '1' WHEN fold <= 1.5 THEN '(1,1.5]' WHEN fold <= 2 THEN '(1.5,2]' WHEN fold <= 3 THEN '(2,3]' WHEN fold <= 5 THEN '(3,5]' WHEN fold <= 10 THEN '(5,10]' ELSE '>10' END"
+
+
+def shares(rows: str, groups: dict[str, list[str]]) -> str:
+    """Counts and shares of ``rows`` (groups..., residue) over the alphabet and the fixed groups, zeros included."""
+    on = ", ".join(groups)
+    grid = " CROSS JOIN ".join(f"(VALUES {', '.join(f'({v!r})' for v in vs)}) AS g_{c}({c})" for c, vs in groups.items())
+    return f"""r AS ({rows}), n AS (SELECT {on}, residue, count(*) AS n FROM r GROUP BY ALL), f AS (SELECT {on}, residue, coalesce(n, 0) AS n FROM {grid} CROSS JOIN (VALUES {LETTERS}) AS l(residue) LEFT JOIN n USING ({on}, residue)),
+    shown AS (SELECT *, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY {on}), 0), 0), 6) AS share FROM f)"""
+
+
+def enrich(rows: str, group: str, values: list[str]) -> str:
+    """Enrichment of ``rows`` (group, residue, strong) over the alphabet and the fixed groups: log2 of smoothed shares."""
+    return f"""r AS ({rows}), n AS (SELECT {group}, residue, count(*) AS n_all, sum(strong) AS n_strong FROM r GROUP BY ALL),
+    f AS (SELECT {group}, residue, cast(coalesce(n_all, 0) AS bigint) AS n_all, cast(coalesce(n_strong, 0) AS bigint) AS n_strong FROM (VALUES {", ".join(f"({v!r})" for v in values)}) AS g({group}) CROSS JOIN (VALUES {LETTERS}) AS l(residue) LEFT JOIN n USING ({group}, residue)),
+    t AS (SELECT *, sum(n_all) OVER (PARTITION BY {group}) AS ta, sum(n_strong) OVER (PARTITION BY {group}) AS ts FROM f),
+    u AS (SELECT *, coalesce(n_all / nullif(ta, 0), 0) AS fa, coalesce(n_strong / nullif(ts, 0), 0) AS fs FROM t),
+    enriched AS (SELECT {group}, residue, n_all, n_strong, round(fa, 6) AS freq_all, round(fs, 6) AS freq_strong, round(fs - fa, 6) AS diff, round(log2(((n_strong + 0.5) / (ts + 0.5 * 20)) / ((n_all + 0.5) / (ta + 0.5 * 20))), 6) AS log2fc FROM u)"""
+
+
+PLACES = "SELECT type || i AS place, substr(sequence, cast(i AS int), 1) AS residue, cast(activity_tier = 'strong' AS int) AS strong FROM st, unnest(range(1, length(sequence) + 1)) AS u(i)"
+PLACE_NAMES = ["di1", "di2", "tri1", "tri2", "tri3"]
+ENDS = "SELECT 'N' AS term, type, left(sequence, 1) AS residue, cast(activity_tier = 'strong' AS int) AS strong FROM st UNION ALL SELECT 'C', type, right(sequence, 1), cast(activity_tier = 'strong' AS int) FROM st"
+END_GROUPS = f"SELECT term, residue, 'all-' || type AS grp FROM ({ENDS}) UNION ALL SELECT term, residue, 'strong-' || type FROM ({ENDS}) WHERE strong = 1"
 LIST_COLUMNS = ["row_id", "list_page_no", "list_page_url", "row_no_on_page", "fmdb_id", "detail_url", "pubmed_id", "title", "peptide_sequence", "length_of_peptide", "food_matrix", "protein", "ph", "temperature", "incubation_time", "activity", "experiment", "model", "assay_for_activity_measurement", "culture", "hydrolysis", "method_of_analysis", "mz_ratio", "mass", "ic50_raw", "crawled_at", "withdrawn_at"]
 BARE = r"(?i)\bIC50\s*:?\s*([<>≤≥]?)\s*" + N + r"\b"
 UNIT = r"(µM|μM|uM|nM|mM|M|micromole|micromolar)\b"
@@ -235,7 +278,7 @@ def from_text() -> str:
 
     return f"""WITH x AS (SELECT doc_id, t, k, CASE k WHEN 1 THEN {num("t", LABEL, 2)} WHEN 2 THEN {num("t", SENTENCE, 2)} WHEN 3 THEN {num("t", BARE, 2)} END AS value,
       CASE k WHEN 1 THEN {u(LABEL)} WHEN 2 THEN {u(SENTENCE)} END AS unit, CASE k WHEN 1 THEN coalesce(nullif({pick("t", LABEL, 1)}, ''), '=') WHEN 2 THEN coalesce(nullif({pick("t", SENTENCE, 1)}, ''), '=') WHEN 3 THEN coalesce(nullif({pick("t", BARE, 1)}, ''), '=') END AS relation
-    FROM (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN regexp_matches(coalesce(text, ''), '{LABEL}') THEN 1 WHEN regexp_matches(coalesce(text, ''), '{SENTENCE}') THEN 2 WHEN regexp_matches(coalesce(text, ''), '{BARE}') THEN 3 ELSE 4 END AS k FROM documents WHERE lang = 'en'))
+    FROM (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN regexp_matches(coalesce(text, ''), '{LABEL}') THEN 1 WHEN regexp_matches(coalesce(text, ''), '{SENTENCE}') THEN 2 WHEN regexp_matches(coalesce(text, ''), '{BARE}') THEN 3 ELSE 4 END AS k FROM documents))
     SELECT doc_id, CASE WHEN k = 4 THEN 'missing' WHEN k = 3 THEN 'numeric_no_unit' WHEN relation = '=' THEN 'exact_molar' ELSE 'molar_threshold' END AS status, relation, {r6("value")} AS value, unit, {r6(f"value * {factor('unit')}")} AS um FROM x"""
 
 
@@ -243,10 +286,12 @@ def first_clean(*xs: str) -> str:
     return f"coalesce({', '.join(clean(x) for x in xs)})"
 
 
+OLD = "(SELECT {}, ic50_raw, mass_da, ic50_parse_status AS old_status, ic50_relation AS old_relation, ic50_unit AS old_unit, ic50_value AS old_value, CASE WHEN isfinite(ic50_uM) THEN ic50_uM END AS old_um FROM {})"
+
 ORACLES = {
-    "ic50_ahtpdb": f"{WITH_ASSAY} SELECT ic50_raw, {PARSED}, {r6('low')} AS low, {r6('high')} AS high, exact FROM ahtpdb",
-    "ic50_biopep": f"{WITH_ASSAY} SELECT ic50_raw, {PARSED} FROM biopep",
-    "ic50_mbpdb": f"{WITH_ASSAY} SELECT ic50_raw, {PARSED}, {r6('low')} AS low, {r6('high')} AS high FROM mbpdb",
+    "ic50_ahtpdb": f"{WITH_ASSAY} SELECT l_orderkey, l_linenumber, {PARSED}, {r6('low')} AS low, {r6('high')} AS high, exact FROM assay LEFT JOIN ahtpdb USING (ic50_raw)",
+    "ic50_biopep": f"{WITH_ASSAY} SELECT l_orderkey, l_linenumber, {PARSED} FROM assay LEFT JOIN biopep USING (ic50_raw)",
+    "ic50_mbpdb": f"{WITH_ASSAY} SELECT l_orderkey, l_linenumber, {PARSED}, {r6('low')} AS low, {r6('high')} AS high FROM assay LEFT JOIN mbpdb USING (ic50_raw)",
     "ic50_fermfood": f"SELECT row_id, {PARSED} FROM ({fermfood('fermfoodb_ace_master_clean', 'row_id', 'mass_da', False)})",
     "ic50_fermfood_advanced": f"SELECT row_id, {PARSED} FROM ({fermfood('fermfoodb_ace_master_clean', 'row_id', 'mass_da', True)})",
     "ic50_from_text": from_text(),
@@ -254,23 +299,24 @@ ORACLES = {
     "unit_mass_to_um": f"""{WITH_ASSAY}, j AS (SELECT l_partkey, CASE WHEN relation = '=' AND value > 0 AND molwt > 0 THEN CASE lower(unit) WHEN 'mg/ml' THEN value * 1e6 / molwt WHEN 'ug/ml' THEN value * 1e3 / molwt END END AS um
       FROM assay JOIN ahtpdb USING (ic50_raw) LEFT JOIN (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS molwt FROM part) ON p_partkey = l_partkey WHERE status = 'mass_unit')
       SELECT l_partkey, count(*) AS n, count(um) AS n_converted, round(sum(um), 3) AS um_sum FROM j GROUP BY l_partkey""",
-    "context_rescue": f"""WITH t AS (SELECT row_id, {seq('sequence')} AS seq, ic50_parse_status AS st, ic50_value AS v, CASE WHEN ic50_uM > 0 AND NOT isnan(ic50_uM) THEN ic50_uM END AS um FROM fermfoodb_ace_master_rescued),
-      c AS (SELECT seq, count(*) AS n_context, round(median(um), 6) AS context_median FROM t WHERE seq IS NOT NULL AND st IN ('exact_molar', 'molar_threshold') AND um IS NOT NULL GROUP BY seq HAVING count(*) >= 2)
-      SELECT row_id, seq, round(v, 6) AS rescued_um, n_context, context_median FROM t JOIN c USING (seq) WHERE st = 'numeric_no_unit' AND v IS NOT NULL AND NOT isnan(v)""",
+    "context_rescue": f"""WITH t AS (SELECT row_id, {seq('sequence')} AS seq, {clean('ic50_parse_status')} AS st, {clean('ic50_raw')} AS raw, CASE WHEN isfinite(ic50_uM) THEN ic50_uM END AS um FROM fermfoodb_ace_master_rescued),
+      c AS (SELECT seq, count(*) AS n_context, round(median(um), 6) AS context_median, round(min(um), 6) AS context_min, round(max(um), 6) AS context_max FROM t WHERE seq IS NOT NULL AND st IN ('exact_molar', 'molar_threshold') AND um IS NOT NULL GROUP BY seq)
+      SELECT row_id, seq, CASE WHEN n_context >= 2 THEN round(list_median({numbers("raw")}), 6) END AS rescued_um, n_context, context_median, context_min, context_max FROM t LEFT JOIN c USING (seq) WHERE st = 'numeric_no_unit'""",
     "clean_text_tokens": "SELECT row_id, " + ", ".join(f"{clean(c)} AS {c}" for c in ("ph", "temperature", "incubation_time", "culture")) + " FROM fermfoodb_ace_list",
     "year_extract": f"""SELECT * FROM (SELECT doc_id, list_max({YEARS.format('text')}) AS latest, coalesce(list_min({YEARS.format('text')}), list_min({YEARS.format('pubmed_id')})) AS earliest,
-      CASE WHEN length(y) = 4 AND cast(y AS int) BETWEEN 1800 AND 2100 THEN cast(y AS int) END AS digits FROM (SELECT *, left(regexp_replace({clean('pubmed_id')}, '\\D', '', 'g'), 4) AS y FROM documents WHERE lang = 'en')) WHERE latest IS NOT NULL OR earliest IS NOT NULL OR digits IS NOT NULL""",
+      CASE WHEN length(y) = 4 AND cast(y AS int) BETWEEN 1800 AND 2100 THEN cast(y AS int) END AS digits FROM (SELECT *, left(regexp_replace({clean('pubmed_id')}, '\\D', '', 'g'), 4) AS y FROM documents)) WHERE latest IS NOT NULL OR earliest IS NOT NULL OR digits IS NOT NULL""",
     "number_coercion": f"SELECT row_id, {r6(to_float('ph'))} AS ph, {r6(to_float('mass'))} AS mass, CASE WHEN abs(n - round(n)) < 1e-9 THEN cast(round(n) AS bigint) END AS len FROM (SELECT *, {to_float('length_of_peptide')} AS n FROM fermfoodb_ace_detail)",
-    "mass_from_text": f"SELECT row_id, {r6(f'coalesce({first_number(clean(chr(109) + chr(97) + chr(115) + chr(115)))}, {first_number(clean(chr(109) + chr(122) + chr(95) + chr(114) + chr(97) + chr(116) + chr(105) + chr(111)))})')} AS mass_da FROM fermfoodb_ace_detail",
+    "mass_from_text": f"SELECT row_id, {r6(f"coalesce({first_number(clean('mass'))}, {first_number(clean('mz_ratio'))})")} AS mass_da FROM fermfoodb_ace_detail",
     "six_digits": "SELECT row_id, round(round(m * s) / s, 9) AS sig6 FROM (SELECT row_id, ic50_uM_mean AS m, pow(10.0, 5 - floor(log10(abs(ic50_uM_mean)))) AS s FROM ace_short_2_3_merged_sequence_level_v0_3 WHERE ic50_uM_mean > 0 AND NOT isnan(ic50_uM_mean))",
     "canonical_sequence_filter": f"SELECT row_id, seq, length(seq) AS len FROM (SELECT row_id, {seq('peptide_sequence')} AS seq FROM fermfoodb_ace_detail) WHERE regexp_matches(seq, '^[{AA}]+$')",
     "terminal_residues": f"{PEPTIDES} SELECT row_id, left(seq, 1) AS n_term, right(seq, 1) AS c_term, reverse(seq) AS rev, cast(length(seq) = 2 AS int) AS is_di, cast(length(seq) = 3 AS int) AS is_tri FROM s WHERE regexp_matches(seq, '^[{AA}]+$')",
     "natural_key": f"SELECT row_id, concat_ws('_', 'FMDB', {slug(clean('protein'))}, {seq('peptide_sequence')}, {slug(clean('ph'))}) AS key FROM fermfoodb_ace_list",
-    "safe_file_name": f"SELECT row_id, concat_ws('_', {slug('detail_url')}, left(md5(detail_url), 12)) AS name FROM fermfoodb_ace_list",
+    "safe_file_name": f"SELECT row_id, {safe_name('detail_url')} AS name FROM fermfoodb_ace_list",
     "url_canonical": f"SELECT row_id, {url('list_page_url')} AS list_url, {url('detail_url')} AS detail_url FROM fermfoodb_ace_list",
-    "page_keyword_hits": f"SELECT doc_id, array_to_string({hits(['ace inhibitor', 'sequence', 'molar', 'hydrolysate', 'detail page'])}, ' | ') AS hits FROM documents WHERE lang = 'en'",
-    "page_class": f"SELECT doc_id, CASE WHEN a > b THEN 'detail' WHEN b > a THEN 'list' ELSE 'other' END AS page_class FROM (SELECT doc_id, len({hits(['entry:', 'sequence:', 'activity:', 'assay:'])}) AS a, len({hits(['was', 'the', 'of'])}) AS b FROM documents WHERE lang = 'en')",
-    "section_extract": f"SELECT doc_id, {section('Activity:', LABELS)} AS activity, {section('Assay:', LABELS)} AS assay, {section('Additional information:', LABELS)} AS information FROM documents WHERE doc_kind = 'card' AND lang = 'en'",
+    "page_keyword_hits": f"SELECT doc_id, array_to_string({hits(['peptide', 'activity', 'ic50', 'function', 'matrix', 'culture', 'protein', 'fermentation', 'hydrolysis'])}, ' | ') AS hits FROM documents",
+    "page_class": f"SELECT doc_id, {page_class('NULL', 'NULL', 'text')} AS page_class FROM documents",
+    "page_class_of_urls": f"SELECT row_id, {page_class('list_page_url', 'title', 'experiment')} AS list_page, {page_class('detail_url', 'title', 'ic50_raw')} AS detail_page FROM fermfoodb_ace_list",
+    "section_extract": f"SELECT doc_id, {section('Activity:', LABELS)} AS activity, {section('Assay:', LABELS)} AS assay, {section('Additional information:', LABELS)} AS information FROM documents WHERE doc_kind = 'card'",
     "notes_edit": """SELECT log_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '; ') AS notes FROM (SELECT log_id, list_concat(list_filter(list_transform(string_split(coalesce(notes, ''), ';'), lambda a: trim(a)), lambda a: a <> '' AND a <> 'ic50_needs_manual_review'),
       list_filter([CASE WHEN ic50_uM IS NULL THEN 'um_open' END, 'reviewed'], lambda a: a IS NOT NULL)) AS w FROM fermfoodb_ace_parse_log)""",
     "compose_labels": f"""SELECT row_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' | ') AS label, CASE WHEN m IS NOT NULL THEN v || ' [' || m || ']' ELSE v END AS composed
@@ -278,7 +324,7 @@ ORACLES = {
     "keep_first_dedupe": f"{LISTS} {dedupe('l', '')}",
     "keep_last_dedupe": f"{LISTS} {dedupe('d', 'DESC')}",
     "richest_row_dedupe": f"{RICHEST} SELECT num, row_id, dup_count FROM best",
-    "left_backfill": f"{LISTS}, a AS ({dedupe('l', '')}), b AS ({dedupe('d', '')}) SELECT a.num, {first_clean('a.ph', 'b.ph')} AS ph, {first_clean('a.mass', 'b.mass')} AS mass FROM a LEFT JOIN b USING (num)",
+    "left_backfill": f"{LISTS}, a AS ({dedupe('l', '').replace(' WHERE num IS NOT NULL', '')}), b AS ({dedupe('d', '')}) SELECT a.num, {first_clean('a.ph', 'b.ph')} AS ph, {first_clean('a.mass', 'b.mass')} AS mass FROM a LEFT JOIN b USING (num)",
     "full_outer_provenance": f"""{LISTS}, a AS (SELECT num, max(row_id) AS list_row FROM l WHERE num IS NOT NULL GROUP BY num), b AS (SELECT num, max(row_id) AS detail_row FROM d WHERE num IS NOT NULL GROUP BY num)
       SELECT num, list_row, detail_row, CASE WHEN list_row IS NOT NULL AND detail_row IS NOT NULL THEN 'list+detail' WHEN list_row IS NOT NULL THEN 'list_only' ELSE 'detail_only' END AS merge_source FROM a FULL JOIN b USING (num)""",
     "list_detail_fusion": f"{RICHEST} SELECT l.row_id, {first_clean('l.detail_url', 'b.detail_url')} AS detail_url, " + ", ".join(f"{first_clean(f'b.{c}', f'l.{c}')} AS {c}" for c in ("activity", "mass", "ic50_raw")) + " FROM l LEFT JOIN best b ON b.num = l.num",
@@ -286,11 +332,14 @@ ORACLES = {
     "backfill_gain": f"{RICHEST} SELECT count(*) AS total, " + ", ".join(f"cast(sum(cast({clean(f'l.{c}')} IS NULL AND {clean(f'b.{c}')} IS NOT NULL AS int)) AS bigint) AS {c}_gain, count({first_clean(f'l.{c}', f'b.{c}')}) AS {c}_after" for c in ("ph", "temperature")) + " FROM l LEFT JOIN best b ON b.num = l.num",
     "status_before_after": f"""WITH p AS ({fermfood('fermfoodb_ace_master_clean', 'row_id, ic50_parse_status', 'mass_da', False)}), a AS (SELECT coalesce({clean('ic50_parse_status')}, 'none') AS status, count(*) AS n FROM p GROUP BY 1),
       b AS (SELECT status, count(*) AS n FROM p GROUP BY 1) SELECT status, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM a FULL JOIN b USING (status)""",
-    "status_upgrade": f"""WITH p AS ({fermfood('fermfoodb_ace_master_clean', 'row_id, ic50_parse_status, ic50_uM, ic50_unit', 'mass_da', True).replace(' AS unit,', ' AS new_unit,', 1).replace('END AS um', 'END AS new_um', 1)})
-      SELECT row_id, status, round(new_um, 6) AS um FROM p WHERE status IN ('exact_molar', 'molar_threshold') AND (coalesce({clean('ic50_parse_status')}, '') IN ('', 'missing', 'numeric_no_unit', 'ambiguous_text', 'unparsed_text') OR ic50_uM IS NULL OR isnan(ic50_uM) OR ({clean('ic50_unit')} IS NULL AND new_unit IS NOT NULL))""",
+    "status_upgrade": f"""WITH p AS ({fermfood(OLD.format('row_id', 'fermfoodb_ace_master_clean'), 'row_id, old_status, old_relation, old_unit, old_value, old_um', 'mass_da', True)}),
+      q AS (SELECT *, (status IN ('exact_molar', 'molar_threshold') AND um IS NOT NULL) AND (NOT coalesce({clean('old_status')} IN ('exact_molar', 'molar_threshold') AND old_um IS NOT NULL, false) OR um <> old_um) AS up FROM p)
+      SELECT row_id, cast(up AS int) AS changed, CASE WHEN up THEN status ELSE old_status END AS status, CASE WHEN up THEN relation ELSE old_relation END AS relation, CASE WHEN up THEN unit ELSE old_unit END AS unit,
+      round(CASE WHEN up THEN value WHEN isfinite(old_value) THEN old_value END, 6) AS value, round(CASE WHEN up THEN um ELSE old_um END, 6) AS um FROM q""",
+    "detail_text_upgrade": f"""WITH p AS ({fermfood(OLD.format('log_id', 'fermfoodb_ace_parse_log'), 'log_id, old_status, old_unit, old_um', 'mass_da', True)})
+      SELECT log_id, status, round(um, 6) AS um FROM p WHERE status IN ('exact_molar', 'molar_threshold') AND (coalesce({clean('old_status')}, '') IN ('', 'missing', 'numeric_no_unit', 'ambiguous_text', 'unparsed_text', 'percent_like', 'range', 'mass_unit') OR old_um IS NULL OR ({clean('old_unit')} IS NULL AND unit IS NOT NULL))""",
     "append_unique": """WITH o AS (SELECT 'k' || (s_suppkey * 2) AS source_id, s_suppkey + 1 AS n FROM supplier), f AS (SELECT 'k' || n_nationkey AS source_id, n_name FROM nation WHERE 'k' || n_nationkey NOT IN (SELECT source_id FROM o))
       SELECT source_id, n_name, printf('src_%03d', (SELECT max(n) FROM o) + row_number() OVER (ORDER BY source_id)) AS catalog_id FROM f""",
-    "exclusion_reasons": f"SELECT row_id, cast(reasons = '' AS int) AS keep_flag, reasons FROM (SELECT row_id, concat_ws('; ', {', '.join(f'CASE WHEN {c} THEN {n!r} END' for n, c in REASONS.items())}) AS reasons FROM (SELECT *, {seq('sequence')} AS s FROM fermfoodb_ace_master_clean))",
     "merge_union_sources": f"{RECORDS} SELECT source_name, status, relation, count(*) AS n, round(sum(um), 3) AS um_sum FROM records GROUP BY ALL",
     "sequence_level": f"{LEVEL} SELECT * FROM level",
     "stability_flag": f"{LEVEL} SELECT stability_flag, count(*) AS n FROM level GROUP BY 1",
@@ -299,35 +348,44 @@ ORACLES = {
     "consensus_tier": f"{CONSENSUS} SELECT sequence, peptide_length, source_count, record_count_total, ic50_uM_median, {RATIO}, stability_flag, consensus_tier, consensus_score, cast(consensus_tier IN ('Tier A', 'Tier B') AS int) AS high_confidence_flag, cast(consensus_tier = 'Tier D' AS int) AS conflict_flag, cast(source_count >= 3 AS int) AS source_richness_flag FROM cons",
     "consensus_top": f"{CONSENSUS} SELECT sequence, consensus_tier, consensus_score FROM cons ORDER BY consensus_tier, CASE WHEN consensus_score = 0 THEN 999999 ELSE -consensus_score END, sequence LIMIT 100",
     "consensus_abcx": f"""{FLAGGED} SELECT sequence, consensus_tier, CASE consensus_tier WHEN 'Tier_A' THEN 1 WHEN 'Tier_B' THEN 2 WHEN 'Tier_C' THEN 3 ELSE 9 END AS consensus_rank, cast(consensus_tier IN ('Tier_A', 'Tier_B') AS int) AS consensus_keep_flag,
-      round(CASE consensus_tier WHEN 'Tier_A' THEN 3000.0::double WHEN 'Tier_B' THEN 2000 WHEN 'Tier_C' THEN 1000 ELSE 0 END + source_count * 20.0::double + record_count_total * 5.0::double + CASE WHEN x > 0 THEN greatest(0.0, 100.0 - least(x, 100.0)) ELSE 0.0 END, 4) AS priority_score FROM flagged""",
+      round(CASE consensus_tier WHEN 'Tier_A' THEN 3000.0::double WHEN 'Tier_B' THEN 2000 WHEN 'Tier_C' THEN 1000 ELSE 0 END + source_count * 20.0::double + record_count_total * 5.0::double + CASE WHEN x > 0 THEN greatest(0.0, 100.0 - least(x, 100.0)) ELSE 0.0 END, 4) AS priority_score,
+      CASE consensus_tier WHEN 'Tier_A' THEN '跨来源一致；' WHEN 'Tier_B' THEN '单源或局部多源范围内一致；' WHEN 'Tier_C' THEN '单条证据；' ELSE '存在冲突或状态未明；stability_flag=' || stability_flag || '; ' END || 'source_count=' || source_count || '; record_count=' || record_count_total
+      || CASE WHEN x IS NOT NULL AND consensus_tier <> 'Tier_C' THEN '; spread_ratio=' || printf('%.4f', x) ELSE '' END AS consensus_note FROM flagged""",
     "conflict_detail": f"""{FLAGGED} SELECT sequence, source_count, record_count_total, {RATIO}, CASE WHEN stability_flag = 'conflicting' AND source_count >= 2 AND x > 10 THEN 'cross_source_large_spread' WHEN stability_flag = 'conflicting' AND x > 10 THEN 'large_within_sequence_spread'
       WHEN stability_flag = 'conflicting' THEN 'conflicting_flag_from_merged_input' WHEN x IS NULL THEN 'spread_ratio_missing' ELSE 'unknown_flag_from_merged_input' END AS conflict_reason,
       CASE WHEN x IS NULL THEN 'unknown' WHEN source_count >= 2 AND x >= 100 THEN 'very_high' WHEN x >= 100 THEN 'high' WHEN x >= 10 THEN 'medium' ELSE 'low' END AS conflict_severity FROM flagged WHERE consensus_tier = 'Tier_X'""",
     "stored_consensus": f"SELECT row_id, {CONSENSUS_COLS} FROM (SELECT *, {OK} FROM (SELECT *, CASE WHEN NOT isnan({RATIO}) THEN {RATIO} END AS x, CASE WHEN NOT isnan(ic50_uM_median) THEN ic50_uM_median END AS med FROM ace_short_2_3_merged_sequence_level_v0_3))",
-    "conflict_source_assay": f"{RECORDS} SELECT sequence, count(DISTINCT um) AS n_values, count(DISTINCT source_name) AS n_sources, count(DISTINCT assay) AS n_assays, cast(count(DISTINCT source_name) > 1 AS int) AS cross_source, cast(count(DISTINCT assay) > 1 AS int) AS cross_assay FROM records GROUP BY sequence HAVING count(DISTINCT um) >= 2",
+    "conflict_source_assay": f"{EXACT_VALUES} SELECT sequence, v_list, n_sources, sources_list, n_assays, assays_list, cast(n_sources >= 2 AS int) AS cross_source, cast(n_assays >= 2 AS int) AS cross_assay FROM ev",
+    "exact_conflicts": f"{EXACT_VALUES} SELECT sequence, dup_count, n_values, v_list, sources_list, assays_list, ids_list FROM ev",
     "benchmark_bucket": f"""{CONSENSUS} SELECT sequence, consensus_tier, consensus_score, source_count, {RATIO}, CASE consensus_tier WHEN 'Tier A' THEN 'Tier_A' WHEN 'Tier B' THEN 'Tier_B' WHEN 'Tier C' THEN 'Tier_C_single_source' WHEN 'Tier D' THEN 'Tier_D_conflicting' ELSE 'Tier_E_insufficient' END AS refined_tier,
-      CASE WHEN consensus_tier IN ('Tier A', 'Tier B') THEN 'high_confidence_core' WHEN consensus_tier = 'Tier C' THEN 'single_source_candidates' ELSE 'conflict_review_pool' END AS benchmark_bucket, ascii(right(consensus_tier, 1)) - 64 AS benchmark_priority FROM cons""",
-    "highconf_aggregate": f"{HIGHCONF} SELECT * EXCLUDE (activity_tier) FROM hc",
+      CASE WHEN consensus_tier IN ('Tier A', 'Tier B') THEN 'high_confidence_core' WHEN consensus_tier = 'Tier C' THEN 'single_source_candidates' ELSE 'conflict_review_pool' END AS benchmark_bucket, ascii(right(consensus_tier, 1)) - 64 AS benchmark_priority,
+      CASE consensus_tier WHEN 'Tier A' THEN 'high-consensus short peptide candidate' WHEN 'Tier B' THEN 'high-consensus short peptide candidate' WHEN 'Tier C' THEN 'single-source usable IC50 candidate' WHEN 'Tier D' THEN 'multi-source conflicting short peptide; requires review' ELSE 'insufficient or unclear evidence pattern' END
+      || '; spread_ratio=' || CASE WHEN x IS NULL THEN 'NA' ELSE printf('%.4f', x) END || '; source_count=' || source_count || '; score=' || consensus_score AS benchmark_note FROM cons""",
+    "highconf_aggregate": f"{HIGHCONF} SELECT * FROM hc",
+    "high_conflicts": f"{HIGHCONF} SELECT sequence, record_count, n_unique, um_min, um_max, um_median, fold, stability_class, source_count, assay_count, source_list, assay_list FROM hc WHERE stability_class <> 'stable' OR fold > 3",
     "stable_activity_tier": f"{HIGHCONF} SELECT activity_tier, count(*) AS n FROM hc WHERE stability_class = 'stable' GROUP BY 1",
     "label_grade": f"""{WITH_ASSAY}, g AS (SELECT CASE WHEN regexp_matches(sequence, '^[{AA}]+$') AND exact = 1 AND status = 'exact' AND um IS NOT NULL THEN 'A' WHEN status IN ('threshold', 'range') OR starts_with(status, 'mass_') THEN 'B' ELSE 'C' END AS grade, length(sequence) AS n FROM assay JOIN ahtpdb USING (ic50_raw)),
       c AS (SELECT d.grade, count(g.grade) AS n, count(*) FILTER (g.n = 2) AS n_di, count(*) FILTER (g.n = 3) AS n_tri FROM (VALUES ('A'), ('B'), ('C')) d(grade) LEFT JOIN g USING (grade) GROUP BY d.grade) SELECT grade, n, n_di, n_tri, round(100 * n / sum(n) OVER (), 2) AS pct FROM c""",
     "multiplicity_histogram": f"{RECORDS} SELECT m AS multiplicity, count(*) AS n_keys, m * count(*) AS n_rows FROM (SELECT count(*) AS m FROM records GROUP BY sequence) GROUP BY m",
     "null_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) - count({clean(c)}) AS missing, count({clean(c)}) AS present, round((count(*) - count({clean(c)})) / count(*), 6) AS missing_ratio FROM fermfoodb_ace_list" for c in LIST_COLUMNS),
     "duplicate_check": f"{LISTS} SELECT num, count(*) AS n FROM l WHERE num IS NOT NULL GROUP BY num HAVING count(*) > 1",
-    "length_by_layer": f"""WITH t AS (SELECT length({seq('sequence')}) AS len, ic50_parse_status AS st FROM fermfoodb_ace_master_clean), u AS (SELECT 'all' AS layer, len FROM t UNION ALL SELECT 'exact', len FROM t WHERE st = 'exact_molar'),
-      n AS (SELECT layer, len, count(*) AS n FROM u WHERE len IS NOT NULL GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY layer), 6) AS share FROM n""",
-    "group_counts": f"{HIGHCONF} " + " UNION ALL ".join(f"SELECT '{g}' AS grp, count(*) FILTER (length(sequence) = 2) AS n_di, count(*) FILTER (length(sequence) = 3) AS n_tri FROM hc WHERE {c}" for g, c in (("all", "true"), ("strong", "activity_tier = 'strong'"), ("stable", "stability_class = 'stable'"), ("weak", "activity_tier = 'weak'"))),
-    "fold_bins": f"{HIGHCONF} SELECT {FOLD_BINS} AS bin, count(*) AS n FROM hc WHERE fold IS NOT NULL GROUP BY 1",
-    "spread_buckets": f"{LEVEL} SELECT CASE WHEN {RATIO} IS NULL THEN 'missing' WHEN {RATIO} <= 1 THEN '1' WHEN {RATIO} <= 3 THEN '1-3' WHEN {RATIO} <= 10 THEN '3-10' WHEN {RATIO} <= 100 THEN '10-100' ELSE '>100' END AS bucket, count(*) AS n FROM level GROUP BY 1",
-    "terminal_freq": f"{HIGHCONF}, e AS (SELECT activity_tier, 'N' AS term, left(sequence, 1) AS residue FROM hc UNION ALL SELECT activity_tier, 'C', right(sequence, 1) FROM hc), n AS (SELECT activity_tier, term, residue, count(*) AS n FROM e GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY activity_tier, term), 6) AS share FROM n",
-    "position_freq": f"{HIGHCONF}, n AS (SELECT position, residue, count(*) AS n FROM ({POSITIONS}) GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY position), 6) AS share FROM n",
-    "position_enrichment": f"{HIGHCONF}, {enrich(POSITIONS, 'position')} SELECT * FROM enriched",
-    "terminal_enrichment": f"{HIGHCONF}, {enrich(LAST, '')} SELECT * FROM enriched",
-    "topk_enriched": f"{HIGHCONF}, {enrich(LAST, '')} SELECT residue, log2fc FROM enriched ORDER BY abs(log2fc) DESC, residue LIMIT 15",
+    "length_by_layer": f"""WITH t AS (SELECT length({seq('sequence')}) AS len, coalesce({clean('ic50_parse_status')} = 'exact_molar', false) AS exact, CASE WHEN isfinite(ic50_uM) THEN ic50_uM END AS um FROM fermfoodb_ace_master_clean),
+      u AS (SELECT 'all' AS layer, len FROM t UNION ALL SELECT 'exact', len FROM t WHERE exact UNION ALL SELECT 'strong', len FROM t WHERE exact AND um <= 50), n AS (SELECT layer, len, count(*) AS n FROM u WHERE len IS NOT NULL GROUP BY 1, 2),
+      f AS (SELECT layer, len FROM n UNION SELECT l, i FROM (VALUES ('all'), ('exact'), ('strong')) AS a(l), range(1, 21) AS b(i))
+      SELECT layer, len, coalesce(n, 0) AS n, round(coalesce(coalesce(n, 0) / nullif(sum(n) OVER (PARTITION BY layer), 0), 0), 6) AS share FROM f LEFT JOIN n USING (layer, len)""",
+    "group_counts": f"{HIGHCONF} " + " UNION ALL ".join(f"SELECT '{g}' AS grp, count(*) FILTER (peptide_length = 2) AS n_di, count(*) FILTER (peptide_length = 3) AS n_tri, cast(coalesce(sum(record_count), 0) AS bigint) AS n_records FROM hc WHERE {c}" for g, c in (("all", "true"), ("stable", "stability_class = 'stable'"), ("strong", "activity_tier = 'strong'"), ("stable_strong", "stability_class = 'stable' AND activity_tier = 'strong'"), ("weak", "activity_tier = 'weak'"))),
+    "fold_bins": f"{HIGHCONF} SELECT bin, n, round(100 * n / sum(n) OVER (), 2) AS pct FROM (SELECT {FOLD_BINS} AS bin, count(*) AS n FROM hc GROUP BY 1)",
+    "spread_buckets": f"{LEVEL} SELECT CASE WHEN {RATIO} IS NULL THEN 'missing' WHEN {RATIO} <= 2 THEN 'le_2' WHEN {RATIO} <= 5 THEN 'gt_2_le_5' WHEN {RATIO} <= 10 THEN 'gt_5_le_10' WHEN {RATIO} <= 100 THEN 'gt_10_le_100' ELSE 'gt_100' END AS bucket, count(*) AS n FROM level GROUP BY 1",
+    "terminal_freq": f"{HIGHCONF}, {shares(END_GROUPS, {'term': ['N', 'C'], 'grp': ['all-di', 'all-tri', 'strong-di', 'strong-tri']})} SELECT * FROM shown",
+    "position_freq": f"{HIGHCONF}, {shares(PLACES, {'place': PLACE_NAMES})} SELECT * FROM shown",
+    "position_enrichment": f"{HIGHCONF}, {enrich(PLACES, 'place', PLACE_NAMES)} SELECT * FROM enriched",
+    "terminal_enrichment": f"{HIGHCONF}, {enrich(ENDS, 'term', ['N', 'C'])} SELECT * FROM enriched",
+    "topk_enriched": f"{HIGHCONF}, {enrich(ENDS, 'term', ['N', 'C'])} SELECT term, cast(rank AS int) AS rank, residue, log2fc FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY abs(log2fc) DESC, residue) AS rank FROM enriched) WHERE rank <= 15",
     "reverse_exists": f"{RECORDS}, s AS (SELECT DISTINCT sequence FROM records) SELECT sequence, cast(reverse(sequence) IN (SELECT sequence FROM s) AS int) AS reverse_exists_flag FROM s",
-    "reverse_pairs": f"""{HIGHCONF} SELECT a.sequence AS seq_a, b.sequence AS seq_b, round(greatest(a.um_median, b.um_median) / least(a.um_median, b.um_median), 6) AS fold, round(abs(log10(a.um_median) - log10(b.um_median)), 6) AS log_gap,
-      CASE WHEN abs(a.um_median - b.um_median) < 1e-12 THEN 'tie' WHEN a.um_median < b.um_median THEN 'a' ELSE 'b' END AS stronger, cast(a.um_median <= 50 AND b.um_median <= 50 AS int) AS both_strong
-      FROM hc a JOIN hc b ON b.sequence = reverse(a.sequence) AND a.sequence < b.sequence WHERE a.um_median > 0 AND b.um_median > 0""",
+    "reverse_pairs": f"""{HIGHCONF} SELECT a.sequence AS seq_a, b.sequence AS seq_b, a.type, a.um_median AS value_a, b.um_median AS value_b, CASE WHEN a.um_median > 0 AND b.um_median > 0 THEN {sig6("greatest(a.um_median, b.um_median) / least(a.um_median, b.um_median)")} END AS fold,
+      round(CASE WHEN a.um_median > 0 AND b.um_median > 0 THEN abs(log10(a.um_median) - log10(b.um_median)) END, 6) AS log_gap,
+      CASE WHEN NOT (a.um_median > 0 AND b.um_median > 0) THEN 'undecided' WHEN abs(a.um_median - b.um_median) < 1e-12 THEN 'tie' WHEN a.um_median < b.um_median THEN a.sequence ELSE b.sequence END AS stronger,
+      a.activity_tier AS tier_a, b.activity_tier AS tier_b, cast(a.activity_tier = 'strong' AND b.activity_tier = 'strong' AS int) AS both_strong FROM st a JOIN st b ON b.sequence = reverse(a.sequence) AND a.sequence < b.sequence""",
     "metric_summary": "SELECT 'total' AS metric, count(*) AS value FROM fermfoodb_ace_master_clean" + "".join(f" UNION ALL SELECT '{c}::' || coalesce({c}, 'NA'), count(*) FROM fermfoodb_ace_master_clean GROUP BY 1" for c in ("source_name", "ic50_relation", "source_type")),
     "merged_ids": f"{LEVEL} SELECT sequence, printf('ace_merged_%06d', row_number() OVER (ORDER BY peptide_length, sequence)) AS merged_id FROM level",
     "rare_class_filter": f"WITH t AS (SELECT DISTINCT {seq('peptide_sequence')} AS seq, {clean('activity')} AS label FROM fermfoodb_ace_detail) SELECT seq, label FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM t WHERE seq IS NOT NULL AND label IS NOT NULL) WHERE n >= 2",

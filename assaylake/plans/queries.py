@@ -12,6 +12,7 @@ from assaylake.operators import classify as svm
 from assaylake.operators import orphans
 from assaylake.operators import relational as rel
 from assaylake.plans import pipelines as pl
+from assaylake.plans import worksets
 from assaylake.plans.fixtures import assay
 from assaylake.plans.oracles import ORACLES
 from assaylake.session import table
@@ -36,18 +37,18 @@ def _parsed(p: str = "p"):
 # --- parsers -----------------------------------------------------------------------------------------------
 
 
+ROW = ["l_orderkey", "l_linenumber"]
+
+
 @query
 def ic50_ahtpdb(spark, d):
-    a = assay(spark, d).select("ic50_raw").distinct()
-    a = ic50.with_reading(a, "AHTPDB")
-    return a.select("ic50_raw", *_parsed(), _r6("p.low"), _r6("p.high"), F.col("p.exact").alias("exact"))
+    a = ic50.with_reading(assay(spark, d).select(*ROW, "ic50_raw"), "AHTPDB")
+    return a.select(*ROW, *_parsed(), _r6("p.low"), _r6("p.high"), F.col("p.exact").alias("exact"))
 
 
 @query
 def ic50_biopep(spark, d):
-    a = assay(spark, d).select("ic50_raw").distinct()
-    a = ic50.with_reading(a, "BIOPEP")
-    return a.select("ic50_raw", *_parsed())
+    return ic50.with_reading(assay(spark, d).select(*ROW, "ic50_raw"), "BIOPEP").select(*ROW, *_parsed())
 
 
 def _fermfood(spark, d, advanced):
@@ -67,29 +68,14 @@ def ic50_fermfood_advanced(spark, d):
 
 @query
 def ic50_mbpdb(spark, d):
-    a = assay(spark, d).select("ic50_raw").distinct()
-    a = ic50.with_reading(a, "MBPDB")
-    return a.select("ic50_raw", *_parsed(), _r6("p.low"), _r6("p.high"))
-
-
-def _english(spark, d):
-    """The subset the SQL states; the queries named ``_all`` read every document, whatever its ``lang`` says."""
-    return table(spark, d, "documents").where("lang = 'en'")
-
-
-def _ic50_from_text(docs):
-    t = docs.select("doc_id", once(ic50.parse_detail_text(F.coalesce("text", F.lit("")))).alias("p"))
-    return t.select("doc_id", *_parsed())
+    a = ic50.with_reading(assay(spark, d).select(*ROW, "ic50_raw"), "MBPDB")
+    return a.select(*ROW, *_parsed(), _r6("p.low"), _r6("p.high"))
 
 
 @query
 def ic50_from_text(spark, d):
-    return _ic50_from_text(_english(spark, d))
-
-
-@query
-def ic50_from_text_all(spark, d):
-    return _ic50_from_text(table(spark, d, "documents"))
+    t = table(spark, d, "documents").select("doc_id", once(ic50.parse_detail_text(F.coalesce("text", F.lit("")))).alias("p"))
+    return t.select("doc_id", *_parsed())
 
 
 @query
@@ -109,14 +95,14 @@ def unit_mass_to_um(spark, d):
 
 @query
 def context_rescue(spark, d):
-    """Bare numbers count as micromolar where two resolved records share the sequence."""
-    t = table(spark, d, "fermfoodb_ace_master_rescued").select("row_id", tx.clean_sequence(F.col("sequence")).alias("seq"), "ic50_parse_status", "ic50_value", "ic50_uM")
-    um = F.when(F.col("ic50_uM") > 0, F.nullif(F.col("ic50_uM"), F.lit(float("nan"))))
-    ctx = t.where(F.col("seq").isNotNull() & F.col("ic50_parse_status").isin("exact_molar", "molar_threshold") & um.isNotNull()).groupBy("seq").agg(
-        F.count(F.lit(1)).alias("n_context"), F.round(F.median(um), 6).alias("context_median")
+    """Bare numbers count as micromolar where two resolved records share the sequence, whatever their values."""
+    t = table(spark, d, "fermfoodb_ace_master_rescued").select("row_id", tx.clean_sequence(F.col("sequence")).alias("seq"), tx.clean_text(F.col("ic50_parse_status")).alias("st"), "ic50_raw", worksets.value_of().alias("um"))
+    ctx = t.where("seq is not null and st in ('exact_molar', 'molar_threshold') and um is not null").groupBy("seq").agg(
+        F.count(F.lit(1)).alias("n_context"), *[F.round(f("um"), 6).alias(f"context_{n}") for n, f in (("median", F.median), ("min", F.min), ("max", F.max))]
     )
-    bare = t.where("ic50_parse_status = 'numeric_no_unit' and ic50_value is not null and not isnan(ic50_value)")
-    return bare.join(ctx.where("n_context >= 2"), "seq").select("row_id", "seq", _r6("ic50_value", "rescued_um"), "n_context", "context_median")
+    bare = t.where("st = 'numeric_no_unit'").select("row_id", "seq", once(numeric.median_of(numeric.numbers_in(F.coalesce(tx.clean_text(F.col("ic50_raw")), F.lit(""))))).alias("v"))
+    j = bare.join(ctx, "seq", "left")
+    return j.select("row_id", "seq", F.round(F.when(F.col("n_context") >= 2, F.col("v")), 6).alias("rescued_um"), "n_context", "context_median", "context_min", "context_max")
 
 
 # --- text and numbers --------------------------------------------------------------------------------------
@@ -128,19 +114,10 @@ def clean_text_tokens(spark, d):
     return t.select("row_id", *[tx.clean_text(F.col(c)).alias(c) for c in ("ph", "temperature", "incubation_time", "culture")])
 
 
-def _year_extract(docs):
-    t = docs.select("doc_id", tx.year_latest(F.col("text")).alias("latest"), tx.year_earliest(F.col("text"), F.col("pubmed_id")).alias("earliest"), tx.year_from_digits(F.col("pubmed_id")).alias("digits"))
-    return t.where("latest is not null or earliest is not null or digits is not null")
-
-
 @query
 def year_extract(spark, d):
-    return _year_extract(_english(spark, d))
-
-
-@query
-def year_extract_all(spark, d):
-    return _year_extract(table(spark, d, "documents"))
+    t = table(spark, d, "documents").select("doc_id", tx.year_latest(F.col("text")).alias("latest"), tx.year_earliest(F.col("text"), F.col("pubmed_id")).alias("earliest"), tx.year_from_digits(F.col("pubmed_id")).alias("digits"))
+    return t.where("latest is not null or earliest is not null or digits is not null")
 
 
 @query
@@ -194,55 +171,36 @@ def url_canonical(spark, d):
     return table(spark, d, "fermfoodb_ace_list").select("row_id", tx.canonical_url(F.col("list_page_url")).alias("list_url"), tx.canonical_url(F.col("detail_url")).alias("detail_url"))
 
 
-PAGE_WORDS = ["ace inhibitor", "sequence", "molar", "hydrolysate", "detail page"]
-
-
-def _page_keyword_hits(docs):
-    return docs.select("doc_id", F.array_join(tx.keyword_hits(F.coalesce("text", F.lit("")), PAGE_WORDS), " | ").alias("hits"))
+# What a page of the crawl is searched for.
+PAGE_WORDS = ["peptide", "activity", "ic50", "function", "matrix", "culture", "protein", "fermentation", "hydrolysis"]
 
 
 @query
 def page_keyword_hits(spark, d):
-    return _page_keyword_hits(_english(spark, d))
-
-
-@query
-def page_keyword_hits_all(spark, d):
-    return _page_keyword_hits(table(spark, d, "documents"))
-
-
-def _page_class(docs):
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    card, prose = F.size(tx.keyword_hits(F.col("t"), ["entry:", "sequence:", "activity:", "assay:"])), F.size(tx.keyword_hits(F.col("t"), ["was", "the", "of"]))
-    return t.select("doc_id", F.when(card > prose, "detail").when(prose > card, "list").otherwise("other").alias("page_class"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.keyword_hits(F.coalesce("text", F.lit("")), PAGE_WORDS), " | ").alias("hits"))
 
 
 @query
 def page_class(spark, d):
-    return _page_class(_english(spark, d))
+    """Documents by their text, as pages without URL and title."""
+    none = F.lit(None).cast("string")
+    return table(spark, d, "documents").select("doc_id", tx.page_class(none, none, F.col("text")).alias("page_class"))
 
 
 @query
-def page_class_all(spark, d):
-    return _page_class(table(spark, d, "documents"))
+def page_class_of_urls(spark, d):
+    t = table(spark, d, "fermfoodb_ace_list")
+    return t.select("row_id", tx.page_class(F.col("list_page_url"), F.col("title"), F.col("experiment")).alias("list_page"), tx.page_class(F.col("detail_url"), F.col("title"), F.col("ic50_raw")).alias("detail_page"))
 
 
+# The labels of a card.
 LABELS = ["Entry:", "Name:", "Sequence:", "Number of residues:", "Monoisotopic mass:", "IC50 :", "Activity:", "Source:", "Assay:", "Additional information:"]
 
 
-def _section_extract(docs):
-    t = docs.where("doc_kind = 'card'")
-    return t.select("doc_id", *[tx.section(F.col("text"), s, LABELS).alias(n) for n, s in (("activity", "Activity:"), ("assay", "Assay:"), ("information", "Additional information:"))])
-
-
 @query
 def section_extract(spark, d):
-    return _section_extract(_english(spark, d))
-
-
-@query
-def section_extract_all(spark, d):
-    return _section_extract(table(spark, d, "documents"))
+    t = table(spark, d, "documents").where("doc_kind = 'card'")
+    return t.select("doc_id", *[tx.section(F.col("text"), s, LABELS).alias(n) for n, s in (("activity", "Activity:"), ("assay", "Assay:"), ("information", "Additional information:"))])
 
 
 @query
@@ -294,7 +252,7 @@ def richest_row_dedupe(spark, d):
 def left_backfill(spark, d):
     """First list row and first detail row per id; list values first, details behind."""
     lst, det = _lists(spark, d)
-    a = rel.keep_first(lst.select("num", "row_id", "ph", "mass"), "num", F.col("row_id"))
+    a = rel.keep_first(lst.select("num", "row_id", "ph", "mass"), "num", F.col("row_id"), keep_null=True)
     b = rel.keep_first(det.select("num", "row_id", F.col("ph").alias("d_ph"), F.col("mass").alias("d_mass")), "num", F.col("row_id")).drop("row_id", "dup_count")
     return a.join(b, "num", "left").select("num", tx.first_clean(F.col("ph"), F.col("d_ph")).alias("ph"), tx.first_clean(F.col("mass"), F.col("d_mass")).alias("mass"))
 
@@ -339,20 +297,29 @@ def backfill_gain(spark, d):
 
 @query
 def status_before_after(spark, d):
+    """Both counts from one pass: every row speaks for its stored and for its new status."""
     t = table(spark, d, "fermfoodb_ace_master_clean").select(tx.clean_text(F.col("ic50_parse_status")).alias("before"), "ic50_raw", "mass_da")
     t = ic50.with_reading(t, "FermFooDb", mass=F.col("mass_da"))
-    a = t.groupBy(F.coalesce("before", F.lit("none")).alias("status")).agg(F.count(F.lit(1)).alias("n_before"))
-    b = t.groupBy(F.col("p.status").alias("status")).agg(F.count(F.lit(1)).alias("n_after"))
-    return a.join(b, "status", "full").select("status", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
+    both = t.select(F.explode(F.array(F.struct(F.coalesce("before", F.lit("none")).alias("status"), F.lit(1).alias("b")), F.struct(F.col("p.status").alias("status"), F.lit(0).alias("b")))).alias("e")).select("e.*")
+    return both.groupBy("status").agg(F.count_if(F.col("b") == 1).alias("n_before"), F.count_if(F.col("b") == 0).alias("n_after"))
 
 
 @query
 def status_upgrade(spark, d):
-    """Stored readings replaced by stronger ones of the advanced parser."""
-    t = table(spark, d, "fermfoodb_ace_master_clean").select("row_id", "ic50_parse_status", F.nanvl("ic50_uM", F.lit(None).cast("double")).alias("um"), tx.clean_text(F.col("ic50_unit")).alias("u"), "ic50_raw", "mass_da")
+    """The master with the improved rules' reading wherever it is better: all its fields change together."""
+    t = table(spark, d, "fermfoodb_ace_master_clean").select("row_id", "ic50_raw", "mass_da", "ic50_relation", "ic50_unit", "ic50_parse_status", worksets.value_of("ic50_value").alias("v"), worksets.value_of().alias("um"))
+    t = ic50.with_reading(t, "advanced", mass=F.col("mass_da"))
+    t = t.withColumn("up", once(ic50.better(F.col("p.status"), F.col("p.um"), tx.clean_text(F.col("ic50_parse_status")), F.col("um"))))
+    swap = lambda new, old, name: F.when(F.col("up"), F.col(new)).otherwise(F.col(old)).alias(name)
+    return t.select("row_id", F.col("up").cast("int").alias("changed"), swap("p.status", "ic50_parse_status", "status"), swap("p.relation", "ic50_relation", "relation"), swap("p.unit", "ic50_unit", "unit"), F.round(swap("p.value", "v", "value"), 6).alias("value"), F.round(swap("p.um", "um", "um"), 6).alias("um"))
+
+
+@query
+def detail_text_upgrade(spark, d):
+    """Which stored readings of the log a resolved reading of the same text replaces by the guard of detail texts."""
+    t = table(spark, d, "fermfoodb_ace_parse_log").select("log_id", "ic50_parse_status", worksets.value_of().alias("um"), tx.clean_text(F.col("ic50_unit")).alias("u"), "ic50_raw", "mass_da")
     t = ic50.with_reading(t, "advanced", mass=F.col("mass_da"))
-    up = ic50.stronger(F.col("p.status"), tx.clean_text(F.col("ic50_parse_status")), F.col("um"), F.col("u"), F.col("p.unit"))
-    return t.where(up).select("row_id", F.col("p.status").alias("status"), _r6("p.um"))
+    return t.where(ic50.stronger(F.col("p.status"), tx.clean_text(F.col("ic50_parse_status")), F.col("um"), F.col("u"), F.col("p.unit"))).select("log_id", F.col("p.status").alias("status"), _r6("p.um"))
 
 
 @query
@@ -362,21 +329,6 @@ def append_unique(spark, d):
     return rel.append_unique(old, new, "source_id", "catalog_id", "src")
 
 
-@query
-def exclusion_reasons(spark, d):
-    """Rows of the core workset with the reasons that keep them out."""
-    t = table(spark, d, "fermfoodb_ace_master_clean").withColumn("seq", tx.clean_sequence(F.col("sequence")))
-    ec50 = F.coalesce(F.lower(F.concat_ws(" ", "ic50_raw", "assay_raw", "title_raw")).contains("ec50"), F.lit(False))
-    tests = {
-        "missing_sequence": F.col("seq").isNull(), "noncanonical": F.col("seq").isNotNull() & ~tx.is_canonical(F.col("seq")),
-        "length_conflict": F.col("peptide_length").isNotNull() & (F.length("seq") != F.col("peptide_length")),
-        "status": ~F.coalesce(F.col("ic50_parse_status").isin("exact_molar", "molar_threshold"), F.lit(False)), "ec50": ec50,
-        "review": tx.has_note(F.col("notes"), "ic50_needs_manual_review"),
-    }
-    reasons = F.concat_ws("; ", *[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in tests.items()])
-    return t.select("row_id", (reasons == "").cast("int").alias("keep_flag"), reasons.alias("reasons"))
-
-
 # --- merged records, sequence level, consensus -------------------------------------------------------------
 
 
@@ -424,7 +376,7 @@ def consensus_top(spark, d):
 
 @query
 def consensus_abcx(spark, d):
-    return pl.flag_consensus(_level(spark, d)).select("sequence", "consensus_tier", "consensus_rank", "consensus_keep_flag", "priority_score")
+    return pl.flag_consensus(_level(spark, d)).select("sequence", "consensus_tier", "consensus_rank", "consensus_keep_flag", "priority_score", "consensus_note")
 
 
 @query
@@ -440,10 +392,29 @@ def stored_consensus(spark, d):
     return pl.consensus(t.withColumns(nan_free)).select("row_id", "consensus_tier", "consensus_score")
 
 
+def _exact_values(spark, d):
+    """Per sequence the distinct exact values as texts of six digits, and the sources and assays behind all its records."""
+    a = assay(spark, d).select("record_id", "sequence", "ic50_raw", "assay", "source_name")
+    r = ic50.with_reading(a, "AHTPDB")
+    exact = F.when((F.col("p.exact") == 1) & F.col("p.um").isNotNull(), numeric.g_text(F.col("p.um")))
+    sets = {"v": exact, "sources": F.col("source_name"), "assays": F.col("assay"), "ids": F.col("record_id")}
+    return r.groupBy("sequence").agg(F.count(F.lit(1)).alias("dup_count"), *[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()]).where(F.size("v") >= 2)
+
+
+@query
+def exact_conflicts(spark, d):
+    """Sequences of several exact values, which are told apart and sorted as texts."""
+    c = _exact_values(spark, d)
+    return c.select("sequence", "dup_count", F.size("v").alias("n_values"), *[F.array_join(n, " | ").alias(f"{n}_list") for n in ("v", "sources", "assays", "ids")])
+
+
 @query
 def conflict_source_assay(spark, d):
-    r = _records(spark, d).groupBy("sequence").agg(F.countDistinct("um").alias("n_values"), F.countDistinct("source_name").alias("n_sources"), F.countDistinct("assay").alias("n_assays"))
-    return r.where("n_values >= 2").withColumn("cross_source", (F.col("n_sources") > 1).cast("int")).withColumn("cross_assay", (F.col("n_assays") > 1).cast("int"))
+    c = _exact_values(spark, d)
+    return c.select(
+        "sequence", F.array_join("v", " | ").alias("v_list"), F.size("sources").alias("n_sources"), F.array_join("sources", " | ").alias("sources_list"), F.size("assays").alias("n_assays"),
+        F.array_join("assays", " | ").alias("assays_list"), (F.size("sources") >= 2).cast("int").alias("cross_source"), (F.size("assays") >= 2).cast("int").alias("cross_assay"),
+    )
 
 
 @query
@@ -453,12 +424,12 @@ def benchmark_bucket(spark, d):
 
 @query
 def highconf_aggregate(spark, d):
-    return pl.highconf(_records(spark, d)).drop("activity_tier")
+    return pl.highconf(_records(spark, d))
 
 
 @query
 def stable_activity_tier(spark, d):
-    return pl.highconf(_records(spark, d)).where("stability_class = 'stable'").groupBy("activity_tier").agg(F.count(F.lit(1)).alias("n"))
+    return pl.stable(_records(spark, d)).groupBy("activity_tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -487,24 +458,32 @@ def duplicate_check(spark, d):
 
 @query
 def length_by_layer(spark, d):
-    t = table(spark, d, "fermfoodb_ace_master_clean").select(F.length(tx.clean_sequence(F.col("sequence"))).alias("len"), "ic50_parse_status")
-    layers = t.select(F.lit("all").alias("layer"), "len").unionByName(t.where("ic50_parse_status = 'exact_molar'").select(F.lit("exact").alias("layer"), "len"))
-    n = layers.where("len is not null").groupBy("layer", "len").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("layer")), 6))
+    """Lengths 1 to 20 in the layers of a peptide table, zeros included, with the share of the layer."""
+    n = F.length(tx.clean_sequence(F.col("sequence")))
+    t = table(spark, d, "fermfoodb_ace_master_clean").select(n.alias("len"), (tx.clean_text(F.col("ic50_parse_status")) == "exact_molar").alias("exact"), worksets.value_of().alias("um"))
+    layers = {"all": F.lit(True), "exact": F.col("exact"), "strong": F.col("exact") & (F.col("um") <= 50)}
+    each = t.where("len is not null").select("len", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in layers.items()]))).alias("layer"))
+    counts = each.groupBy("layer", "len").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("layer"))
+    full = counts.select("layer", "len").unionByName(rel.zero_filled(counts.limit(0).select("layer", "len", "n"), {"layer": list(layers), "len": list(range(1, 21))}, "n").select("layer", "len")).distinct()
+    filled = full.join(counts, ["layer", "len"], "left").fillna(0, ["n"])
+    return filled.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("n"), total), F.lit(0.0)), 6))
 
 
 @query
 def group_counts(spark, d):
-    h = pl.highconf(_records(spark, d)).withColumn("len", F.length("sequence"))
-    groups = {"all": F.lit(True), "strong": F.col("activity_tier") == "strong", "stable": F.col("stability_class") == "stable", "weak": F.col("activity_tier") == "weak"}
-    one = h.agg(*[F.count_if(c & (F.col("len") == n)).alias(f"{g}_{n}") for g, c in groups.items() for n in (2, 3)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(f"{g}_2").alias("n_di"), F.col(f"{g}_3").alias("n_tri")) for g in groups])).alias("x")).select("x.*")
+    """Dipeptides and tripeptides by overlapping activity groups, and the sizes of the layers."""
+    h = pl.highconf(_records(spark, d))
+    groups = {"all": F.lit(True), "stable": F.col("stability_class") == "stable", "strong": F.col("activity_tier") == "strong", "stable_strong": (F.col("stability_class") == "stable") & (F.col("activity_tier") == "strong"), "weak": F.col("activity_tier") == "weak"}
+    one = h.agg(*[F.count_if(c & (F.col("peptide_length") == n)).alias(f"{g}_{n}") for g, c in groups.items() for n in (2, 3)], *[F.coalesce(F.sum(F.when(c, F.col("record_count"))), F.lit(0)).alias(f"{g}_r") for g, c in groups.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(f"{g}_2").alias("n_di"), F.col(f"{g}_3").alias("n_tri"), F.col(f"{g}_r").alias("n_records")) for g in groups])).alias("x")).select("x.*")
 
 
 @query
 def fold_bins(spark, d):
+    """Sequences by fold of their exact values; only bins that occur."""
     h = pl.highconf(_records(spark, d))
-    return h.where("fold is not null").groupBy(rules.fold_bin(F.col("fold")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return rel.share_of_total(h.groupBy(rules.fold_bin(F.col("fold")).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 
 
 @query
@@ -512,41 +491,64 @@ def spread_buckets(spark, d):
     return _level(spark, d).groupBy(rules.spread_bucket(F.col(pl.RATIO)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _short(spark, d):
-    return pl.highconf(_records(spark, d)).select("sequence", "activity_tier")
+@query
+def high_conflicts(spark, d):
+    """Sequences that are not stable or vary more than threefold."""
+    h = pl.highconf(_records(spark, d)).where("stability_class <> 'stable' or fold > 3")
+    return h.select("sequence", "record_count", "n_unique", "um_min", "um_max", "um_median", "fold", "stability_class", "source_count", "assay_count", "source_list", "assay_list")
+
+
+PEPTIDE_TYPES = {"di": 2, "tri": 3}
+
+
+def _ends(spark, d):
+    """(term, type, strong, residue): both ends of the stable sequences."""
+    s = pl.stable(_records(spark, d))
+    kind = F.when(F.col("peptide_length") == 2, "di").otherwise("tri")
+    ends = F.array(F.struct(F.lit("N").alias("term"), F.left("sequence", F.lit(1)).alias("residue")), F.struct(F.lit("C").alias("term"), F.right("sequence", F.lit(1)).alias("residue")))
+    return s.select(kind.alias("type"), (F.col("activity_tier") == "strong").alias("strong"), F.explode(ends).alias("e")).select("type", "strong", "e.*")
 
 
 @query
 def terminal_freq(spark, d):
-    s = _short(spark, d)
-    ends = s.select("activity_tier", F.explode(F.array(F.struct(F.lit("N").alias("term"), F.left("sequence", F.lit(1)).alias("residue")), F.struct(F.lit("C").alias("term"), F.right("sequence", F.lit(1)).alias("residue")))).alias("e")).select("activity_tier", "e.*")
-    n = ends.groupBy("activity_tier", "term", "residue").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("activity_tier", "term")), 6))
+    """Residues at both ends in the four groups all or strong, dipeptides or tripeptides."""
+    e = _ends(spark, d)
+    grouped = e.select("term", "residue", F.explode(F.array_compact(F.array(F.concat(F.lit("all-"), "type"), F.when(F.col("strong"), F.concat(F.lit("strong-"), "type"))))).alias("grp"))
+    return rel.residue_shares(grouped, "residue", {"term": ["N", "C"], "grp": ["all-di", "all-tri", "strong-di", "strong-tri"]})
+
+
+def _places(spark, d):
+    """(type, place, strong, residue): every residue of the stable sequences, by peptide type and position."""
+    s = pl.stable(_records(spark, d))
+    kind = F.when(F.col("peptide_length") == 2, "di").otherwise("tri")
+    p = rel.residues(s.select("sequence", kind.alias("type"), (F.col("activity_tier") == "strong").alias("strong")), "sequence", ["type", "strong"])
+    return p.select(F.concat("type", F.col("position").cast("string")).alias("place"), "strong", "residue")
+
+
+PLACES = {"place": ["di1", "di2", "tri1", "tri2", "tri3"]}
 
 
 @query
 def position_freq(spark, d):
-    n = rel.residues(_short(spark, d), "sequence", []).groupBy("position", "residue").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("position")), 6))
+    return rel.residue_shares(_places(spark, d), "residue", PLACES)
 
 
 @query
 def position_enrichment(spark, d):
-    s = _short(spark, d)
-    return rel.enrichment(s, "sequence", F.col("activity_tier") == "strong", ["position"])
+    return rel.enrichment(_places(spark, d), "residue", F.col("strong"), PLACES)
 
 
 @query
 def terminal_enrichment(spark, d):
-    s = _short(spark, d).withColumn("last", F.right("sequence", F.lit(1)))
-    return rel.enrichment(s, "last", F.col("activity_tier") == "strong", [])
+    return rel.enrichment(_ends(spark, d), "residue", F.col("strong"), {"term": ["N", "C"]})
 
 
 @query
 def topk_enriched(spark, d):
-    """The fifteen residues of strongest enrichment or depletion (a top-k report)."""
+    """The fifteen residues of strongest enrichment or depletion at each end (a top-k report); equals in alphabet order."""
     e = terminal_enrichment(spark, d)
-    return e.orderBy(F.abs("log2fc").desc(), "residue").limit(15).select("residue", "log2fc")
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.abs("log2fc").desc(), "residue"))
+    return e.withColumn("rank", rank).where("rank <= 15").select("term", "rank", "residue", "log2fc")
 
 
 @query
@@ -557,12 +559,15 @@ def reverse_exists(spark, d):
 
 @query
 def reverse_pairs(spark, d):
-    p = rel.reverse_pairs(pl.highconf(_records(spark, d)).where("um_median > 0"), "sequence", "um_median")
-    gap = F.log10("value_a") - F.log10("value_b")
+    """Stable sequences whose reverse is stable too, with the verdict which of both is stronger."""
+    p = rel.reverse_pairs(pl.stable(_records(spark, d)), "sequence", ["um_median", "activity_tier", "peptide_length"])
+    a, b = F.col("um_median_a"), F.col("um_median_b")
+    ok = (a > 0) & (b > 0)
     return p.select(
-        "seq_a", "seq_b", F.round(F.greatest("value_a", "value_b") / F.least("value_a", "value_b"), 6).alias("fold"), F.round(F.abs(gap), 6).alias("log_gap"),
-        F.when(F.abs(F.col("value_a") - F.col("value_b")) < 1e-12, "tie").when(F.col("value_a") < F.col("value_b"), "a").otherwise("b").alias("stronger"),
-        ((F.col("value_a") <= 50) & (F.col("value_b") <= 50)).cast("int").alias("both_strong"),
+        "seq_a", "seq_b", F.when(F.col("peptide_length_a") == 2, "di").otherwise("tri").alias("type"), a.alias("value_a"), b.alias("value_b"),
+        F.when(ok, numeric.sig6(F.greatest(a, b) / F.least(a, b))).alias("fold"), F.round(F.when(ok, F.abs(F.log10(a) - F.log10(b))), 6).alias("log_gap"),
+        F.when(~ok, "undecided").when(F.abs(a - b) < 1e-12, "tie").when(a < b, F.col("seq_a")).otherwise(F.col("seq_b")).alias("stronger"),
+        F.col("activity_tier_a").alias("tier_a"), F.col("activity_tier_b").alias("tier_b"), ((F.col("activity_tier_a") == "strong") & (F.col("activity_tier_b") == "strong")).cast("int").alias("both_strong"),
     )
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaylake.functions.text import canonical_url, keyword_hits
-from assaylake.session import cut_lineage
+from assaylake.functions.text import canonical_url
+from assaylake.session import Rounds, cut_lineage
 
 TABLES = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
 LINKS = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())]))
@@ -108,18 +108,6 @@ def pairs_of(tables: Column) -> Column:
     return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["k"]) | e["k"].isNull(), m).otherwise(F.map_concat(m, F.create_map(e["k"], e["v"]))))
 
 
-def page_class(url: Column, text: Column, list_words: list[str], detail_words: list[str]) -> Column:
-    """list, detail or other: keyword hits, with two points for the query key of a detail page."""
-    listed = F.size(keyword_hits(text, list_words)) + F.when(url.rlike(r"[?&]page="), 2).otherwise(0)
-    detailed = F.size(keyword_hits(text, detail_words)) + F.when(url.rlike(r"[?&]id="), 2).otherwise(0)
-    return F.when(listed > detailed, "list").when(detailed > listed, "detail").otherwise("other")
-
-
-def total_pages(text: Column) -> Column:
-    n = F.regexp_extract(text, r"(?i)page\s+\d+\s+of\s+(\d+)", 1)
-    return F.when(n != "", n.cast("int"))
-
-
 def crawl(pages: DataFrame, seeds: list[str], depth: int, host: str) -> DataFrame:
     """(url, depth) reachable from the seeds over the links of stored pages, breadth first within one host.
 
@@ -129,11 +117,11 @@ def crawl(pages: DataFrame, seeds: list[str], depth: int, host: str) -> DataFram
     links = pages.select(canonical_url(F.col("url")).alias("url"), F.explode(links_of(F.col("html"))).alias("l")).select("url", canonical_url(F.col("l.href")).alias("to"))
     links = cut_lineage(links.where(F.parse_url("to", F.lit("HOST")) == host).distinct())
     seen = spark.createDataFrame([(s,) for s in seeds], "url string").select(canonical_url(F.col("url")).alias("url"), F.lit(0).alias("depth"))
-    frontier = seen
+    frontier, kept = seen, Rounds(spark)
     for d in range(1, depth + 1):
         step = frontier.join(links, "url").select(F.col("to").alias("url")).distinct().join(seen, "url", "left_anti")
-        frontier = cut_lineage(step.withColumn("depth", F.lit(d)))
+        frontier = kept.keep(step.withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = cut_lineage(seen.unionByName(frontier))
     return seen

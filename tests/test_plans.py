@@ -1,7 +1,5 @@
 """Parsers, rules, features, relational kit, sources and sinks: vectors worked out by hand, and the SQL of all queries."""
 
-import math
-
 import duckdb
 import numpy as np
 import pandas as pd
@@ -68,16 +66,32 @@ def test_rules(spark):
     assert one(spark, rules.priority(L("Tier_B"), L(1), L(2), L(2.0))) == 2128.0
     assert [one(spark, rules.conflict_severity(L(s), L(x).cast("double"))) for s, x in ((2, 100.0), (1, 100.0), (1, 10.0), (1, 9.9), (1, None))] == ["very_high", "high", "medium", "low", "unknown"]
     assert one(spark, rules.conflict_reason(L("unknown"), L(1), L(2), none)) == "spread_ratio_missing"
+    assert [one(spark, rules.fold_bin(L(x).cast("double"))) for x in (1.0, 1.01, 1.5, 2.0, 2.5, 3.0, 3.1, 5.0, 10.0, 10.1, None)] == ["1", "(1,1.5]", "(1,1.5]", "(1.5,2]", "(2,3]", "(2,3]", "(3,5]", "(3,5]", "(5,10]", ">10", "missing"]
+    assert [one(spark, rules.spread_bucket(L(x).cast("double"))) for x in (2.0, 2.1, 5.0, 10.0, 100.0, 100.1, None)] == ["le_2", "gt_2_le_5", "gt_2_le_5", "gt_5_le_10", "gt_10_le_100", "gt_100", "missing"]
+    states = ((None, None, "missing_both"), (3, None, "sequence_only"), (None, 3, "detail_only"), (3, 3, "consistent"), (3, 4, "conflict"))
+    assert [one(spark, rules.length_consistency(L(a).cast("int"), L(b).cast("int"))) for a, b, _ in states] == [w for *_, w in states]
+    assert one(spark, rules.flag_note(L("Tier_A"), L("cross_source_consistent"), L(2), L(3), L(2.78125))) == "跨来源一致；source_count=2; record_count=3; spread_ratio=2.7812"
+    assert one(spark, rules.flag_note(L("Tier_X"), L("unknown"), L(1), L(3), none)) == "存在冲突或状态未明；stability_flag=unknown; source_count=1; record_count=3"
+    assert one(spark, rules.benchmark_note(L("Tier C"), none, L(1), L(45))) == "single-source usable IC50 candidate; spread_ratio=NA; source_count=1; score=45"
 
 
 def test_numbers_and_text(spark):
     assert one(spark, numeric.mass_of_sequence(F.lit("AP"))) == pytest.approx(186.10043)
     assert one(spark, numeric.median_of(F.array(*[F.lit(float(v)) for v in (1, 2, 4, 10)]))) == 3.0
     assert [one(spark, numeric.to_float(F.lit(v))) for v in ("1,200.5", "0x1p3", "1.5d", "nan", "1e3")] == [1200.5, None, None, None, 1000.0]
-    assert one(spark, numeric.sig6(F.lit(1234567.8))) == 1234570.0
+    numbers = [1234567.8, 15.7, 0.000123456, 1.2345678e-5, 3.390625, 50.00005, 999999.5, 1e6, -6.84, 0.0, 123456.5, 0.5, 3e-7, 2.5e8 + 0.5]
+    assert [one(spark, numeric.sig6(F.lit(v))) for v in numbers] == [float(f"{v:.6g}") for v in numbers]
+    assert [one(spark, numeric.g_text(F.lit(v))) for v in numbers] == [f"{v:.6g}" for v in numbers]
+    assert [one(spark, F.format_string("%.4f", numeric.rounded(F.lit(v), 4))) for v in (2.78125, 2.53125, 1.00005, 12.34565, 0.0)] == [f"{v:.4f}" for v in (2.78125, 2.53125, 1.00005, 12.34565, 0.0)]
+    assert one(spark, numeric.percent_text(F.lit(1), F.lit(8))) == "12.50%" and one(spark, numeric.percent_text(F.lit(0), F.lit(0))) == "0.00%"
     assert one(spark, tx.clean_text(F.lit("﻿ a  b\n"))) == "a b" and one(spark, tx.clean_text(F.lit(" N.D. "))) is None
     assert one(spark, tx.edit_notes(F.lit("a; b;a"), ["c", F.lit(None).cast("string"), "b"], ["a"])) == "b; c"
     assert one(spark, tx.canonical_url(F.lit("HTTPS://Ex.org//a//b?z=2&&a=1#x"))) == "https://ex.org/a/b?a=1&z=2"
+    urls = {"a/b?x=%20y&b": "a/b?b=&x= y", "/p?b=2": "/p?b=2", "http://h": "http://h/", "//H/p;q?x=a+b&x=1": "//h/p?x=1&x=a b", "http://h/a?k=%zz": "http://h/a?k=%zz"}
+    assert {u: one(spark, tx.canonical_url(F.lit(u))) for u in urls} == urls
+    assert one(spark, tx.safe_name(F.lit("https://x.org/A/b-c.d/?id=4"))).startswith("page_A_b-c.d_") and one(spark, tx.safe_name(F.lit("https://x.org"))).startswith("page_root_")
+    none = F.lit(None).cast("string")
+    assert [one(spark, tx.page_class(F.lit(u), F.lit(t), none)) for u, t in (("http://a/?id=3", "x"), ("http://a/?page=3", "x"), ("http://a/", "x"), ("http://a/", "IC50 of a peptide"), ("http://a/", "browse results"))] == ["detail_like", "list_like", "unknown", "detail_like", "list_like"]
     assert one(spark, tx.html_to_text(F.lit("<p>a &lt; b<script>x</script></p>\n<b>c</b>"))) == "a < b c"
 
 
@@ -182,14 +196,14 @@ def test_query_equals_sql(spark, name):
 
 def test_every_branch_of_stability_occurs(spark):
     flags = {r.stability_flag for r in queries.stability_flag(spark, SMALLEST).collect()}
-    assert flags == {"singleton", "unknown", "cross_source_consistent", "within_range_consistent", "conflicting"} and not math.isnan(1.0)
+    assert flags == {"singleton", "unknown", "cross_source_consistent", "within_range_consistent", "conflicting"}
 
 
 def test_document_queries_read_every_language(spark):
     import re
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    got = {n: {r.doc_id: r for r in queries.queries()[f"{n}_all"](spark, SMALL).collect()} for n in ("ic50_from_text", "year_extract", "page_keyword_hits", "page_class", "section_extract")}
+    got = {n: {r.doc_id: r for r in queries.queries()[n](spark, SMALL).collect()} for n in ("ic50_from_text", "year_extract", "page_keyword_hits", "page_class", "section_extract")}
     ids, cards = {r.doc_id for r in docs}, {r.doc_id for r in docs if r.doc_kind == "card"}
     assert all(set(got[n]) == ids for n in ("ic50_from_text", "page_keyword_hits", "page_class")) and set(got["section_extract"]) == cards
     number, unit = r"([0-9]+(?:\.[0-9]+)?)", r"(µM|μM|uM|nM|mM|M|micromole|micromolar)\b"
@@ -203,8 +217,8 @@ def test_document_queries_read_every_language(spark):
         foreign_values += bool(hit) and r.lang != "en"
         low = text.lower()
         assert got["page_keyword_hits"][r.doc_id].hits == " | ".join(w for w in queries.PAGE_WORDS if w in low)
-        card, prose = (sum(w in low for w in ws) for ws in (["entry:", "sequence:", "activity:", "assay:"], ["was", "the", "of"]))
-        assert got["page_class"][r.doc_id].page_class == ("detail" if card > prose else "list" if prose > card else "other")
+        detail, listed = (sum(w in low for w in ws) for ws in (tx.DETAIL_WORDS, tx.LIST_WORDS))
+        assert got["page_class"][r.doc_id].page_class == ("detail_like" if detail > listed else "list_like" if listed > detail else "unknown")
         years = [int(y) for y in re.findall(r"\b((?:19|20)\d{2})\b", text, re.A)]
         if years:
             assert (got["year_extract"][r.doc_id].latest, got["year_extract"][r.doc_id].earliest) == (max(years), min(years))
@@ -215,6 +229,45 @@ def test_document_queries_read_every_language(spark):
     assert foreign_values > 10
 
 
+def test_page_parsers(spark):
+    b = one(spark, tx.bibliography(F.lit("Authors Smith J. Title A peptide of milk Food Chem. 12, 3 (2001) Year Source 2001 Journal")))
+    assert tuple(b) == ("Smith J.", "A peptide of milk", "2001", "Journal")
+    assert tuple(one(spark, tx.bibliography(F.lit("A book of 1999 and 2004")))) == (None, None, "2004", "Book") and tuple(one(spark, tx.bibliography(F.lit("")))) == (None, None, None, None)
+    assert [tuple(one(spark, tx.activity_cell(F.lit(x)))) for x in (" 29.00  IC 50 ", "-4.4 ec50", "about")] == [("29.00", "IC50"), ("-4.4", "EC50"), ("about", "")]
+    row = "<tr class='info'><td><a href='d?zm_ID=7'>x</a></td><td>7</td><td>n &amp; m</td><td>AGK</td><td>1.5</td><td>1.6</td><td>29.00<br>IC50</td></tr><tr class='info'><td>1</td></tr>"
+    assert [tuple(r) for r in one(spark, tx.list_rows_of_html(F.lit(row)))] == [("7", "n & m", "AGK", "1.5", "1.6", "29.00", "IC50", "d?zm_ID=7")]
+    assert [tuple(r) for r in one(spark, tx.list_rows_of_text(F.lit("x Peptide\nData 7 my name AGK 1.5 1.6 29.0 IC50 Page 1/3 Peptide Data none")))] == [("7", "my name", "AGK", "1.5", "1.6", "29.0", "IC50")]
+    assert one(spark, tx.list_rows_of_text(F.lit("nothing"))) == [] and one(spark, tx.list_rows_of_html(F.lit(None).cast("string"))) is None
+    assert one(spark, tx.total_pages(F.lit("Page 1 / 3 Page 2 / 9"))) == 9 and one(spark, tx.total_entries(F.lit("Total number of entries: 45"))) == 45
+    assert one(spark, tx.page_candidates(F.lit("http://h/p?page=1"), F.lit(1)))[:2] == ["http://h/p?page=2", "http://h/p?page=1&pageno=2"]
+
+
+def test_upgrades_and_conversion(spark):
+    L = F.lit
+    none, num = L(None).cast("string"), L(None).cast("double")
+    assert [one(spark, ic50.stronger(L("exact_molar"), L(o), L(1.0), L("uM"), L("uM"))) for o in ("range", "mass_unit", "percent_like", "exact_molar")] == [True, True, True, False]
+    assert one(spark, ic50.stronger(L("exact_molar"), L("exact_molar"), num, L("uM"), L("uM"))) and one(spark, ic50.stronger(L("exact_molar"), L("exact_molar"), L(1.0), none, L("uM"))) and not one(spark, ic50.stronger(L("range"), none, num, none, L("uM")))
+    assert [one(spark, ic50.better(L("exact_molar"), L(2.0), L(o), L(u).cast("double"))) for o, u in (("exact_molar", 2.0), ("exact_molar", 3.0), ("exact_molar", None), ("range", 2.0))] == [False, True, True, True]
+    df = spark.createDataFrame([("a", "mass_unit", "=", 0.06, "mg / mL", 300.0, None, 0), ("b", "mass_unit", ">", 1.0, "mg/mL", 300.0, None, 0), ("c", "exact", "=", 5.0, "uM", 300.0, 5.0, 1), ("d", "mass_unit", "=", 6.0, "µg/ml", 300.0, None, 0)], "id string, ic50_type string, ic50_relation string, ic50_value double, ic50_unit_raw string, molwt_value double, ic50_uM double, ic50_exact_flag int")
+    got = {r.id: (r.ic50_type, r.ic50_uM, r.ic50_exact_flag, r.unit_conversion_applied) for r in ic50.convert_mass_units(df).collect()}
+    assert got["a"] == ("exact", 200.0, 1, 1) and got["b"] == ("mass_unit", None, 0, 0) and got["c"] == ("exact", 5.0, 1, 0) and got["d"] == ("exact", 20.0, 1, 1)
+
+
+def test_worksets_keep_and_route(spark):
+    from assaylake.plans import worksets
+
+    rows = [("a", "AGK", 3, "exact_molar", 5.0, None, "5 uM"), ("b", "A{P}", 2, "exact_molar", 5.0, "x; non_canonical_or_contains_unknown_residue", "5 EC50"), ("c", "AJ", None, "rescued_numeric_no_unit", 5.0, None, None), ("d", "AG", None, "exact_molar", 5.0, None, None), ("e", None, None, None, float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "id string, sequence string, peptide_length int, ic50_parse_status string, ic50_uM double, notes string, ic50_raw string").withColumn("length_consistency_flag", F.when(F.col("id") == "b", "conflict"))
+    got = {r.id: r for r in worksets.annotated(df, "biopep").collect()}
+    assert got["a"].workset_keep_flag == 1 and got["b"].workset_exclusion_reasons == "ec50_record; noncanonical_or_modified_residue; length_conflict"
+    routes = worksets.routed(worksets.annotated(df, "biopep"), worksets.ROUTES["biopep"]).select("id", "route").collect()
+    assert {tuple(r) for r in routes} == {("b", "ec50"), ("b", "noncanonical"), ("b", "length_conflict")}
+    strict, wide = ({r.id: (r.workset_keep_flag, r.workset_exclusion_reasons) for r in worksets.annotated(df, "fermfood", m).collect()} for m in ("strict", "expanded"))
+    assert strict["d"] == (1, "peptide_length_missing")  # kept, and excluded for its length too
+    assert strict["c"][0] == wide["c"][0] == 0 and strict["e"][1] == "sequence_missing; peptide_length_missing; ic50_status_not_usable; ic50_uM_missing"
+    assert worksets.annotated(df.limit(0), "mbpdb").count() == 0
+
+
 def test_encoding_is_decided_by_the_whole_file(spark, tmp_path):
     filler = "plain,1\n" * 200_000  # more than a megabyte of ASCII before the first other byte
     for enc, word in (("utf-8", "值é"), ("gb18030", "值很高"), ("latin1", "Käse à")):

@@ -1,15 +1,16 @@
 """Linear classification of sequence features with stratified folds: one-vs-rest linear SVM in Spark ML.
 
-Folds are dealt by a hash order within each class, so no row moves to the driver; training scales by the
-standard deviation of its folds. Metrics are one grouped count of (label, prediction).
+Folds are dealt by a hash of the key, which spreads every class evenly without gathering it, so no row moves to the
+driver; training scales by the standard deviation of its folds and weighs classes by their inverse frequency.
+Metrics are one grouped count of (label, prediction).
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.session import cut_lineage
@@ -17,24 +18,38 @@ from assaylake.session import cut_lineage
 SEED = 42
 
 
-def folded(df: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
-    """Adds ``fold``; every class is spread evenly. Classes of one row are dropped, as they cannot be tested."""
+def fold_count(rows: DataFrame, label: str) -> int:
+    """The size of the smallest class, but two at least and five at most."""
+    least = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    return min(max(least or 2, 2), 5)
+
+
+def encoded(df: DataFrame, label: str, name: str = "y") -> DataFrame:
+    """Text labels as numbers from 0 in alphabet order."""
+    return StringIndexer(inputCol=label, outputCol=name, stringOrderType="alphabetAsc", handleInvalid="skip").fit(df).transform(df)
+
+
+def folded(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:
+    """Adds ``fold``, from a hash of the key. Classes of one row are dropped, as they cannot be tested."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(SEED), key), key)
-    return df.join(n, label).withColumn("fold", (F.row_number().over(w) % folds).cast("int")).drop("_n")
+    return df.join(n, label).withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(folds)).cast("int")).drop("_n")
 
 
-def cross_validated(df: DataFrame, label: str, features: str, key: str, folds: int = 5) -> DataFrame:
-    """(key, label, prediction) out of fold; labels are class indices from 0."""
+def cross_validated(df: DataFrame, label: str, features: str, key: str, folds: int | None = None) -> DataFrame:
+    """(key, label, prediction) out of fold; labels are class indices from 0. A class missing from a training part is not predicted there."""
+    folds = folds or fold_count(df, label)
     rows = folded(df, label, key, folds).select(key, F.col(label).cast("double").alias("label"), array_to_vector(features).alias("raw"), "fold")
     rows = cut_lineage(rows)  # read by every iteration of every fold
     binary = rows.select("label").distinct().count() == 2
     out = None
     for k in range(folds):
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+        sizes = train.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+        total = sizes.agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("c")).first()
+        train = train.join(F.broadcast(sizes), "label").withColumn("weight", F.lit(float(total.t) / total.c) / F.col("_n"))
         scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
-        svc = LinearSVC(maxIter=20, regParam=0.01)
-        model = (svc if binary else OneVsRest(classifier=svc)).fit(scaler.transform(train))
+        svc = LinearSVC(maxIter=20, regParam=0.01, weightCol="weight")
+        model = (svc if binary else OneVsRest(classifier=svc, weightCol="weight")).fit(scaler.transform(train))
         part = model.transform(scaler.transform(test)).select(key, "label", "prediction")
         out = part if out is None else out.unionByName(part)
     return out

@@ -29,6 +29,13 @@ def fmdb_numbers(text: Column) -> Column:
     return F.array_compact(F.array_distinct(F.transform(found, lambda x: x.try_cast("bigint"))))
 
 
+NEVER = 1 << 30
+
+
+def month_number(ts: Column) -> Column:
+    return F.year(ts) * 12 + F.month(ts)
+
+
 def month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
@@ -36,12 +43,12 @@ def month(ts: Column) -> Column:
 def parents(df: DataFrame, ref: Column, arrived: Column, withdrawn: Column) -> DataFrame:
     """(num, first, kept): first arrival month, and per arrival month the last month in which a row still stands.
 
-    A row that never was withdrawn stands until ``9999-99``. Rows without key or arrival are no targets.
+    Months are whole numbers (year times 12 and month). A row that never was withdrawn stands for ever; one without
+    an arrival time is a target that never arrives. Rows without key are no targets.
     """
-    never = F.lit("9999-99")
     months = (
-        df.select(ref.alias("num"), month(arrived).alias("arr"), F.coalesce(month(withdrawn), never).alias("wd"))
-        .where(F.col("num").isNotNull() & F.col("arr").isNotNull())
+        df.select(ref.alias("num"), F.coalesce(month_number(arrived), F.lit(NEVER)).alias("arr"), F.coalesce(month_number(withdrawn), F.lit(NEVER)).alias("wd"))
+        .where(F.col("num").isNotNull())
         .groupBy("num", "arr").agg(F.max("wd").alias("wd"))
     )
     return months.groupBy("num").agg(F.min("arr").alias("first"), F.collect_list(F.struct("arr", "wd")).alias("kept"))
@@ -61,9 +68,10 @@ def orphans(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         p = p.withColumn("target", F.lit(name))
         held = p if held is None else held.unionByName(p)
     missing = keys.join(held.select("target", "num"), ["target", "num"], "left_anti").withColumn("orphan_kind", F.lit("missing"))
-    by_then = F.filter("kept", lambda k: k["arr"] <= F.col("period"))
-    kind = F.when(F.col("first") > F.col("period"), "late").when(~F.exists(by_then, lambda k: k["wd"] > F.col("period")), "deleted")
-    stale = keys.join(held, ["target", "num"]).withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull()).select("target", "num", "period", "orphan_kind")
+    by_then = F.filter("kept", lambda k: k["arr"] <= F.col("month"))
+    kind = F.when(F.col("first") > F.col("month"), "late").when(~F.exists(by_then, lambda k: k["wd"] > F.col("month")), "deleted")
+    then = F.substring("period", 1, 4).cast("int") * 12 + F.substring("period", 6, 2).cast("int")
+    stale = keys.withColumn("month", then).join(held, ["target", "num"]).withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull()).select("target", "num", "period", "orphan_kind")
     verdicts = missing.unionByName(stale).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = refs.withColumn("salt", F.pmod(F.xxhash64("ref_table", "row_id"), F.lit(SALTS)).cast("int"))
     return salted.join(verdicts, ["target", "num", "period", "salt"]).select("ref_table", "row_id", "num", "orphan_kind", "period")

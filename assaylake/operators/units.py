@@ -116,12 +116,9 @@ def _quantity(kind: Column | str, value: Column | None = None, upper: Column | N
     )
 
 
-def mass_in_dalton(mass: Column, raw: Column) -> Column:
-    """``mass`` is dalton unless its text writes another unit; null unless above 0."""
-    unit = F.lower(F.regexp_replace(F.regexp_extract(plain(raw), r"^\s*[\d.,]+\s*([A-Za-z][A-Za-z/\-1]*)", 1), r"\s", ""))
-    other = [(u, f) for u, f in MASS_TO_DALTON.items() if f != 1.0]
-    factor = F.when(unit.isin(*[u for u, _ in other]), F.lit(other[0][1])).otherwise(F.lit(1.0))
-    return F.when(~F.isnan(mass) & (mass > 0), mass * factor)
+def mass_unit_key(raw: Column) -> Column:
+    """The unit behind the number of a mass text, in alias form; empty where none is written."""
+    return F.lower(F.regexp_replace(F.regexp_extract(plain(raw), r"^\s*[\d.,]+\s*([A-Za-z][A-Za-z/\-1 ]*)", 1), r"\s", ""))
 
 
 def convert_potency(
@@ -149,12 +146,16 @@ def convert_potency(
         {
             "q_unit": F.coalesce(own, F.when(bare, F.coalesce(unit_field, default))),
             "q_unit_from": F.when(own.isNotNull(), "text").when(bare & unit_field.isNotNull(), "field").when(bare & default.isNotNull(), "source"),
-            "q_mass_da": mass_in_dalton(F.col(mass), F.col(mass_raw)),
+            "q_mass_alias": mass_unit_key(F.col(mass_raw)),
         }
     ).withColumns({"q_alias": unit_key(F.col("q_unit")), "q_low_alias": unit_key(F.coalesce(F.when(ranged, F.col("q.unit_low")), F.col("q_unit")))})
     units = F.broadcast(unit_table(spark).select(F.col("alias").alias("q_alias"), F.col("dimension").alias("q_dimension"), F.col("factor").alias("q_factor"), F.col("offset").alias("q_offset")))
     low_units = units.toDF("q_low_alias", "q_low_dimension", "q_low_factor", "q_low_offset")
-    joined = parsed.join(units, "q_alias", "left").join(F.broadcast(low_units), "q_low_alias", "left")
+    masses = spark.createDataFrame(list(MASS_TO_DALTON.items()), "q_mass_alias string, q_mass_factor double")
+    joined = parsed.join(units, "q_alias", "left").join(F.broadcast(low_units), "q_low_alias", "left").join(F.broadcast(masses), "q_mass_alias", "left")
+    # Dalton unless the text writes another unit of mass.
+    in_dalton = F.col(mass) * F.coalesce("q_mass_factor", F.lit(1.0))
+    joined = joined.withColumn("q_mass_da", F.when(~F.isnan(mass) & (F.col(mass) > 0), in_dalton))
 
     def in_nm(value: Column, at: str) -> Column:
         common = value * F.col(f"{at}_factor") + F.col(f"{at}_offset")
@@ -166,7 +167,7 @@ def convert_potency(
     return joined.withColumns(
         {"q_kind": F.col("q.kind"), "q_value": F.col("q.value"), "q_nm": F.when(F.col("q.kind").isin("single", "bare"), in_nm(F.col("q.value"), "q")),
          "q_low_nm": F.when(both, F.least(first, last)), "q_high_nm": F.when(both, F.greatest(first, last))}
-    ).drop("q", "q_field", "q_alias", "q_offset", "q_low_alias", "q_low_factor", "q_low_offset")
+    ).drop("q", "q_field", "q_alias", "q_offset", "q_low_alias", "q_low_factor", "q_low_offset", "q_mass_alias", "q_mass_factor")
 
 
 def half_up(x: Column) -> Column:

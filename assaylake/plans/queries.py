@@ -15,7 +15,7 @@ from assaylake.plans import pipelines as pl
 from assaylake.plans import worksets
 from assaylake.plans.fixtures import assay
 from assaylake.plans.oracles import ORACLES
-from assaylake.session import table
+from assaylake.session import cut_lineage, table
 from assaylake.sources import html as page
 
 QUERIES = {}
@@ -619,7 +619,7 @@ def fft_features(spark, d):
     return v.select("seq", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-# --- pages, classification, ingest (no SQL: compared with brute force in the tests) ------------------------
+# --- pages, classification ------------------------
 
 
 def _pages(spark, d):
@@ -649,15 +649,19 @@ def page_links(spark, d):
 
 @query
 def page_crawl(spark, d):
+    """All list pages as seeds, and what they link to."""
     pages = _pages(spark, d)
-    return page.crawl(pages, ["https://fermfood.example/ace?page=1"], 2, "fermfood.example")
+    return page.crawl(pages, pages.select("url"), 2, "fermfood.example")
 
 
 @query
 def svm_cv(spark, d):
-    """Out-of-fold metrics of the length class (short or longer) from composition features."""
-    s = _peptides(spark, d).select("seq", (F.length("seq") <= 5).cast("int").alias("y"), features.composition(F.col("seq")).alias("v"))
-    return svm.metrics(svm.cross_validated(s, "y", "v", "seq", folds=2))
+    """Out-of-fold metrics of the strongest potency tier of stable sequences, in three feature sets."""
+    s = pl.stable(_records(spark, d)).select(F.col("sequence").alias("seq"), F.when(F.col("activity_tier") == "strong", "strong").otherwise("other").alias("label"))
+    s = features.with_signal_features(svm.encoded(s, "label"), "seq", "fusion")
+    s = cut_lineage(s.select("seq", "y", F.slice("fusion", 1, 21).alias("composition"), F.slice("fusion", 22, 41).alias("signal"), "fusion"))
+    each = [svm.metrics(svm.cross_validated(s, "y", f, "seq")).select(F.lit(f).alias("features"), "metric", "value") for f in ("composition", "signal", "fusion")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def queries() -> dict:

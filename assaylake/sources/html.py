@@ -108,7 +108,7 @@ def pairs_of(tables: Column) -> Column:
     return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["k"]) | e["k"].isNull(), m).otherwise(F.map_concat(m, F.create_map(e["k"], e["v"]))))
 
 
-def crawl(pages: DataFrame, seeds: list[str], depth: int, host: str) -> DataFrame:
+def crawl(pages: DataFrame, seeds: list[str] | DataFrame, depth: int, host: str) -> DataFrame:
     """(url, depth) reachable from the seeds over the links of stored pages, breadth first within one host.
 
     Each round anti-joins the frontier with what was seen; the loop runs over depths, not over pages.
@@ -116,7 +116,8 @@ def crawl(pages: DataFrame, seeds: list[str], depth: int, host: str) -> DataFram
     spark = pages.sparkSession
     links = pages.select(canonical_url(F.col("url")).alias("url"), F.explode(links_of(F.col("html"))).alias("l")).select("url", canonical_url(F.col("l.href")).alias("to"))
     links = cut_lineage(links.where(F.parse_url("to", F.lit("HOST")) == host).distinct())
-    seen = spark.createDataFrame([(s,) for s in seeds], "url string").select(canonical_url(F.col("url")).alias("url"), F.lit(0).alias("depth"))
+    named = seeds if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "url string")
+    seen = named.select(canonical_url(F.col(named.columns[0])).alias("url")).where("url is not null").distinct().withColumn("depth", F.lit(0))
     frontier, kept = seen, Rounds(spark)
     for d in range(1, depth + 1):
         step = frontier.join(links, "url").select(F.col("to").alias("url")).distinct().join(seen, "url", "left_anti")

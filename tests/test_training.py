@@ -174,10 +174,27 @@ def test_orphans_against_brute_force(spark):
 
 def test_orphans_of_empty_tables(spark):
     refs = spark.createDataFrame([("t", "list", 1, 5, "2024-01"), ("t", "list", 2, None, "2024-01")], "ref_table string, target string, row_id long, num long, period string")
-    none = spark.createDataFrame([], "num long, first string, kept array<struct<arr:string,wd:string>>")
+    none = spark.createDataFrame([], "num long, first int, kept array<struct<arr:int,wd:int>>")
     assert [r.orphan_kind for r in orphans.orphans(refs, {"list": none}).collect()] == ["missing"]
 
 
+def test_a_parent_without_arrival_is_there_but_late(spark):
+    import datetime as dt
+
+    at = dt.datetime(2024, 3, 5)
+    parents = spark.createDataFrame([(5, None, None), (6, at, at), (7, at, None), (None, at, None)], "num long, a timestamp, w timestamp")
+    p = orphans.parents(parents, F.col("num"), F.col("a"), F.col("w"))
+    refs = spark.createDataFrame([("t", "list", i, n, "2024-03") for i, n in enumerate((5, 6, 7, 8))], "ref_table string, target string, row_id long, num long, period string")
+    assert {r.num: r.orphan_kind for r in orphans.orphans(refs, {"list": p}).collect()} == {5: "late", 6: "deleted", 8: "missing"}
+
+
+def test_source_default_and_mass_units(spark):
+    schema = "row_id long, source_name string, ic50_raw string, ic50_unit string, mass_raw string, mass_da double"
+    df = spark.createDataFrame([(1, "A", "7", None, None, None), (2, "B", "7", None, None, None), (3, "A", "7", "mM", None, None), (4, "A", "1 mg/ml", None, "0.5 kilodaltons", 0.5), (5, "A", "1 mg/ml", None, "500 g mol-1", 500.0), (6, "A", "1 mg/ml", None, "5 parsec", 500.0)], schema)
+    q = {r.row_id: (r.q_nm, r.q_unit_from) for r in units.convert_potency(df, source_defaults={"A": "uM"}).collect()}
+    assert q[1] == (7000.0, "source") and q[2] == (None, None) and q[3] == (7e6, "field") and [round(q[i][0]) for i in (4, 5, 6)] == [2000000] * 3
+
+
 def test_fills_against_brute_force(spark):
     t = spark.read.parquet(f"{SMALL}/fermfoodb_ace_master_rescued.parquet").toPandas()
     norm = {c: [None if absent(v) else v.strip().lower() for v in t[c]] for c in training.RESCUED_TEXTS}

@@ -130,7 +130,7 @@ def _decoded(c: Column) -> Column:
 def query_pairs(query: Column) -> Column:
     """The decoded (k, v) pairs of a query, sorted by key and value; bare keys have an empty value."""
     parts = F.filter(F.split(query, "&"), lambda x: x != "")
-    pairs = F.transform(parts, lambda x: F.struct(_decoded(F.substring_index(x, "=", 1)).alias("k"), _decoded(F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")).alias("v")))
+    pairs = F.transform(parts, lambda x: F.named_struct(F.lit("k"), _decoded(F.substring_index(x, "=", 1)), F.lit("v"), _decoded(F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise(""))))
     return F.array_sort(pairs)
 
 

@@ -286,6 +286,48 @@ def first_clean(*xs: str) -> str:
     return f"coalesce({', '.join(clean(x) for x in xs)})"
 
 
+# What a page is made of: its entries, empty where null.
+ENTRIES = "WITH e AS (SELECT list_page_url, row_id, coalesce(fmdb_id, '') AS fmdb_id, coalesce(peptide_sequence, '') AS peptide_sequence, coalesce(ic50_raw, '') AS ic50_raw, coalesce(detail_url, '') AS detail_url FROM fermfoodb_ace_list)"
+
+
+def squeezed(x: str) -> str:
+    """White space as a reader of markup sees it."""
+    return f"trim(regexp_replace({x}, '{WS.replace('{FEFF}', '')}', ' ', 'g'))"
+
+
+def scale(table: dict[str, float]) -> str:
+    return "(CASE r " + " ".join(f"WHEN '{a}' THEN {v}::double" for a, v in table.items()) + " END)"
+
+
+def _fusion() -> str:
+    """Composition, then per scale moments, autocorrelations and the spectrum of the closed-form transform, then the length."""
+    mean = "(list_sum({0}) / len({0}))"
+
+    def correlation(x: str, lag: int) -> str:
+        n = f"(len({x}) - {lag})"
+        a, b = f"{x}[1:{n}]", f"{x}[{lag + 1}:]"
+        ca, cb = (f"list_transform({v}, lambda q: q - {mean.format(v)})" for v in (a, b))
+        va, vb = (f"list_sum(list_transform({c}, lambda q: q * q))" for c in (ca, cb))
+        cov = f"list_sum(list_transform(list_zip({ca}, {cb}), lambda q: q[1] * q[2]))"
+        return f"CASE WHEN {n} <= 0 THEN 0.0 WHEN {va} / {n} < 1e-24 OR {vb} / {n} < 1e-24 THEN 0.0 ELSE {cov} / sqrt({va} * {vb}) END"
+
+    parts, columns = [], []
+    for k, t in features.SCALES.items():
+        columns.append(f"list_transform(string_split(seq, ''), lambda r: {scale(t)}) AS x_{k}")
+        x, m = f"x_{k}", f"m_{k}"
+        parts.append(
+            f"[{mean.format(x)}, sqrt(list_sum(list_transform({x}, lambda q: (q - {mean.format(x)}) * (q - {mean.format(x)}))) / len({x})), list_min({x}), list_max({x}), list_sum(list_transform({x}, lambda q: q * q)) / len({x}), {correlation(x, 1)}, {correlation(x, 2)}, "
+            f"list_sum(list_transform({m}, lambda q: q * q)), CASE WHEN list_sum({m}) < 1e-12 THEN 0.0 ELSE list_sum(list_transform({m}, lambda q, i: q * (i - 1))) / list_sum({m}) END, (list_position({m}, list_max({m})) - 1) / greatest(len({m}) - 1, 1)]"
+        )
+    spectra = ", ".join(
+        f"list_transform(range(0, len(x_{k}) // 2 + 1), lambda f: sqrt(pow(list_sum(list_transform(x_{k}, lambda q, i: q * cos(2 * pi() * f * (i - 1) / len(x_{k})))), 2) + pow(list_sum(list_transform(x_{k}, lambda q, i: q * sin(2 * pi() * f * (i - 1) / len(x_{k})))), 2))) AS m_{k}"
+        for k in features.SCALES
+    )
+    whole = "list_concat(" * (len(parts) + 1) + f"list_concat(list_transform(string_split('{AA}', ''), lambda a: (length(seq) - length(replace(seq, a, ''))) / length(seq)), [length(seq)::double]), " + "), ".join(parts) + "), [length(seq)::double])"
+    return f"{PEPTIDES}, x AS (SELECT seq, {', '.join(columns)} FROM p), m AS (SELECT *, {spectra} FROM x) SELECT seq, unnest(range(0, 62))::int AS i, round(unnest({whole}), 6) AS x FROM m"
+
+
+FUSION = _fusion()
 OLD = "(SELECT {}, ic50_raw, mass_da, ic50_parse_status AS old_status, ic50_relation AS old_relation, ic50_unit AS old_unit, ic50_value AS old_value, CASE WHEN isfinite(ic50_uM) THEN ic50_uM END AS old_um FROM {})"
 
 ORACLES = {
@@ -392,4 +434,10 @@ ORACLES = {
     "mass_from_sequence": f"{PEPTIDES} SELECT seq, round({WATER} + list_sum(list_transform(string_split(seq, ''), lambda r: {TABLE})), 5) AS mass FROM p",
     "aac_features": f"{PEPTIDES} SELECT seq, i, round(x, 6) AS x FROM (SELECT seq, unnest(range(0, 21))::int AS i, unnest(list_concat(list_transform(string_split('{AA}', ''), lambda a: (length(seq) - length(replace(seq, a, ''))) / length(seq)), [length(seq)::double])) AS x FROM p)",
     "signal_moments": f"{PEPTIDES}, r AS (SELECT seq, unnest(string_split(seq, '')) AS r FROM p), v AS (SELECT seq, {HYDRO}::double AS x FROM r) SELECT seq, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS least, round(max(x), 6) AS greatest, round(avg(x * x), 6) AS energy FROM v GROUP BY seq",
+    "html_table_extract": f"{ENTRIES} SELECT list_page_url AS url, cast(row_number() OVER (PARTITION BY list_page_url ORDER BY row_id) AS int) AS row_no, {squeezed('fmdb_id')} AS \"FMDB ID\", {squeezed('peptide_sequence')} AS \"Sequence\", {squeezed('ic50_raw')} AS \"IC50\" FROM e",
+    "html_to_text": f"{ENTRIES} SELECT list_page_url AS url, {norm("'Page 1 of 3 FMDB ID Sequence IC50 ' || string_agg(fmdb_id || ' ' || peptide_sequence || ' ' || ic50_raw, ' ' ORDER BY row_id)")} AS text FROM e GROUP BY 1",
+    "page_links": f"{ENTRIES} SELECT list_page_url AS url, detail_url AS href, {squeezed('fmdb_id')} AS label FROM e WHERE detail_url <> ''",
+    "page_crawl": f"""WITH RECURSIVE l AS (SELECT DISTINCT {url('list_page_url')} AS url, {url('detail_url')} AS target FROM fermfoodb_ace_list WHERE list_page_url IS NOT NULL AND detail_url IS NOT NULL AND regexp_extract({url('detail_url')}, '^[^:]*://([^/]*)', 1) = 'fermfood.example'),
+      seen AS (SELECT DISTINCT {url('list_page_url')} AS url, 0 AS depth FROM fermfoodb_ace_list WHERE list_page_url IS NOT NULL UNION SELECT target, depth + 1 FROM seen JOIN l USING (url) WHERE depth < 2) SELECT url, cast(min(depth) AS int) AS depth FROM seen GROUP BY url""",
+    "fft_features": FUSION,
 }

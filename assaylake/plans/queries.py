@@ -616,7 +616,7 @@ def signal_moments(spark, d):
 @query
 def fft_features(spark, d):
     v = features.with_signal_features(_peptides(spark, d), "seq", "v")
-    return v.select("seq", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return v.select("seq", F.posexplode("v").alias("i", "x")).select("seq", "i", F.round("x", 6).alias("x"))
 
 
 # --- pages, classification ------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import codecs
 import csv
+import re
 import time
 import urllib.error
 import urllib.request
@@ -56,9 +57,13 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, required: list[str] = (), sep: str = ",", encoding: str = "UTF-8", clean: bool = False) -> DataFrame:
-    """Header CSV with quoted line breaks; all columns are text, byte-order marks stripped from the header."""
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"', inferSchema=False)
+def read_csv(spark: SparkSession, path: str, required: list[str] = (), sep: str = ",", encoding: str = "UTF-8", clean: bool = False, multiline: bool = True) -> DataFrame:
+    """Header CSV; all columns are text, byte-order marks stripped from the header.
+
+    Values may hold quoted line breaks, which makes a file one task; ``multiline=False`` splits large files of which
+    it is known that they hold none.
+    """
+    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=multiline, quote='"', escape='"', inferSchema=False)
     df = require(df.toDF(*[c.lstrip("﻿").strip() for c in df.columns]), list(required))
     return df.select(*[clean_text(F.col(f"`{c}`")).alias(c) for c in df.columns]) if clean else df
 
@@ -139,8 +144,8 @@ def with_detail_text(rows: DataFrame, texts: DataFrame, key: str = "peptide_id",
     return rows.withColumn("_id", F.coalesce(F.nullif(name, F.lit("")), F.col(key))).join(texts.select(F.col("peptide_id").alias("_id"), F.col("text").alias("detail_text")), "_id", "left").drop("_id")
 
 
-def fetch(url: str, opener: Callable | None = None, timeout: float = 20, tries: int = 3, wait: float = 1.0, backoff: float = 1.8) -> dict:
-    """One page with charset decoding, retries and a structured record; errors are values, never raised."""
+def _fetch_bytes(url: str, opener: Callable | None, timeout: float, tries: int, wait: float, backoff: float) -> tuple[dict, bytes | None, str | None]:
+    """(record, body, charset) of one address; errors are values, never raised."""
     opener = opener or (lambda u: urllib.request.urlopen(u, timeout=timeout))
     began, last = time.monotonic(), None
     for attempt in range(tries):
@@ -148,12 +153,18 @@ def fetch(url: str, opener: Callable | None = None, timeout: float = 20, tries:
             with opener(url) as r:
                 body = r.read()
                 charset = r.headers.get_content_charset() if hasattr(r.headers, "get_content_charset") else None
-                return {"url": url, "ok": True, "status": getattr(r, "status", 200), "text": _decode(body, charset), "error_type": None, "elapsed": time.monotonic() - began, "tries": attempt + 1}
+                return {"url": url, "ok": True, "status": getattr(r, "status", 200), "error_type": None, "elapsed": time.monotonic() - began, "tries": attempt + 1}, body, charset
         except (urllib.error.URLError, OSError, ValueError) as e:
             last = e
             if attempt + 1 < tries:
                 time.sleep(wait * backoff**attempt)
-    return {"url": url, "ok": False, "status": getattr(last, "code", None), "text": None, "error_type": type(last).__name__, "elapsed": time.monotonic() - began, "tries": tries}
+    return {"url": url, "ok": False, "status": getattr(last, "code", None), "error_type": type(last).__name__, "elapsed": time.monotonic() - began, "tries": tries}, None, None
+
+
+def fetch(url: str, opener: Callable | None = None, timeout: float = 20, tries: int = 3, wait: float = 1.0, backoff: float = 1.8) -> dict:
+    """One page with charset decoding, retries and a structured record."""
+    record, body, charset = _fetch_bytes(url, opener, timeout, tries, wait, backoff)
+    return record | {"text": None if body is None else _decode(body, charset)}
 
 
 def _decode(body: bytes, charset: str | None) -> str:
@@ -165,18 +176,18 @@ def _decode(body: bytes, charset: str | None) -> str:
     return body.decode("utf-8", errors="replace")
 
 
-def download(url: str, to: str, opener: Callable | None = None, **retry) -> dict:
-    """To a file, skipped where it exists; written under another name first."""
+def download(url: str, to: str, opener: Callable | None = None, timeout: float = 30, tries: int = 4, wait: float = 3.0, backoff: float = 1.8) -> dict:
+    """The bytes of an address to a file, skipped where it exists; written under another name first."""
     target = Path(to)
     if target.exists():
         return {"url": url, "ok": True, "status": "exists", "path": to}
-    record = fetch(url, opener, **retry)
-    if record["ok"]:
+    record, body, _ = _fetch_bytes(url, opener, timeout, tries, wait, backoff)
+    if body is not None:
         target.parent.mkdir(parents=True, exist_ok=True)
         part = target.with_suffix(target.suffix + ".part")
-        part.write_text(record["text"], encoding="utf-8")
+        part.write_bytes(body)
         part.rename(target)
-    return {k: v for k, v in record.items() if k != "text"} | {"path": to}
+    return record | {"path": to}
 
 
 def parse_args_paths(given: str | None, configured: str | None, default: str) -> str:
@@ -194,5 +205,6 @@ def convert_text_to_csv(path: str, out: str) -> str:
         write = csv.writer(dst)
         for line in src:
             if line.strip():
-                write.writerow([x.strip() for x in line.rstrip("\n").split("\t")])
+                cells = line.rstrip("\n").split("\t") if "\t" in line else re.split(r"\s{2,}", line.strip())
+                write.writerow([x.strip() for x in cells])
     return "converted"

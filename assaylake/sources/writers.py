@@ -1,21 +1,20 @@
 """Sinks: tables, single CSV files, append-unique manifests, summaries, charts and indexes.
 
-Parquet is the primary form. Exports for people (one CSV file, a chart, a summary) take tables that are small
-by construction; ``EXPORT_ROWS`` guards that on the driver.
+Parquet is the primary form. Exports for people are one CSV file, which streams, and charts and summaries of tables
+that are small by construction.
 """
 
 from __future__ import annotations
 
 import json
-import shutil
 from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from assaylake.sources.readers import SchemaError
 
-EXPORT_ROWS = 1_000_000
+# Flags in words, by truth.
+YES_NO = {True: "是", False: "否"}
 
 
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "errorifexists", partition_by: list[str] = ()) -> None:
@@ -26,39 +25,48 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, mode
 
 
 def overwrite_with_backup(df: DataFrame, path: str) -> str | None:
-    """Replaces a local table; the old one is moved to ``.bak`` beside it once the new one is written."""
-    new, old, backup = Path(f"{path}.new"), Path(path), Path(f"{path}.bak")
-    df.write.mode("overwrite").parquet(str(new))
+    """Replaces a table on any file system; the old one is moved to ``.bak`` beside it once the new one is written."""
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, backup = jpath(f"{path}.new"), jpath(path), jpath(f"{path}.bak")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
     kept = None
-    if old.exists():
-        shutil.rmtree(backup, ignore_errors=True)
-        old.rename(backup)
-        kept = str(backup)
-    new.rename(old)
+    if fs.exists(old):
+        fs.delete(backup, True)
+        fs.rename(old, backup)
+        kept = f"{path}.bak"
+    fs.rename(new, old)
     return kept
 
 
-def _rows(df: DataFrame) -> list:
-    rows = df.take(EXPORT_ROWS + 1)
-    if len(rows) > EXPORT_ROWS:
-        raise SchemaError(f"more than {EXPORT_ROWS} rows for a single file; use write_table")
-    return rows
+def write_csv_file(df: DataFrame, path: str, columns: list[str] | None = None, headers: dict[str, str] | None = None, placeholder: dict | None = None, overwrite: bool = True, yes_no: list[str] = ()) -> int:
+    """One CSV file with a byte-order mark; null is the empty text, an empty table may get a placeholder row.
 
-
-def write_csv_file(df: DataFrame, path: str, columns: list[str] | None = None, headers: dict[str, str] | None = None, placeholder: dict | None = None, overwrite: bool = True) -> int:
-    """One CSV file with a byte-order mark; null is the empty text, an empty table may get a placeholder row."""
+    Rows come to the driver partition by partition, never all at once. ``headers`` renames columns, ``yes_no`` lists
+    flags that are shown in words.
+    """
     import csv
 
     if not overwrite and Path(path).exists():
         return 0
     columns = columns or df.columns
-    rows = [r.asDict() for r in _rows(df.select(*columns))] or ([placeholder] if placeholder else [])
     Path(path).parent.mkdir(parents=True, exist_ok=True)
+
+    def shown(c: str, v: object) -> object:
+        return "" if v is None else YES_NO[bool(v)] if c in yes_no else v
+
+    n = 0
     with Path(path).open("w", encoding="utf-8-sig", newline="") as f:
         w = csv.writer(f)
         w.writerow([(headers or {}).get(c, c) for c in columns])
-        w.writerows([["" if (v := r.get(c)) is None else v for c in columns] for r in rows])
-    return len(rows)
+        for r in df.select(*columns).toLocalIterator():
+            w.writerow([shown(c, r[c]) for c in columns])
+            n += 1
+        if not n and placeholder:
+            w.writerow([shown(c, placeholder.get(c)) for c in columns])
+            n = 1
+    return n
 
 
 def write_json(summary: dict, path: str) -> None:
@@ -107,9 +115,23 @@ def bar_chart(rows: list[tuple[str, float]], title: str, diverging: bool = False
     return _svg(640, 60 + 22 * len(rows), title, body)
 
 
+# Colours of the series of a grouped chart, in order.
+SERIES_COLOURS = ["#3a6fb5", "#b5483a", "#4d9a5b", "#8a6bb0", "#c08a2e"]
+
+
 def grouped_bar_chart(rows: list[tuple[str, list[float]]], series: list[str], title: str) -> str:
-    flat = [(f"{label} {s}", v) for label, vs in rows for s, v in zip(series, vs, strict=True)]
-    return bar_chart(flat, title)
+    """Groups of horizontal bars, one colour a series, with a legend."""
+    top = max((abs(v) for _, vs in rows for v in vs), default=0) or 1
+    body = [f'<rect x="{160 + 120 * i}" y="34" width="10" height="10" fill="{SERIES_COLOURS[i % len(SERIES_COLOURS)]}"/><text x="{174 + 120 * i}" y="43">{escape(s)}</text>' for i, s in enumerate(series)]
+    y = 54
+    for label, vs in rows:
+        body.append(f'<text x="150" y="{y + 8 * len(vs)}" text-anchor="end">{escape(str(label))}</text>')
+        for i, (_, v) in enumerate(zip(series, vs, strict=True)):
+            w = abs(v) / top * 400
+            body.append(f'<rect x="160" y="{y}" width="{w:.1f}" height="12" fill="{SERIES_COLOURS[i % len(SERIES_COLOURS)]}"/><text x="{166 + w:.1f}" y="{y + 10}">{v:g}</text>')
+            y += 14
+        y += 8
+    return _svg(640, y + 10, title, body)
 
 
 def heatmap(cells: dict[tuple[str, str], float], title: str) -> str:

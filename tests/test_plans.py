@@ -160,6 +160,53 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.fetch("http://x.example/", refuse, tries=2, wait=0)["ok"] is False and len(calls) == 2
 
 
+def test_readers_of_other_forms(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("Peptide\tIC50\n#Advanced search parameters\tx\n\t\nAGK\t\"5\nuM\"\n", encoding="utf-8-sig")
+    assert [tuple(r) for r in readers.read_tsv(spark, str(tmp_path / "m.tsv"), ["Peptide"]).collect()] == [("AGK", "5\nuM")]
+    (tmp_path / "c.csv").write_text("a,b\n n.d. , x  y \n", encoding="utf-8")
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "c.csv"), clean=True).collect()] == [(None, "x y")]
+    assert readers.read_csv(spark, str(tmp_path / "c.csv"), multiline=False).count() == 1
+    with pytest.raises(readers.SchemaError):
+        readers.read_csv(spark, str(tmp_path / "c.csv"), ["z"])
+    assert readers.first_match(str(tmp_path), ["*.none", "*.tsv"]).endswith("m.tsv") and readers.parse_args_paths(None, "b", "c") == "b"
+    with pytest.raises(FileNotFoundError):
+        readers.first_match(str(tmp_path), ["*.none"])
+    (tmp_path / "r.txt").write_text("a  b\n\nx y   2\n1\t2\n", encoding="utf-8")
+    assert readers.convert_text_to_csv(str(tmp_path / "r.txt"), str(tmp_path / "r.csv")) == "converted" and (tmp_path / "r.csv").read_text(encoding="utf-8-sig").splitlines() == ["a,b", "x y,2", "1,2"]
+    assert readers.convert_text_to_csv(str(tmp_path / "r.txt"), str(tmp_path / "r.csv")) == "exists" and readers.convert_text_to_csv(str(tmp_path / "q"), str(tmp_path / "q.csv")) == "missing"
+
+
+def test_download_keeps_bytes(tmp_path):
+    import io
+
+    body = bytes(range(256))
+    to = str(tmp_path / "d" / "x.zip")
+
+    class Response(io.BytesIO):
+        status, headers = 200, {}
+
+    assert readers.download("http://x.example/a", to, lambda u: Response(body))["ok"] and open(to, "rb").read() == body
+    assert readers.download("http://x.example/a", to, None)["status"] == "exists"
+    assert readers.fetch("http://x.example/a", lambda u: Response("值很高".encode("gb18030")))["text"] == "值很高"
+
+
+def test_sinks_of_other_forms(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, 1), (2, "x", 0)], "a int, b string, f int")
+    writers.write_table(df, str(tmp_path / "t"), ["b"])
+    assert spark.read.parquet(str(tmp_path / "t")).columns == ["b"]
+    with pytest.raises(Exception):
+        writers.write_table(df, str(tmp_path / "t"))
+    assert writers.write_csv_file(df, str(tmp_path / "o.csv"), ["a", "f"], {"a": "号"}, yes_no=["f"]) == 2
+    assert (tmp_path / "o.csv").read_text(encoding="utf-8-sig").splitlines() == ["号,f", "1,是", "2,否"]
+    assert writers.write_csv_file(df.limit(0), str(tmp_path / "e.csv"), ["a", "b"], placeholder={"a": "none"}) == 1 and writers.write_csv_file(df, str(tmp_path / "e.csv"), overwrite=False) == 0
+    writers.write_json({"n": 1}, str(tmp_path / "s" / "x.json"))
+    assert '"n": 1' in (tmp_path / "s" / "x.json").read_text() and writers.write_if_missing("a", str(tmp_path / "s" / "x.json")) is False
+    assert writers.scaffold(str(tmp_path / "p"), ["a", "b"], {"r.md": "x"}) == ["a", "b", "r.md"] and writers.scaffold(str(tmp_path / "p"), ["a"], {"r.md": "y"}) == []
+    svg = writers.grouped_bar_chart([("g", [1.0, 2.0])], ["s1", "s2"], "t")
+    assert svg.count("<rect") == 4 and "s2" in svg and svg.count("<rect") != writers.bar_chart([("g", 1.0)], "t").count("<rect")
+    assert writers.markdown_index("T", [("a", "b")]) == "# T\n\n- `a`: b\n" and writers.text_summary(df, 1).count("\n") == 0 and "<circle" in writers.scatter_chart([(1.0, 2.0, "x")], "t")
+
+
 def test_ingest_takes_files_once(spark, tmp_path):
     from assaylake.streaming.ingest import ingest
 

@@ -37,8 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = sc._jsc.sc().getCheckpointDir()
     if named.isDefined():
         return named.get()
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local["):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not shared and sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir names no shared folder, which a cluster needs to cut lineage")
     if not shared:
         shared = tempfile.mkdtemp(prefix="assaylake-")

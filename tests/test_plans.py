@@ -325,3 +325,22 @@ def test_encoding_is_decided_by_the_whole_file(spark, tmp_path):
     assert readers.sniff(str(tmp_path / "split.csv")) == ("utf-8-sig", ";")
     (tmp_path / "empty.csv").write_bytes(b"")
     assert readers.sniff(str(tmp_path / "empty.csv")) == ("utf-8-sig", ",")
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from assaylake import session
+
+    def spark_of(master, named=None):
+        unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+        sc = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: unset), getConf=lambda: {}, setCheckpointDir=set_to.append)
+        return SimpleNamespace(sparkContext=sc, conf={"spark.checkpoint.dir": named})
+
+    set_to = []
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            session.shared_folder(spark_of(master))
+    with pytest.raises(AttributeError):  # the folder of the setting is taken; the double has no way to give it back
+        session.shared_folder(spark_of("yarn", "hdfs://shared/folder"))
+    assert set_to == ["hdfs://shared/folder"]

@@ -156,7 +156,7 @@ def safe_name(url: Column, prefix: str = "page") -> Column:
     """File name of a page: prefix, at most sixty characters of the path, twelve digits of the URL's MD5."""
     path = F.replace(F.regexp_replace(url_parts(url)[2], "^/+|/+$", ""), F.lit("/"), F.lit("_"))
     path = F.left(F.regexp_replace(F.when(path == "", "root").otherwise(path), r"[^A-Za-z0-9._\-]+", "_"), F.lit(60))
-    return F.concat_ws("_", F.when(url.isNotNull(), F.lit(prefix)), path, F.substring(F.md5(url), 1, 12))
+    return F.concat(F.lit(f"{prefix}_"), path, F.lit("_"), F.substring(F.md5(url), 1, 12))
 
 
 # Words and query keys that speak for a detail page and for a list page.

@@ -141,16 +141,20 @@ def merged_level(merged: DataFrame) -> DataFrame:
     """One row per sequence of the merged table: counts by source, nine sets, statistics, years, flag and note."""
     from assaylake.plans.sources import SOURCE_COUNTS
 
+    def joined(c: str) -> Column:
+        """The mappers have cleaned the values; empty ones are none."""
+        return F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))), " | ")
+
     sets = {
         "source_name_set": "source_name", "merged_record_id_list": "merged_record_id", "source_record_id_list": "source_record_id", "species_set": "species_raw", "protein_id_set": "protein_id_raw",
         "doi_set": "doi_raw", "ic50_relation_set": "ic50_relation", "ic50_status_set": "ic50_status", "database_reference_raw_set": "database_reference_raw",
     }
-    years = [year_latest(clean_text(F.col(c))) for c in ("bibliographic_raw", "doi_raw", "source_context_raw")]
-    rows = merged.withColumns({"_low": F.least(*years), "_high": F.greatest(*years)}).where("sequence is not null")
+    years = [year_latest(F.col(c)) for c in ("bibliographic_raw", "doi_raw", "source_context_raw")]
+    rows = merged.where("sequence is not null").withColumn("_years", once(F.array(*years)))
     g = rows.groupBy("sequence").agg(
         F.min_by("peptide_length", "merged_record_id").alias("peptide_length"), F.countDistinct("source_name").alias("source_count"), F.count(F.lit(1)).alias("record_count_total"),
-        *[F.count_if(F.col("source_name") == s).alias(f"record_count_{n}") for s, n in SOURCE_COUNTS.items()], *[agg_set_join(F.col(c)).alias(n) for n, c in sets.items()],
-        *statistics(), F.min("_low").alias("bibliographic_year_min"), F.max("_high").alias("bibliographic_year_max"),
+        *[F.count_if(F.col("source_name") == s).alias(f"record_count_{n}") for s, n in SOURCE_COUNTS.items()], *[joined(c).alias(n) for n, c in sets.items()],
+        *statistics(), F.min(F.array_min("_years")).alias("bibliographic_year_min"), F.max(F.array_max("_years")).alias("bibliographic_year_max"),
     )
     ratio, n = F.round(spread(F.col("ic50_uM_min"), F.col("ic50_uM_max")), 6), F.col("source_count")
     g = g.withColumn("ic50_spread_ratio_max_min", ratio).withColumn("cross_source_overlap_flag", (n >= 2).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import features, ic50, numeric, rules
 from assaylake.functions import text as tx
+from assaylake.operators import classify
 from assaylake.operators import relational as rel
 from assaylake.plans import queries
 from assaylake.sources import html, readers, writers
@@ -344,3 +345,28 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     with pytest.raises(AttributeError):  # the folder of the setting is taken; the double has no way to give it back
         session.shared_folder(spark_of("yarn", "hdfs://shared/folder"))
     assert set_to == ["hdfs://shared/folder"]
+
+
+def test_classification_without_stable_sequences(spark, tmp_path):
+    spark.read.parquet(f"{SMALLEST}/lineitem.parquet").where("false").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [tuple(r) for r in queries.svm_cv(spark, str(tmp_path)).collect()]
+    metrics = ("accuracy", "macro_precision", "macro_recall", "macro_f1")
+    assert sorted(got) == sorted((f, m, None) for f in ("composition", "signal", "fusion") for m in metrics)
+
+
+def test_classes_stand_in_every_training_part(spark):
+    schema = "k string, y double, x array<double>"
+    rows = [(f"a{i}", 0.0, [1.0, float(i)]) for i in range(23)] + [(f"b{i}", 1.0, [9.0, float(i)]) for i in range(2)] + [("c", 2.0, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, schema)
+    dealt = {}
+    for r in classify.folded(df, "y", "k", 5).collect():
+        dealt.setdefault(r.y, []).append(r.fold)
+    assert {y: len(f) for y, f in dealt.items()} == {0.0: 23, 1.0: 2} and len(set(dealt[1.0])) == 2
+    assert sorted(dealt[0.0].count(f) for f in range(5)) == [4, 4, 5, 5, 5]
+    assert classify.fold_count(df.where("y <> 1"), "y") == 5 and classify.fold_count(df.limit(0), "y") == 2
+    # One class of two rows, in whichever order their keys hash: each is predicted from the other.
+    for i in range(4):
+        pair = spark.createDataFrame([(f"{i}a", 1.0, [1.0]), (f"{i}b", 1.0, [2.0])], schema)
+        assert {(r.label, r.prediction) for r in classify.cross_validated(pair, "y", "x", "k").collect()} == {(1.0, 1.0)}
+    far = spark.createDataFrame([("a", 0.0, [0.0, 1.0]), ("b", 0.0, [0.1, 1.0]), ("c", 2.0, [9.0, 1.0]), ("d", 2.0, [9.1, 1.0])], schema)
+    assert {(r.k, r.label, r.prediction) for r in classify.cross_validated(far, "y", "x", "k").collect()} == {("a", 0.0, 0.0), ("b", 0.0, 0.0), ("c", 2.0, 2.0), ("d", 2.0, 2.0)}

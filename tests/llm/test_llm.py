@@ -199,6 +199,23 @@ def test_survivors_of_support_alone_differ(spark, monkeypatch):
     assert {tuple(r) for r in queries.p3_found(spark, SMALL).collect()} != found
 
 
+def test_a_lead_that_nothing_makes_up_for_needs_no_rounds(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    def unused(*_):
+        raise AssertionError("rounds without effect")
+
+    for stage in ("kinds", "_learn", "_learn_joined", "cut_lineage"):
+        monkeypatch.setattr(representative, stage, unused)
+    # Rows of no batch are a batch of their own.
+    merged = spark.read.parquet(f"{SMALL}/{queries.MERGED}.parquet")
+    merged.withColumn("merge_batch", F.when(F.col("merge_batch") % 2 == 0, F.col("merge_batch"))).write.parquet(str(tmp_path / f"{queries.MERGED}.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view {queries.MERGED} as select * from read_parquet('{tmp_path}/{queries.MERGED}.parquet/*.parquet')")
+    want = con.execute(queries.oracle_sql()["p3_found"]).fetchall()
+    assert sorted(tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()) == sorted(want) and len(want) > 50
+
+
 def test_survivors_equal_sql(spark):
     import duckdb
 
